@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name."""
 
-from gridloom.llm import exact_dedup, langid, packing, pieces, quality, sharding, simhash
+from gridloom.llm import exact_dedup, langid, packing, pieces, quality, sharding, simhash, warc
 
 MODULES = {
     "op1_sentencepiece": pieces,
@@ -9,6 +9,7 @@ MODULES = {
     "op6_language_id": langid,
     "op7_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
+    "op9_warc": warc,
     "op10_packing": packing,
 }
 
