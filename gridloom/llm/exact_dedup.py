@@ -24,7 +24,8 @@ def heavy_candidates(digests: DataFrame, tracked: int, most: int) -> DataFrame:
     Misra-Gries summaries of single tasks are merged in two steps, so that no task gathers them all.
     """
     first = digests.groupBy((F.spark_partition_id() % 64).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("state"))
-    return first.agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state")).select(F.explode(F.expr(f"approx_top_k_estimate(state, {most})")).alias("x")).select(F.col("x.item").alias("digest"))
+    # Grouped by a constant: an ungrouped aggregate also merges the null state of empty partitions, which fails.
+    return first.groupBy(F.col("part") < 0).agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state")).select(F.explode(F.expr(f"approx_top_k_estimate(state, {most})")).alias("x")).select(F.col("x.item").alias("digest"))
 
 
 def exact_dedup(documents: DataFrame, tracked: int = 4096, most: int = 1024, heavy_share: float = 1e-4) -> DataFrame:
