@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name."""
 
-from gridloom.llm import exact_dedup, langid, lm_score, packing, pieces, quality, sharding, simhash, warc
+from gridloom.llm import exact_dedup, langid, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, warc
 
 MODULES = {
     "op1_sentencepiece": pieces,
     "op2_sharding": sharding,
     "op3_quality": quality,
     "op4_lm_score": lm_score,
+    "op5_line_dedup": line_dedup,
     "op6_language_id": langid,
     "op7_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
