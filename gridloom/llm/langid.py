@@ -78,19 +78,20 @@ class Classifier:
         return lang, 1 - best / second, second >= best * (1 + margin)
 
 
-def identify(documents: DataFrame, training: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """``documents`` (doc_id, text) with lang_pred, score and accepted."""
+def identify(documents: DataFrame, training: DataFrame, margin: float = MARGIN, carry: list[str] = ()) -> DataFrame:
+    """doc_id, the columns in ``carry``, lang_pred, score and accepted for every row of ``documents``."""
     content = dictionaries(training_sample(training))
+    kept = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(content)
         for batch in batches:
             found = [model.predict(t.as_py(), margin) for t in batch.column("text")]
             columns = [[x[k] for x in found] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], [*kept, "lang_pred", "score", "accepted"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+    schema = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in kept)
+    return documents.select(*dict.fromkeys(["doc_id", "text", *carry])).mapInArrow(run, schema + "lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id="doc_id"):

@@ -12,7 +12,8 @@ in all pairs. Only the lines left over meet all earlier ones.
 
 Defined results: lines with under MIN_WORDS different words are never removed and remove none; null and
 empty texts come back as they are; a text whose lines all go is empty; rows with equal doc_id count
-as one document; null doc_ids come last; the order of columns and all extra ones are kept.
+as one document; null doc_ids come last; the order of columns and extra ones are kept, but for those named
+removed, removed_, key_ and hit_, which are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -227,13 +228,14 @@ def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, mi
 
         return pd.Series(_in(bits.value, h.to_numpy()))
 
+    columns = [c for c in documents.columns if c not in ("removed", "removed_", "key_", "hit_")]
     key = F.coalesce("doc_id", F.lit(_LAST))
     marked = documents.withColumn("key_", key).withColumn("hit_", hit(F.xxhash64(key, F.lit(3))))
     joined = marked.where("hit_").join(gone.withColumnRenamed("doc_id", "key_"), "key_", "left")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed_", i)), "\n")
-    changed = joined.select(*[F.when(F.col("removed_").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in documents.columns], F.coalesce("removed_", F.array().cast("array<int>")).alias("removed"))
-    same = marked.where("NOT hit_").select(*documents.columns, F.array().cast("array<int>").alias("removed"))
+    changed = joined.select(*[F.when(F.col("removed_").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns], F.coalesce("removed_", F.array().cast("array<int>")).alias("removed"))
+    same = marked.where("NOT hit_").select(*columns, F.array().cast("array<int>").alias("removed"))
     return same.union(changed)
 
 
