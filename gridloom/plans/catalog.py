@@ -1,4 +1,10 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gridloom.plans import activity, pixels, verification
+
+_ALL: dict = {}
+for _module in (activity, verification, pixels):
+    _ALL |= _module.QUERIES
+
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
