@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 #: Labelled rows of which the target is made, those with the least hash of doc_id.
 TARGET_ROWS = 20_000
+#: N-grams that the raw multinomial is worth as the prior of the target; a small target says little then.
+PRIOR = 65_536.0
 #: Mean log-likelihood ratio from which a document is kept.
 THRESHOLD = -0.07
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -34,10 +36,11 @@ def _at(array: str, i: Column) -> Column:
     return F.get(F.col(array), i)
 
 
-def with_hashes(documents: DataFrame) -> DataFrame:
-    """doc_id, text, n_words and the 64-bit hash of each word, in order."""
-    words = documents.select("doc_id", "text", words_of(F.col("text")).alias("words"))
-    return words.select("doc_id", "text", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+def with_hashes(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """doc_id, text, further columns as one, the number of words and the 64-bit hash of each word, in order."""
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    words = documents.select("doc_id", "text", carried.alias("carried"), words_of(F.col("text")).alias("words"))
+    return words.select("doc_id", "text", "carried", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
 
 
 def buckets_of(buckets: int) -> Column:
@@ -48,15 +51,16 @@ def buckets_of(buckets: int) -> Column:
 
 
 def ratios(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row with ``llr``, the add-one smoothed log ratio of each bucket."""
+    """One row with ``llr``, the smoothed log ratio of each bucket."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0 AND doc_id IS NOT NULL")
     good = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("target", F.lit(1))
-    rows = with_hashes(documents).join(F.broadcast(good), "doc_id", "left").select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(buckets_of(buckets)).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
-    sums = counts.agg(F.collect_list(F.struct("bucket", "raw", "target")).alias("cells"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    filled = sums.select(F.map_from_entries(F.transform("cells", lambda c: F.struct(c["bucket"], F.log((c["target"] + 1) / (F.col("target") + buckets)) - F.log((c["raw"] + 1) / (F.col("raw") + buckets))))).alias("m"), "target")
-    # A bucket without any n-gram is never looked up.
-    return filled.select(F.when(F.col("target") > 0, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.try_element_at("m", b))).alias("llr"))
+    rows = with_hashes(documents).join(F.broadcast(good), "doc_id", "left").select(F.explode(buckets_of(buckets)).alias("bucket"), F.lit(1).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    every = documents.sparkSession.range(buckets).select(F.col("id").cast("int"), F.lit(0), F.lit(0))
+    counts = rows.union(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    share = lambda c: (c["raw"] + 1) / (F.col("raw") + buckets)
+    ratio = F.transform("cells", lambda c: F.log(c["target"] / share(c) + F.lit(PRIOR)) - F.log(F.col("target") + F.lit(PRIOR)))
+    return sums.select(F.when(F.col("target") > 0, ratio).alias("llr"))
 
 
 def repeat_words(n: Column) -> Column:
@@ -66,10 +70,10 @@ def repeat_words(n: Column) -> Column:
     return F.when(n < 6, F.lit(None)).otherwise(window)
 
 
-def base_rules(documents: DataFrame) -> DataFrame:
+def base_rules(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     """doc_id, text, h, n and the columns n_words .. base_failed."""
     text = F.coalesce("text", F.lit(""))
-    hashed = with_hashes(documents).withColumn("w5", repeat_words(F.col("n")))
+    hashed = with_hashes(documents, carry).withColumn("w5", repeat_words(F.col("n")))
     hashed = hashed.withColumn("again", F.coalesce(F.size(F.array_distinct("w5")) < F.size("w5"), F.lit(False)))
     pairs = F.array_sort(F.transform("w5", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     hashed = hashed.withColumn("sorted", F.when(F.col("again"), pairs))
@@ -82,7 +86,7 @@ def base_rules(documents: DataFrame) -> DataFrame:
     hashed = hashed.withColumn("lines", lines)
     n = F.col("n").cast("long")
     out = hashed.select(
-        "doc_id", "text", "h", "n",
+        "doc_id", "text", "carried", "h", "n",
         n.alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -92,13 +96,14 @@ def base_rules(documents: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Base columns, ``llr`` (the mean log ratio) and ``kept`` for every row of ``documents``."""
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, carry: list[str] = ()) -> DataFrame:
+    """doc_id, text, the columns in ``carry``, base columns, ``llr`` (the mean log ratio) and ``kept`` for every row of ``documents``."""
     table = ratios(documents, labels, buckets, target_rows).scalar()
-    scored = base_rules(documents).withColumn("b", buckets_of(buckets)).withColumn("table", table)
+    scored = base_rules(documents, carry).withColumn("b", buckets_of(buckets)).withColumn("table", table)
     total = F.aggregate("b", F.lit(0.0), lambda a, b: a + F.get("table", b))
     scored = scored.withColumn("llr", F.coalesce(F.when(F.size("b") > 0, total / F.size("b")), F.lit(0.0)))
-    return scored.select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))
+    # Rows pass a generator, through which Spark pushes no filter; a pushed filter would repeat the whole chain of expressions.
+    return scored.select(F.inline(F.array(F.struct("doc_id", "text", *[F.col("carried")[c].alias(c) for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr")))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
