@@ -1,9 +1,9 @@
 """All registered queries of the library and their SQL."""
 
-from gridloom.plans import activity, pixels, verification
+from gridloom.plans import activity, assembly, pixels, points, quality, scalars, verification
 
 _ALL: dict = {}
-for _module in (activity, verification, pixels):
+for _module in (activity, verification, pixels, quality, points, scalars, assembly):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}

@@ -78,8 +78,8 @@ QUERIES = {
         f"WITH {X.SQL_PATCH8} SELECT patch, i, j, round(CASE i WHEN 0 THEN lead(v) OVER a - v WHEN 7 THEN v - lag(v) OVER a ELSE (lead(v) OVER a - lag(v) OVER a) / 2 END, 6) AS gi, round(CASE j WHEN 0 THEN lead(v) OVER b - v WHEN 7 THEN v - lag(v) OVER b ELSE (lead(v) OVER b - lag(v) OVER b) / 2 END, 6) AS gj FROM patch8 WINDOW a AS (PARTITION BY patch, j ORDER BY i), b AS (PARTITION BY patch, i ORDER BY j)",
     ),
     "moving_mean": (
-        lambda s, d: G.moving_mean(X.patch8(s, d), ["patch"], 2).withColumn("mean", F.round(F.col("mean") + 0.0, 5)),
-        f"WITH {X.SQL_PATCH8} SELECT p.patch, p.i, p.j, round(round(CASE WHEN p.i BETWEEN 2 AND 5 AND p.j BETWEEN 2 AND 5 THEN avg(q.v) ELSE 0 END, 6) + 0, 5) AS mean FROM patch8 p JOIN patch8 q ON q.patch = p.patch AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY p.patch, p.i, p.j",
+        lambda s, d: G.moving_mean(X.patch8(s, d), ["patch"], 2),
+        f"WITH {X.SQL_PATCH8} SELECT p.patch, p.i, p.j, round(CASE WHEN p.i BETWEEN 2 AND 5 AND p.j BETWEEN 2 AND 5 THEN avg(q.v) ELSE 0 END, 6) + 0 AS mean FROM patch8 p JOIN patch8 q ON q.patch = p.patch AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY p.patch, p.i, p.j",
     ),
     "local_maxima": (lambda s, d: G.local_maxima(X.patch8(s, d), ["patch"], 2), f"WITH {X.SQL_PATCH8} SELECT p.patch, p.i, p.j, p.v FROM patch8 p JOIN patch8 q ON q.patch = p.patch AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY ALL HAVING p.v = max(q.v)"),
     "fill_holes": (lambda s, d: G.fill_holes(X.pixels(s, d), 96, 192), f"WITH {_P}, n AS (SELECT frame, i + di AS i, j + dj AS j, v FROM pixels, {_SQUARE}), m AS (SELECT frame, i, j, round(avg(v), 6) AS v FROM n WHERE i BETWEEN 0 AND 95 AND j BETWEEN 0 AND 191 GROUP BY ALL) SELECT m.* FROM m ANTI JOIN pixels USING (frame, i, j)"),
