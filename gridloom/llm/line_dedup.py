@@ -2,13 +2,13 @@
 
 A line is the set of its words. Tokens are put in one global order, rare ones first; two lines of
 Jaccard similarity t or more then share a token among their first n - ceil(t * n) + 1. Those prefix
-tokens are joined; length, position and a 64-bit parity bitmap of the sets bound the overlap and
+tokens are joined; length, position and a 32-bit parity bitmap of the sets bound the overlap and
 discard pairs in the join; the words of what is left are read again and compared exactly. A line
 goes if an earlier line (by doc_id, then line number) is similar, whether or not that one goes too.
 
-Equal sets are settled by grouping alone. In each token's list all lines first meet the earliest
-one; those that it removes need no further partner, so a family of near copies does not meet
-in all pairs. Only the lines left over meet all earlier ones.
+Equal sets are settled by grouping alone. In a token's longer lists every line takes its first PARTNERS earlier
+lines that pass the filters; most repeated lines are settled by them, so a family of near copies does
+not meet in all pairs. Lines that had more partners and stay unsettled meet all of them in a second pass.
 
 Defined results: lines with under MIN_WORDS different words are never removed and remove none; null and
 empty texts come back as they are; a text whose lines all go is empty; rows with equal doc_id count
@@ -25,18 +25,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut_lineage, mixed, word_hashes
+from gridloom.llm.common import cut_lineage, mixed, stored, word_hashes
 
 THRESHOLD = (4, 5)
 MIN_WORDS = 5
-#: Tokens whose frequency is told apart in the order; all others are rare. Share of a block's lines from which a token may be one.
+#: Tokens whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a token may be one.
 FREQUENT, FREQUENT_SHARE = 1 << 15, 5e-4
+#: Rows up to which the lists of a batch are compared together.
+SHORT = 8
+#: Earlier lines that a line meets first in a token's list; the rest follow if these don't settle it.
+PARTNERS = 4
 #: 64-bit words of the filters that name the lines and documents to be read again.
 FILTER_WORDS = 1 << 17
 #: Bytes of text that are hashed together.
 BLOCK_BYTES = 4 << 20
 _LAST = 2**63 - 1
-_LINES = "doc_id long, line int, id1 long, id2 long, n int, sig long, prefix array<long>"
+_LINES = "doc_id long, line int, id1 long, id2 long, n int, sig int, prefix array<long>"
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -76,14 +80,13 @@ def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def frequent_tokens(documents: DataFrame) -> np.ndarray:
-    """At most FREQUENT words with ranks by the number of their lines; a word that is frequent anywhere is among the candidates."""
+    """At most FREQUENT words with ranks by their count; a word that is frequent anywhere is among the candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batches):
-            line, key = tokens(texts, np.zeros((0, 2), np.uint64))
-            words, lines = np.unique(key, return_counts=True)
-            often = lines >= max(2, FREQUENT_SHARE * len(np.unique(line)))
-            yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(lines[often].astype(np.int64))], ["word", "lines"])
+            words, count = np.unique(word_hashes("\n".join(texts).encode())[0] >> np.uint64(16), return_counts=True)
+            often = count >= max(2, FREQUENT_SHARE * count.sum() / 40)
+            yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["word", "lines"])
 
     found = documents.select("doc_id", "text").mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT).collect()
     ranked = np.array([(r.word, FREQUENT - k) for k, r in enumerate(found)], np.uint64).reshape(-1, 2)
@@ -103,7 +106,7 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
             n = np.diff(np.append(first, len(line)))
             h = mixed(key & np.uint64(0xFFFFFFFFFFFF))
             id1, id2 = np.add.reduceat(h, first), np.add.reduceat(mixed(h + np.uint64(1)), first)
-            sig = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
+            sig = np.bitwise_xor.reduceat(np.uint32(1) << (h & np.uint64(31)).astype(np.uint32), first)
             before = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
             doc = np.searchsorted(before, line[first], side="right") - 1
             keep = n >= min_words
@@ -112,7 +115,7 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
             inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take[keep])
             prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(key[np.repeat(first[keep], take[keep]) + inner].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in doc[keep]], pa.int64()), pa.array((line[first] - before[doc])[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), pa.array(sig[keep].view(np.int64)), prefix],
+                [pa.array([ids[k] for k in doc[keep]], pa.int64()), pa.array((line[first] - before[doc])[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), pa.array(sig[keep].view(np.int32)), prefix],
                 ["doc_id", "line", "id1", "id2", "n", "sig", "prefix"],
             )
 
@@ -135,7 +138,7 @@ def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def words_of_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, words) of the lines in ``wanted`` (doc_id, line): documents are read again, and
+    """(doc_id, line, text) of the lines in ``wanted`` (doc_id, line): documents are read again, and
     what two filters leave of their lines, not their texts, is shuffled to the join."""
     docs = _bits(wanted, F.col("doc_id"), 1)
     lines = _bits(wanted, F.struct("doc_id", "line"), 2)
@@ -158,60 +161,149 @@ def words_of_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(_in(lines, batch.column("h").to_numpy()))).select(["doc_id", "line", "text"])
 
     kept = exploded.mapInArrow(second, "doc_id long, line int, text string")
-    split = F.array_distinct(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    return wanted.select("doc_id", "line").distinct().join(kept, ["doc_id", "line"]).groupBy("doc_id", "line").agg(F.max("text").alias("text")).select("doc_id", "line", split.alias("words"))
+    return wanted.select("doc_id", "line").distinct().join(kept, ["doc_id", "line"]).groupBy("doc_id", "line").agg(F.max("text").alias("text"))
 
 
-def _need(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
-    """The least overlap of sets of sizes a and b at the threshold."""
+def _partners(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, threshold: tuple[int, int], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (earlier, later) of the rows of one list, in order, that pass the length, position and
+    bitmap filters: at most the first ``most`` of each later row; and whether a row has further ones."""
     up, down = threshold
-    return F.floor((F.lit(up) * (a + b) + (up + down - 1)) / (up + down))
+    first, second, more = [], [], np.zeros(len(n), bool)
+    for low in range(0, len(n), 512):
+        high = min(low + 512, len(n))
+        taken = np.zeros(high - low, np.int64)
+        for at in range(0, high, 2048):
+            end = min(at + 2048, high)
+            a, b = n[None, at:end], n[low:high, None]
+            need = (up * (a + b) + (up + down - 1)) // (up + down)
+            ok = (np.maximum(a, b) * up <= np.minimum(a, b) * down) & (np.minimum(a - pos[None, at:end], b - pos[low:high, None]) >= need)
+            ok &= np.bitwise_count(sig[None, at:end] ^ sig[low:high, None]) <= a + b - 2 * need
+            ok &= np.arange(at, end)[None] < np.arange(low, high)[:, None]
+            rank = np.cumsum(ok, axis=1) + taken[:, None]
+            q, p = np.nonzero(ok & (rank <= most))
+            first.append(p + at), second.append(q + low)
+            taken = rank[:, -1]
+        more[low:high] = taken > most
+    return np.concatenate(first), np.concatenate(second), more
+
+
+_LISTED = "a_doc long, a_line int, b_doc long, b_line int, more boolean"
+
+
+def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only_marked: bool = False) -> DataFrame:
+    """Pairs of lines from the token lists of ``postings`` (token, doc_id, line, n, pos, sig, and marked).
+
+    Lists are streamed in the order of tokens; one list at a time is in memory, as narrow numbers.
+    Rows without an earlier line (a_doc null) say only that their line has more partners.
+    """
 
+    def one(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+        doc, line, n, pos, sig, marked = rows
+        p, q, more = _partners(n, pos, sig.astype(np.uint32), threshold, most)
+        if only_marked:
+            keep = marked[q].astype(bool)
+            p, q, more = p[keep], q[keep], np.zeros(len(n), bool)
+        extra = np.flatnonzero(more)
+        if not len(q) and not len(extra):
+            return None
+        ends = np.concatenate([q, extra])
+        none = np.concatenate([np.zeros(len(q), bool), np.ones(len(extra), bool)])
+        starts = np.concatenate([p, np.zeros(len(extra), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(doc[starts], mask=none), pa.array(line[starts].astype(np.int32), mask=none), pa.array(doc[ends]), pa.array(line[ends].astype(np.int32)), pa.array(none)], ["a_doc", "a_line", "b_doc", "b_line", "more"])
+
+    def short(rows: list[np.ndarray], run: np.ndarray, size: np.ndarray) -> pa.RecordBatch | None:
+        """All pairs of the lists of at most SHORT rows, for a whole batch at once."""
+        doc, line, n, pos, sig, marked = rows
+        up, down = threshold
+        first, second = [], []
+        for step in range(1, SHORT):
+            p = np.flatnonzero((run[step:] == run[:-step]) & (size[:-step] <= SHORT))
+            if not len(p):
+                break
+            q = p + step
+            a, b = n[p], n[q]
+            need = (up * (a + b) + (up + down - 1)) // (up + down)
+            ok = (np.maximum(a, b) * up <= np.minimum(a, b) * down) & (np.minimum(a - pos[p], b - pos[q]) >= need) & (np.bitwise_count(sig[p].astype(np.uint32) ^ sig[q].astype(np.uint32)) <= a + b - 2 * need)
+            if only_marked:
+                ok &= marked[q].astype(bool)
+            first.append(p[ok]), second.append(q[ok])
+        if not first or not sum(map(len, first)):
+            return None
+        p, q = np.concatenate(first), np.concatenate(second)
+        return pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(line[p].astype(np.int32)), pa.array(doc[q]), pa.array(line[q].astype(np.int32)), pa.array(np.zeros(len(p), bool))], ["a_doc", "a_line", "b_doc", "b_line", "more"])
+
+    def lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, rows = columns[0], columns[1:]
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        length = np.diff(edges)
+        run = np.repeat(np.arange(len(length)), length)
+        if (out := short(rows, run, length[run])) is not None:
+            yield out
+        for k in np.flatnonzero(length > SHORT):
+            if (out := one([c[edges[k] : edges[k + 1]] for c in rows])) is not None:
+                yield out
 
-def _promising(p: str, q: str, threshold: tuple[int, int]) -> Column:
-    """Length, position and bitmap filters for rows p and q of the posting lists."""
-    up, down = threshold
-    c = lambda side, name: F.col(f"{side}.{name}")
-    need = _need(c(p, "n"), c(q, "n"), threshold)
-    length = F.greatest(c(p, "n"), c(q, "n")) * up <= F.least(c(p, "n"), c(q, "n")) * down
-    position = F.least(c(p, "n") - c(p, "pos"), c(q, "n") - c(q, "pos")) >= need
-    bitmap = F.bit_count(c(p, "sig").bitwiseXOR(c(q, "sig"))) <= c(p, "n") + c(q, "n") - 2 * need
-    return length & position & bitmap
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "doc_id", "line", "n", "pos", "sig", "marked")]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # where the batch's last list begins
+            if held and (last or held[-1][0][-1] != columns[0][-1]):
+                yield from lists([np.concatenate([*(h[k] for h in held), columns[k][:last]]) for k in range(7)])
+                held = []
+            elif last:
+                yield from lists([c[:last] for c in columns])
+            held.append([c[last:] for c in columns])
+        if held:
+            yield from lists([np.concatenate([h[k] for h in held]) for k in range(7)])
+
+    listed = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    return listed.mapInArrow(run, _LISTED)
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The distinct later lines (doc_id, line) of the pairs (a, b) whose words are similar."""
+    """The distinct later lines (doc_id, line) of the pairs whose words are similar."""
     up, down = threshold
-    pairs = cut_lineage(pairs.distinct())
-    wanted = pairs.select("a.doc_id", "a.line").union(pairs.select("b.doc_id", "b.line")).distinct()
-    words = cut_lineage(words_of_lines(documents, wanted))
-    side = lambda s: words.select(F.struct("doc_id", "line").alias(s), F.col("words").alias(f"words_{s}"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(both * down >= (F.size("words_a") + F.size("words_b") - both) * up)
-    return alike.select("b.doc_id", "b.line").distinct()
+    wanted = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
+    texts = stored(words_of_lines(documents, cut_lineage(wanted)))
+    side = lambda s: texts.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("text").alias(f"text_{s}"))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    both = pairs.join(side("a"), ["a_doc", "a_line"]).join(side("b"), ["b_doc", "b_line"]).select("b_doc", "b_line", words("text_a").alias("p"), words("text_b").alias("q"))
+    shared = both.select("b_doc", "b_line", F.size(F.array_intersect("p", "q")).alias("o"), (F.size("p") + F.size("q")).alias("s"))
+    return cut_lineage(shared.where(F.col("o") * down >= (F.col("s") - F.col("o")) * up).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct())
 
 
 def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line) of every line that has an earlier similar one; null doc_ids as the largest long."""
-    sets = line_sets(documents, frequent_tokens(documents), threshold, min_words)
+    sets = stored(line_sets(documents, frequent_tokens(documents), threshold, min_words))
     identity = ["id1", "id2", "n"]
-    where = F.struct("doc_id", "line")
-    firsts = cut_lineage(sets.groupBy(*identity).agg(F.min(where).alias("at"), F.min("sig").alias("sig"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")))
-    repeated = firsts.where("copies > 1").select(*identity, "at")
-    postings = firsts.select("at", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.min(F.struct("at", "n", "sig", "pos")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    listed = cut_lineage(postings.join(lists, "token"))
-    with_head = listed.select("at", F.struct("at", "n", "sig", "pos").alias("q"), F.col("head").alias("p")).where("p.at < q.at").where(_promising("p", "q", threshold))
-    early = cut_lineage(_verified(documents, with_head.select(F.col("p.at").alias("a"), F.col("q.at").alias("b")), threshold))
-    own = listed.select("token", F.struct("at", "n", "sig", "pos").alias("p"), (F.col("at") == F.col("head.at")).alias("is_head"))
-    left = own.where("NOT is_head").select("token", F.col("p").alias("q")).join(early, (F.col("q.at.doc_id") == early.doc_id) & (F.col("q.at.line") == early.line), "leftanti")
-    pairs = left.join(own.where("NOT is_head"), "token").where(F.col("p.at") < F.col("q.at")).where(_promising("p", "q", threshold))
-    late = _verified(documents, pairs.select(F.col("p.at").alias("a"), F.col("q.at").alias("b")), threshold)
-    gone = early.union(late).select(F.struct("doc_id", "line").alias("at"))
-    # A set that goes takes all its lines; of any other, the first stays.
-    whole = firsts.where("copies > 1").join(gone, "at").select(*identity, F.lit(True).alias("whole"))
-    copies = sets.select("doc_id", "line", *identity).join(repeated, identity).join(whole, identity, "left").where(F.col("whole") | (F.struct("doc_id", "line") != F.col("at"))).select("doc_id", "line")
-    return copies.union(gone.select("at.doc_id", "at.line")).distinct()
+    groups = sets.groupBy(*identity).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    groups = cut_lineage(groups.select(*identity, "at"))
+    # Of equal sets only the first is listed: the others are settled.
+    copies = cut_lineage(sets.select("doc_id", "line", *identity).join(groups, identity).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line"))
+    firsts = sets.groupBy(*identity).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    postings = firsts.select(F.posexplode("prefix").alias("pos", "token"), "at.doc_id", "at.line", "n", "sig")
+    found = stored(_candidates(postings.withColumn("marked", F.lit(0)), threshold, PARTNERS).distinct())
+    # The earliest partner settles nearly every repeated line; the others are looked at where it doesn't.
+    b_keys = ["b_doc", "b_line"]
+    head = cut_lineage(found.where("NOT more").groupBy(*b_keys).agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.a_doc", "a.a_line", *b_keys))
+    settled = _verified(documents, head, threshold)
+    rest = found.where("NOT more").drop("more").join(head, ["a_doc", "a_line", *b_keys], "leftanti").join(settled.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line")), b_keys, "leftanti")
+    early = settled.union(_verified(documents, cut_lineage(rest), threshold))
+    open_lines = found.where("more").select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct().join(early, ["doc_id", "line"], "leftanti")
+    open_lines = cut_lineage(open_lines.withColumn("marked", F.lit(1)))
+    if open_lines.isEmpty():
+        late = early
+    else:
+        marked = postings.join(open_lines, ["doc_id", "line"], "left").withColumn("marked", F.coalesce("marked", F.lit(0)))
+        lists = marked.where("marked = 1").select("token").distinct()
+        again = _candidates(marked.join(lists, "token", "leftsemi"), threshold, _LAST, only_marked=True)
+        late = _verified(documents, cut_lineage(again.drop("more").distinct()), threshold)
+    gone = early.union(late).distinct()
+    # The copies of a set go with it or stay behind its first line; they go in both cases.
+    return copies.union(gone).distinct()
 
 
 def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
