@@ -32,7 +32,7 @@ from gridloom.llm.common import mixed, word_hashes
 ALPHA = 0.4
 ORDER = 3
 #: Bytes of text that make a block, and bytes of text for which the count tables get a partition.
-BLOCK_BYTES, TEXT_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, TEXT_BYTES = 6 << 20, 8 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -156,7 +156,7 @@ def score(documents: DataFrame) -> DataFrame:
             held = pa.table([pa.array(ids, documents_id), pa.array(block, pa.string())], names=["doc_id", "text"])
             with pa.ipc.new_stream(sink, held.schema) as stream:
                 stream.write_table(held)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())])], ["block", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([zstandard.ZstdCompressor(level=9).compress(sink.getvalue().to_pybytes())])], ["block", "held"])
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         parts_out = []
@@ -185,7 +185,7 @@ def score(documents: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumns({c: F.round(c, 6) for c in ("lm_sum", "lm_mean")})
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumns({"lm_sum": F.round("lm_sum", 3), "lm_mean": F.round("lm_mean", 6)})
 
 
 SQL = r"""
@@ -202,7 +202,7 @@ k AS (SELECT p.doc_id, p.i, l.rest, t1.n - o1.n AS c1, t2.n - o2.n AS c2, t3.n -
   WINDOW d AS (PARTITION BY p.doc_id ORDER BY p.i)),
 s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used, least(i - 1, 2) AS context, c1, c2, c3, d1, d2, rest FROM k),
 v AS (SELECT doc_id, used, ln(CASE used WHEN 3 THEN c3 / d2 WHEN 2 THEN c2 / d1 WHEN 1 THEN c1 / rest ELSE 0.4 / rest END) + (context - greatest(used - 1, 0)) * ln(0.4) AS x FROM s)
-SELECT l.doc_id, any_value(l.n_words) AS n_words, round(coalesce(sum(x), 0), 6) AS lm_sum, round(sum(x) / nullif(any_value(l.n_words), 0), 6) AS lm_mean,
+SELECT l.doc_id, any_value(l.n_words) AS n_words, round(coalesce(sum(x), 0), 3) AS lm_sum, round(sum(x) / nullif(any_value(l.n_words), 0), 6) AS lm_mean,
   count(*) FILTER (used = 0) AS n_unseen, count(*) FILTER (used = 1) AS n_unigram, count(*) FILTER (used = 2) AS n_bigram, count(*) FILTER (used = 3) AS n_trigram
 FROM l LEFT JOIN v USING (doc_id) GROUP BY l.doc_id
 """
