@@ -32,7 +32,7 @@ def _checkpoint_dir(s):
     import tempfile
 
     found = s.conf.get("spark.checkpoint.dir", None)
-    if not found and not s.sparkContext.master.startswith("local["):
+    if not found and s.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir")
     s.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
 
