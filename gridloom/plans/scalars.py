@@ -38,7 +38,7 @@ def _misspelt(s, d):
 
 _SEC = "CAST(floor(epoch(ts)) AS BIGINT)"
 QUERIES = {
-    "transforms": (lambda s, d: _values(s, d).select("k", "n", *[F.round(f(F.col("x")), 4).alias(v) for v, f in T.TRANSFORMS.items()]), f"WITH {_L} SELECT k, n, " + ", ".join(f"round(({e})::DOUBLE, 4) + 0 AS {v}" for v, e in _SQL.items()) + " FROM q"),
+    "transforms": (lambda s, d: _values(s, d).select("k", "n", *[F.round(f(F.col("x")), 10).alias(v) for v, f in T.TRANSFORMS.items()]), f"WITH {_L} SELECT k, n, " + ", ".join(f"round(({e})::DOUBLE, 10) + 0 AS {v}" for v, e in _SQL.items()) + " FROM q"),
     "rain_class": (lambda s, d: _values(s, d).select("k", "n", T.rain_class(F.col("x")).alias("c")), f"WITH {_L} SELECT k, n, CASE WHEN {_fill('x', 0)} < 10 THEN 0 WHEN {_fill('x', 0)} < 20 THEN 1 WHEN {_fill('x', 0)} < 30 THEN 2 WHEN {_fill('x', 0)} < 40 THEN 3 ELSE 4 END AS c FROM q"),
     "phase_one_hot": (lambda s, d: X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.aggregate(F.transform(T.phase_one_hot((F.col("l_quantity") % 7).cast("double") * 0.75), lambda x, i: x.cast("int") * F.pow(F.lit(10), i).cast("int")), F.lit(0), lambda a, x: a + x).alias("bits")), "WITH c AS (SELECT l_orderkey, l_linenumber, CAST(round_even((l_quantity % 7)::DOUBLE * 0.75, 0) AS INT) AS c FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN c BETWEEN 1 AND 4 THEN CAST(pow(10, c - 1) AS INT) ELSE 10000 END AS bits FROM c"),
     "class_confidence": (lambda s, d: X.predictions(s, d).select("id", F.round(T.class_confidence(F.col("y_pred"), [0.0, 0.2, 0.5, 0.8, 1.0]), 6).alias("confidence")), f"WITH {X.SQL_PREDICTIONS}, c AS (SELECT id, y_pred AS p, CASE WHEN y_pred < 0.2 THEN [0.0, 0.2] WHEN y_pred < 0.5 THEN [0.2, 0.5] WHEN y_pred < 0.8 THEN [0.5, 0.8] WHEN y_pred < 1 THEN [0.8, 1.0] END::DOUBLE[] AS b FROM predictions) SELECT id, round(CASE WHEN b IS NULL THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1 - abs(p - (b[1] + b[2]) / 2) / ((b[2] - b[1]) / 2))) END, 6) AS confidence FROM c"),
