@@ -10,8 +10,8 @@ Equal sets are settled by grouping alone. In a token's longer lists every line t
 lines that pass the filters; most repeated lines are settled by them, so a family of near copies does
 not meet in all pairs. Lines that had more partners and stay unsettled meet all of them in a second pass.
 
-Defined results: lines with under MIN_WORDS different words are never removed and remove none; null and
-empty texts come back as they are; a text whose lines all go is empty; rows with equal doc_id count
+Defined results: every line with a word takes part, however short; lines without words are never removed and
+remove none (similar_lines alone starts at MIN_WORDS different words unless told otherwise); null and empty texts come back as they are; a text whose lines all go is empty; rows with equal doc_id count
 as one document; null doc_ids come last; the order of columns and extra ones are kept, but for those named
 removed, removed_, key_ and hit_, which are replaced or dropped.
 """
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut_lineage, mixed, stored, word_hashes
 
 THRESHOLD = (4, 5)
-MIN_WORDS = 5
+#: Least number of different words of a line that takes part: in dedup_lines, and where similar_lines is called by itself.
+ALL_LINES, MIN_WORDS = 1, 5
 #: Tokens whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a token may be one.
 FREQUENT, FREQUENT_SHARE = 1 << 15, 5e-4
 #: Rows up to which the lists of a batch are compared together.
@@ -306,7 +307,7 @@ def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     return copies.union(gone).distinct()
 
 
-def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = ALL_LINES) -> DataFrame:
     """``documents`` with the text without its later similar lines, and ``removed``, the line numbers that went.
 
     Only documents that may have lost a line are shuffled for it.
