@@ -2,7 +2,8 @@
 
 A zstandard raw-content dictionary is cut for every language from a bounded sample of labelled
 rows. A text goes to the language whose dictionary compresses it best; where the runner-up comes
-within ``margin`` of the winner, the prediction is marked as rejected. Whole texts are read, in
+within ``margin`` of the winner, the prediction is marked as rejected. Unless given, the margin is
+found from the sample itself: one half's texts are predicted by the other half's dictionaries. Whole texts are read, in
 blocks, so that long texts keep depending on the dictionaries. Only ``text`` and ``lang`` of
 training rows are learned from, and only ``text`` is used to predict.
 
@@ -14,20 +15,24 @@ alike; without any training row everything is ``und``; other columns are ignored
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The bound of the training sample: rows a language, characters of each, and languages.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 256, 1500, 64
+#: The bound of the training sample of a language: rows and characters of each. Every language is learned.
+SAMPLE_ROWS, SAMPLE_CHARS = 256, 1500
 #: Characters of a text that are compressed at once.
 BLOCK = 4096
 LEVEL = 6
-#: Share by which the second-best result must be larger than the best.
-MARGIN = 0.001
+#: Share by which the second-best result must be larger than the best, where too few texts can be measured.
+MARGIN = 0.05
+#: The margin is this part of this quantile of the sample's own margins, from as many texts at most and at least.
+MARGIN_PART, MARGIN_QUANTILE, MEASURED, LEAST_MEASURED = 0.5, 0.05, 1024, 20
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -41,8 +46,7 @@ def training_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
     Ranks are taken in salted groups first, so that a frequent language doesn't fill one task.
     """
     named = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("key"), "doc_id")
-    most = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    named = named.join(F.broadcast(most), "lang", "leftsemi").withColumn("salt", F.col("key") % 32)
+    named = named.withColumn("salt", F.col("key") % 32)
     for group in (["lang", "salt"], ["lang"]):
         named = named.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("key", "doc_id"))).where(F.col("rank") <= rows)
     chosen = documents.join(F.broadcast(named.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "leftsemi")
@@ -66,21 +70,47 @@ class Classifier:
             known.precompute_compress(level=LEVEL)
             self.by.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)))
 
+    def sizes(self, clean: str) -> list[tuple[int, str]]:
+        """Compressed size by every language, the best first."""
+        blocks = [clean[k : k + BLOCK].encode() for k in range(0, len(clean), BLOCK)]
+        return sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.by)
+
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         """Language, score and whether the margin suffices."""
         if text is None or not self.by or not (clean := normalised(text)):
             return "und", 0.0, False
-        blocks = [clean[k : k + BLOCK].encode() for k in range(0, len(clean), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.by)
+        sizes = self.sizes(clean)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, True
         (best, lang), (second, _) = sizes[:2]
         return lang, 1 - best / second, second >= best * (1 + margin)
 
 
-def identify(documents: DataFrame, training: DataFrame, margin: float = MARGIN, carry: list[str] = ()) -> DataFrame:
+def sample_margin(sample: list[tuple[str, str]]) -> float:
+    """The margin for a sample: letter noise lies below it, nearly all of its rightly predicted texts above.
+
+    Texts are measured by the half of the sample that they are not in.
+    """
+    halves: tuple[list, list] = ([], [])
+    for lang, text in dict.fromkeys(sample):
+        halves[zlib.crc32(text.encode()) & 1].append((lang, text))
+    found = []
+    for mine, other in (halves, halves[::-1]):
+        content = dictionaries(other)
+        model = Classifier(content)
+        for lang, text in mine[:: -(-2 * len(mine) // MEASURED) or 1]:
+            if len(content) > 1 and lang in content and (clean := normalised(text)):
+                (best, first), (second, _) = model.sizes(clean)[:2]
+                if first == lang:
+                    found.append(second / best - 1)
+    return MARGIN_PART * float(np.quantile(found, MARGIN_QUANTILE)) if len(found) >= LEAST_MEASURED else MARGIN
+
+
+def identify(documents: DataFrame, training: DataFrame, margin: float | None = None, carry: list[str] = ()) -> DataFrame:
     """doc_id, the columns in ``carry``, lang_pred, score and accepted for every row of ``documents``."""
-    content = dictionaries(training_sample(training))
+    sample = training_sample(training)
+    content = dictionaries(sample)
+    margin = sample_margin(sample) if margin is None else margin
     kept = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

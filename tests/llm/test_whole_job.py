@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from gridloom.llm import line_dedup
+from gridloom.llm import langid, line_dedup
+from tests.conftest import DATA
 
 
 def brute_lines(rows):
@@ -25,3 +26,27 @@ def test_short_lines_are_deduplicated(spark):
     assert {i: r.removed for i, r in out.items() if r.removed} == want
     assert out[100].text == "Menu\n\nread more now\n" and all(out[100 + k].text == "\n" for k in range(1, 40))
     assert out[201].removed == [0] and out[202].removed == []
+
+
+def test_noise_is_rejected_and_real_texts_are_not(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(12)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (200, 2000) for _ in range(40)]
+    long = [[r.text[:600].split() for r in docs.where(f"lang = '{lang}' AND n_chars > 600").orderBy("doc_id").limit(40).collect()] for lang in ("en", "de")]
+    mixed = [" ".join(w for pair in zip(*texts) for w in pair) for texts in zip(*long)]  # English and German words in turn
+    rows = [(10**9 + k, t, None) for k, t in enumerate(noise)] + [(2 * 10**9 + k, t, None) for k, t in enumerate(mixed)]
+    training = docs.where(~langid.held_out())
+    got = langid.identify(docs.where(langid.held_out()).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")), training).collect()
+    accepted = lambda low, high: np.mean([r.accepted for r in got if low <= r.doc_id < high])
+    assert accepted(10**9, 2 * 10**9) == 0
+    assert accepted(0, 10**9) > 0.97
+    assert accepted(2 * 10**9, 3 * 10**9) < 0.5
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(13)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for k in range(70)}
+    rows = [(100 * k + n, " ".join(rng.choice(w, 40)), lang) for k, (lang, w) in enumerate(words.items()) for n in range(2 + (k < 64))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, docs).collect()}
+    assert set(got.values()) == set(words) and all(got[i] == lang for i, _, lang in rows)
