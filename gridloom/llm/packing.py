@@ -27,6 +27,8 @@ from gridloom.llm.common import cut_lineage
 
 LENGTH, UNIT, END = 2048, 8, 1
 CLASSES = LENGTH // UNIT
+#: The special token that byte_bpe_50k.json finds in texts.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Groups in which a class is ranked, so that a frequent length doesn't fill one task.
 SPREAD = 64
 #: A linear program is left when its bound shows that at most this share can still be gained.
@@ -39,29 +41,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
+def encoder(path: str, special: bool = False):
     """The ids of byte_bpe_50k.json: the same vocabulary and pattern, in the faster of the two libraries.
 
-    Equal to tokenizers with encode_special_tokens (special strings in a text are ordinary text).
+    special: equal to tokenizers as it is, where a special string in a text is its own id; otherwise equal to
+    tokenizers with encode_special_tokens (special strings in a text are ordinary text).
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
 
 
-def pieces_of(documents: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pieces_of(documents: DataFrame, path: str | None = None, length: int = LENGTH, special: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, salt), one row a piece."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code = encoder(path, special)
         for batch in batches:
             at, start, size, crc, total = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
-                ids = np.append(np.frombuffer(code.encode_to_numpy(text.as_py() or ""), np.uint32), np.uint32(END)).astype("<u4")
+                ids = np.append(np.frombuffer(code.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32), np.uint32(END)).astype("<u4")
                 for s in range(0, len(ids), length):
                     part = ids[s : s + length]
                     at.append(k), start.append(s), size.append(len(part)), crc.append(zlib.crc32(part.tobytes())), total.append(len(ids))
@@ -191,11 +194,11 @@ def slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, i
     return out
 
 
-def pack(documents: DataFrame, path: str | None = None) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, special: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece."""
     spark = documents.sparkSession
     keys = ["doc_id", "start", "ids_crc32", "doc_tokens", "length"]
-    pieces = pieces_of(documents, path).withColumn("class", F.ceil(F.col("length") / UNIT).cast("int")).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int"))
+    pieces = pieces_of(documents, path, special=special).withColumn("class", F.ceil(F.col("length") / UNIT).cast("int")).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int"))
     pieces = cut_lineage(pieces)
     counts = pieces.groupBy("class", "part").count()
     before = cut_lineage(counts.select("class", "part", (F.sum("count").over(Window.partitionBy("class").orderBy("part")) - F.col("count")).alias("before"), "count"))
@@ -229,7 +232,7 @@ def pack(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), special=True)
 
 
 SQL = None  # tokenization isn't SQL; tests check exact reassembly and the padding

@@ -1,8 +1,11 @@
 """The operators as the queries call them do the whole job: nothing short, rare or special is left out."""
 
+import zlib
+
 import numpy as np
 
-from gridloom.llm import langid, line_dedup
+import corpus_pipeline
+from gridloom.llm import langid, line_dedup, packing
 from tests.conftest import DATA
 
 
@@ -50,3 +53,22 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.identify(docs, docs).collect()}
     assert set(got.values()) == set(words) and all(got[i] == lang for i, _, lang in rows)
+
+
+def test_special_strings_are_their_own_ids(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "<|ENDOFTEXT|> plain", "Grüße  <|endoftext|>é" + " word <|endoftext|>" * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (packing.query(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        got = {(r.doc_id, r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in out.collect()}
+        want = {}
+        for k, text in enumerate(texts):
+            ids = np.array([*reference.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            for s in range(0, len(ids), 2048):
+                part = ids[s : s + 2048]
+                want[k, s] = (len(part), zlib.crc32(part.tobytes()), len(ids))
+        assert got == want
