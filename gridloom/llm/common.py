@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,21 +97,69 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _places(keys: list[np.ndarray], size: int) -> np.ndarray:
+    h = np.zeros(len(keys[0]), np.uint64)
+    for key in keys:
+        h = mixed(h * _R + key.astype(np.int64).view(np.uint64))
+    return h % np.uint64(size)
+
+
+class KeyFilter:
+    """A Bloom filter with one hash over long key columns: no key of ``rows`` is missed, few others pass.
+
+    Its size follows the number of rows up to MOST_BITS; that many bits go to the driver and the tasks.
+    Beyond, more other keys pass, which costs shuffling and changes no result.
+    """
+
+    LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 15, 1 << 26, 16
+
+    def __init__(self, rows: DataFrame, keys: list[str]):
+        keyed = rows.select(*keys)
+        self._context = rows.sparkSession.sparkContext
+        self.size = size = min(self.MOST_BITS, max(self.LEAST_BITS, 1 << (self.BITS_A_KEY * keyed.count()).bit_length()))
+        self.bits = np.zeros(size // 8, np.uint8)
+
+        def run(batches):
+            for batch in batches:
+                at = _places([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(at).astype(np.int64) + 1)], ["at"])
+
+        places = keyed.mapInArrow(run, "at long").select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+        for row in places.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # at most MOST_BITS in all
+            self.bits[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
+
+    def has(self, *keys: np.ndarray) -> np.ndarray:
+        at = _places(list(keys), self.size)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def shared(self):
+        """The filter as a broadcast variable."""
+        context, self._context = self._context, None
+        return context.broadcast(self)
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the least node.
 
-    ``edges`` has long columns ``a`` and ``b``. Every round takes the least label among the
-    neighbours and then jumps to the label's own label; both are partial aggregates and joins,
-    and each round's labels go to the shared folder. Raises if max_rounds doesn't suffice.
+    ``edges`` has long columns ``a`` and ``b``. Rounds alternate two steps of rewiring: every node
+    ties its greater neighbours to its least one, then its lesser neighbours to the least. Trees
+    flatten in a number of rounds that grows with the logarithm of the longest path, and no node's
+    neighbours are gathered: both steps are a partial aggregate, a join and a distinct. Each round is
+    written to the shared folder and read back, so that neither lineage nor Spark's size estimates build up.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jumped"))
-        labels = cut_lineage(low.join(jump, low.low == jump["at"], "left").select("node", F.least("low", F.coalesce("jumped", "low")).alias("label"), (F.least("low", F.coalesce("jumped", "low")) != F.col("old")).alias("moved")))
-        if labels.where("moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("moved")
+        # Greater neighbours of every node are tied to the least of it and its neighbours.
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+        large = both.join(least, F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Of the lesser neighbours the least becomes the centre of the others and of the node.
+        low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        tied = large.join(low, F.col("a") == F.col("node"))
+        small = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("a", F.col("m").alias("b"))).distinct()
+        after = stored(small)
+        same = [x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first() for x in (links, after)]
+        if same[0] == same[1]:
+            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(after.select("b", "b").distinct())
+        links = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,339 +1,356 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Tokens are put in one global order, rare ones first; two lines of
-Jaccard similarity t or more then share a token among their first n - ceil(t * n) + 1. Those prefix
-tokens are joined; length, position and a 32-bit parity bitmap of the sets bound the overlap and
-discard pairs in the join; the words of what is left are read again and compared exactly. A line
-goes if an earlier line (by doc_id, then line number) is similar, whether or not that one goes too.
-
-Equal sets are settled by grouping alone. In a token's longer lists every line takes its first PARTNERS earlier
-lines that pass the filters; most repeated lines are settled by them, so a family of near copies does
-not meet in all pairs. Lines that had more partners and stay unsettled meet all of them in a second pass.
-
-Defined results: every line with a word takes part, however short; lines without words are never removed and
-remove none (similar_lines alone starts at MIN_WORDS different words unless told otherwise); null and empty texts come back as they are; a text whose lines all go is empty; rows with equal doc_id count
-as one document; null doc_ids come last; the order of columns and extra ones are kept, but for those named
-removed, removed_, key_ and hit_, which are replaced or dropped.
+A line is the set of its words. Words are put in one global order, rare ones first; two lines of
+Jaccard similarity t or more then share a word among their first n - ceil(t * n) + 1. A row for each of
+those prefix words goes to the list of its word; in a list, length, position and a 128-bit parity
+bitmap of the sets bound the overlap and discard pairs; the words of what is left are compared exactly.
+A line goes if an earlier line (by doc_id, then line number) is similar, whether or not that one goes too.
+
+Equal sets are settled by grouping, with a combine before the shuffle, on 128 bits of sums over 64-bit
+hashes of their words. In a list every line takes its first earlier line that passes the filters
+(PARTNERS); most repeated lines are settled by the earliest of them, so a family of near copies does not
+meet in all pairs. Lines that had more partners and stay unsettled meet all of them in a second pass. The
+lists of very frequent words are cut by size class, so that only sizes that can match share a list.
+
+Defined results: every line with a word takes part unless ``min_words`` asks for more different
+words; lines without words are never removed and remove none; null and empty texts come back as they
+are; a text whose lines all go is empty. Rows are told apart by doc_id and text: rows that repeat both are one document
+and get the same result, rows that share an id only (null ids too) keep their own lines, the lesser text hash being
+the earlier one; null doc_ids come last. doc_id must be an integer. Further columns come back in their order,
+whatever their names, but for ``removed``, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut_lineage, mixed, stored, word_hashes
+from gridloom.llm.common import KeyFilter, cut_lineage, mixed, stored, word_hashes
 
 THRESHOLD = (4, 5)
-#: Least number of different words of a line that takes part: in dedup_lines, and where similar_lines is called by itself.
-ALL_LINES, MIN_WORDS = 1, 5
-#: Tokens whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a token may be one.
+#: Words whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a word may be one.
 FREQUENT, FREQUENT_SHARE = 1 << 15, 5e-4
-#: Rows up to which the lists of a batch are compared together.
-SHORT = 8
-#: Earlier lines that a line meets first in a token's list; the rest follow if these don't settle it.
-PARTNERS = 4
-#: 64-bit words of the filters that name the lines and documents to be read again.
-FILTER_WORDS = 1 << 17
+#: Lines from which the list of a frequent word is cut by size class.
+HOT_LINES = 20_000
+#: Rows up to which lists are compared many at once, and rows that are held for it.
+SHORT, ROWS = 96, 1 << 17
+#: Earlier lines that a line meets first in a word's list; the rest follow if these don't settle it.
+PARTNERS = 1
 #: Bytes of text that are hashed together.
 BLOCK_BYTES = 4 << 20
 _LAST = 2**63 - 1
-_LINES = "doc_id long, line int, id1 long, id2 long, n int, sig int, prefix array<long>"
+_KEY = ["doc", "mark", "line"]
+_LINES = "doc long, mark long, line int, id1 long, id2 long, n int, sig1 long, sig2 long, prefix array<struct<list:long,pos:int>>"
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc, mark, text): what tells rows apart, and their text."""
+    return documents.where("text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    docs, marks, texts, size = [], [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if text:
-                ids.append(key), texts.append(text)
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text"))):
+            docs.append(doc), marks.append(mark), texts.append(text)
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield np.array(docs, np.int64), np.array(marks, np.int64), texts
+                docs, marks, texts, size = [], [], [], 0
+    if texts:
+        yield np.array(docs, np.int64), np.array(marks, np.int64), texts
 
 
 def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the distinct words of the lines of all texts, by line and then by key.
+    """(line, hash) of the different words of the lines of all texts, by line, then rank, then hash.
 
-    A key orders words: 16 bits of rank among ``frequent`` (hashes, sorted, with ranks in a second
-    column; 0 for a rare word) and 48 bits of hash. Lines are numbered through the texts.
+    ``frequent``: hashes, sorted, with ranks in a second column; all others rank before them. Lines are numbered through the texts.
     """
     data = "\n".join(texts).encode()
     h, start = word_hashes(data)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start)
-    short = h >> np.uint64(16)
-    rank = np.zeros(len(h), np.uint64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent[:, 0], short), len(frequent) - 1)
-        rank = np.where(frequent[at, 0] == short, frequent[at, 1], np.uint64(0))
-    key = (rank << np.uint64(48)) | short
-    order = np.lexsort((key, line))
-    line, key = line[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    return line[new], key[new]
+    words, code = np.unique(h, return_inverse=True)
+    rank = np.zeros(len(words), np.uint64)
+    if len(frequent) and len(words):
+        at = np.minimum(np.searchsorted(frequent[:, 0], words), len(frequent) - 1)
+        rank = np.where(frequent[at, 0] == words, frequent[at, 1], np.uint64(0))
+    order = np.lexsort((words, rank))
+    place = np.empty(len(words), np.uint64)
+    place[order] = np.arange(len(words), dtype=np.uint64)
+    both = np.sort((line.astype(np.uint64) << np.uint64(32)) | place[code])
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return (both >> np.uint64(32)).astype(np.int64), words[order][(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def frequent_tokens(documents: DataFrame) -> np.ndarray:
-    """At most FREQUENT words with ranks by their count; a word that is frequent anywhere is among the candidates."""
+    """(hash, rank, count) of at most FREQUENT words, by hash; a word that is frequent anywhere is among the candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _slices(batches):
-            words, count = np.unique(word_hashes("\n".join(texts).encode())[0] >> np.uint64(16), return_counts=True)
+        for _, _, texts in _blocks(batches):
+            words, count = np.unique(word_hashes("\n".join(texts).encode())[0], return_counts=True)
             often = count >= max(2, FREQUENT_SHARE * count.sum() / 40)
             yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["word", "lines"])
 
-    found = documents.select("doc_id", "text").mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT).collect()
-    ranked = np.array([(r.word, FREQUENT - k) for k, r in enumerate(found)], np.uint64).reshape(-1, 2)
+    found = _keyed(documents).mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT).collect()
+    ranked = np.array([(r.word % 2**64, FREQUENT - k, r.lines) for k, r in enumerate(found)], np.uint64).reshape(-1, 3)
     return ranked[np.argsort(ranked[:, 0])]
 
 
 def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int, int], min_words: int) -> DataFrame:
-    """One row a line with min_words different words: identity of its set, size, bitmap and prefix."""
+    """One row a line with min_words different words: identity of its set, size, bitmap and prefix.
+
+    The prefix is empty where no other set can be similar, or where the block has an earlier line of the same set.
+    """
     up, down = threshold
+    hot = frequent[frequent[:, 2] >= HOT_LINES, 0]
+
+    def lists(key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, list and position; a hot word's list is that of a size class, and lines also visit the
+        next class, as guests (position below zero)."""
+        is_hot = np.isin(key, hot)
+        grade = np.floor(np.log(n) / math.log(down / up) + 1e-9).astype(np.uint64) if up < down else n.astype(np.uint64)
+        own = np.where(is_hot, mixed(key + mixed(grade + np.uint64(1))), key)
+        guest = np.flatnonzero(is_hot) if up < down else np.zeros(0, np.int64)
+        row = np.concatenate([np.arange(len(key)), guest])
+        return row, np.concatenate([own, mixed(key[guest] + mixed(grade[guest] + np.uint64(2)))]), np.concatenate([pos, -1 - pos[guest]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _slices(batches):
+        for docs, marks, texts in _blocks(batches):
             line, key = tokens(texts, frequent)
             if not len(line):
                 continue
             first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             n = np.diff(np.append(first, len(line)))
-            h = mixed(key & np.uint64(0xFFFFFFFFFFFF))
+            h = mixed(key)
             id1, id2 = np.add.reduceat(h, first), np.add.reduceat(mixed(h + np.uint64(1)), first)
-            sig = np.bitwise_xor.reduceat(np.uint32(1) << (h & np.uint64(31)).astype(np.uint32), first)
+            bit = np.uint64(1) << (h & np.uint64(63))
+            half = h & np.uint64(64) != 0
+            sigs = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first) for side in (half, ~half)]
             before = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
-            doc = np.searchsorted(before, line[first], side="right") - 1
+            of = np.searchsorted(before, line[first], side="right") - 1
+            doc, mark, number = docs[of], marks[of], line[first] - before[of]
             keep = n >= min_words
-            take = n - -(-up * n // down) + 1
-            offsets = np.concatenate([[0], np.cumsum(take[keep])])
-            inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take[keep])
-            prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(key[np.repeat(first[keep], take[keep]) + inner].view(np.int64)))
+            # Of equal sets only the block's earliest is listed, and only if another size or set may match.
+            order = np.lexsort((number, mark, doc))
+            listed = np.zeros(len(n), bool)
+            listed[order[np.unique(id1[order], return_index=True)[1]]] = True
+            listed &= keep & ((up * (n + 1) <= down * n) | (up * n <= down * (n - 1)))
+            take = np.where(listed, n - -(-up * n // down) + 1, 0)
+            inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            owner = np.repeat(np.arange(len(n)), take)
+            row, where, pos = lists(key[first[owner] + inner], n[owner], inner)
+            by_line = np.argsort(owner[row], kind="stable")
+            sizes = np.bincount(owner[row], minlength=len(n))[keep]
+            pairs = pa.StructArray.from_arrays([pa.array(where[by_line].view(np.int64)), pa.array(pos[by_line].astype(np.int32))], ["list", "pos"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in doc[keep]], pa.int64()), pa.array((line[first] - before[doc])[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), pa.array(sig[keep].view(np.int32)), prefix],
-                ["doc_id", "line", "id1", "id2", "n", "sig", "prefix"],
+                [pa.array(doc[keep]), pa.array(mark[keep]), pa.array(number[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in sigs), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pairs)],
+                [*_KEY, "id1", "id2", "n", "sig1", "sig2", "prefix"],
             )
 
-    return documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(run, _LINES)
-
-
-def _bits(rows: DataFrame, key: Column, salt: int) -> np.ndarray:
-    """A filter of FILTER_WORDS words with one bit set for each key; a fixed size goes to the driver."""
-    h = F.xxhash64(key, F.lit(salt))
-    words = rows.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for r in words.collect():
-        out[r.w] = r.b
-    return out
-
-
-def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For Spark's xxhash64 values: whether their bit is set."""
-    return (bits[key % FILTER_WORDS] >> (key.view(np.uint64) >> np.uint64(58)).astype(np.int64)) & 1 == 1
-
-
-def words_of_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, text) of the lines in ``wanted`` (doc_id, line): documents are read again, and
-    what two filters leave of their lines, not their texts, is shuffled to the join."""
-    docs = _bits(wanted, F.col("doc_id"), 1)
-    lines = _bits(wanted, F.struct("doc_id", "line"), 2)
-    keyed = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text").where("text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", F.lit(1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text, number = [], [], []
-            ok = np.flatnonzero(_in(docs, batch.column("h").to_numpy()))
-            for k in ok:
-                key = batch.column("doc_id")[k].as_py()
-                for at, one in enumerate(batch.column("text")[k].as_py().split("\n")):
-                    ids.append(key), number.append(at), text.append(one)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(text, pa.string())], ["doc_id", "line", "text"])
-
-    exploded = keyed.mapInArrow(run, "doc_id long, line int, text string").withColumn("h", F.xxhash64(F.struct("doc_id", "line"), F.lit(2)))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in(lines, batch.column("h").to_numpy()))).select(["doc_id", "line", "text"])
+    return _keyed(documents).mapInArrow(run, _LINES)
 
-    kept = exploded.mapInArrow(second, "doc_id long, line int, text string")
-    return wanted.select("doc_id", "line").distinct().join(kept, ["doc_id", "line"]).groupBy("doc_id", "line").agg(F.max("text").alias("text"))
 
-
-def _partners(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, threshold: tuple[int, int], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (earlier, later) of the rows of one list, in order, that pass the length, position and
-    bitmap filters: at most the first ``most`` of each later row; and whether a row has further ones."""
+def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarray:
+    """Which pairs of rows (n, pos, sig1, sig2) pass the length, position and bitmap filters; not two guests."""
     up, down = threshold
-    first, second, more = [], [], np.zeros(len(n), bool)
-    for low in range(0, len(n), 512):
-        high = min(low + 512, len(n))
-        taken = np.zeros(high - low, np.int64)
-        for at in range(0, high, 2048):
-            end = min(at + 2048, high)
-            a, b = n[None, at:end], n[low:high, None]
-            need = (up * (a + b) + (up + down - 1)) // (up + down)
-            ok = (np.maximum(a, b) * up <= np.minimum(a, b) * down) & (np.minimum(a - pos[None, at:end], b - pos[low:high, None]) >= need)
-            ok &= np.bitwise_count(sig[None, at:end] ^ sig[low:high, None]) <= a + b - 2 * need
-            ok &= np.arange(at, end)[None] < np.arange(low, high)[:, None]
-            rank = np.cumsum(ok, axis=1) + taken[:, None]
+    n, pos, sig1, sig2 = rows
+    a, b = n[p], n[q]
+    need = (up * (a + b) + (up + down - 1)) // (up + down)
+    ok = np.bitwise_count(sig1[p] ^ sig1[q]).astype(np.int16) + np.bitwise_count(sig2[p] ^ sig2[q]) <= a + b - 2 * need
+    ok &= np.maximum(a, b) * up <= np.minimum(a, b) * down
+    x, y = pos[p], pos[q]
+    ok &= np.minimum(a - np.where(x < 0, -1 - x, x), b - np.where(y < 0, -1 - y, y)) >= need
+    return ok & ((x >= 0) | (y >= 0))
+
+
+def _in_short_lists(rows: list[np.ndarray], run: np.ndarray, most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (earlier, later) of the rows of many lists at once, ``run`` the number of each row's list:
+    the first ``most`` of each later row, and whether that row has further ones."""
+    found, step, alive = [np.zeros(0, np.int64)], 1, np.arange(len(run) - 1)
+    while len(alive := alive[alive + step < len(run)]) and len(alive := alive[run[alive + step] == run[alive]]):
+        p = alive[_near(rows, alive, alive + step, threshold)]
+        found.append(((p + step) << 32) | p)
+        step += 1
+    both = np.sort(np.concatenate(found))
+    q = both >> 32
+    new = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else q
+    size = np.diff(np.append(new, len(q)))
+    keep = np.arange(len(q)) - np.repeat(new, size) < most
+    return (both & 0xFFFFFFFF)[keep], q[keep], np.repeat(size > most, size)[keep]
+
+
+def _in_long_list(rows: list[np.ndarray], most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the rows of one list, in tiles; a row that has more than ``most`` is not looked at further."""
+    size = len(rows[0])
+    first, second, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(size, bool)
+    for low in range(0, size, 512):
+        mine = np.arange(low, min(low + 512, size))
+        taken = np.zeros(len(mine), np.int64)
+        for at in range(0, mine[-1] + 1, 2048):
+            still = np.flatnonzero(taken <= most)
+            if not len(still):
+                break
+            earlier = np.arange(at, min(at + 2048, mine[-1] + 1))
+            ok = _near(rows, earlier[None], mine[still, None], threshold) & (earlier[None] < mine[still, None])
+            rank = np.cumsum(ok, axis=1) + taken[still, None]
             q, p = np.nonzero(ok & (rank <= most))
-            first.append(p + at), second.append(q + low)
-            taken = rank[:, -1]
-        more[low:high] = taken > most
-    return np.concatenate(first), np.concatenate(second), more
+            first.append(earlier[p]), second.append(mine[still[q]])
+            taken[still] = rank[:, -1]
+        more[mine] = taken > most
+    q = np.concatenate(second)
+    return np.concatenate(first), q, more[q]
 
 
-_LISTED = "a_doc long, a_line int, b_doc long, b_line int, more boolean"
+_PAIR = [f"{s}_{c}" for s in "ab" for c in _KEY]
+_PAIRS = "a_doc long, a_mark long, a_line int, b_doc long, b_mark long, b_line int"
 
 
 def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only_marked: bool = False) -> DataFrame:
-    """Pairs of lines from the token lists of ``postings`` (token, doc_id, line, n, pos, sig, and marked).
+    """Pairs of lines from the lists of ``postings`` (list, doc, mark, line, n, pos, sig1, sig2, marked): for each line
+    the first ``most`` of a list, and ``more`` where the list has further ones.
 
-    Lists are streamed in the order of tokens; one list at a time is in memory, as narrow numbers.
-    Rows without an earlier line (a_doc null) say only that their line has more partners.
+    Lists are streamed in order; some ROWS, or one list, are in memory at a time, as numbers.
     """
-
-    def one(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        doc, line, n, pos, sig, marked = rows
-        p, q, more = _partners(n, pos, sig.astype(np.uint32), threshold, most)
-        if only_marked:
-            keep = marked[q].astype(bool)
-            p, q, more = p[keep], q[keep], np.zeros(len(n), bool)
-        extra = np.flatnonzero(more)
-        if not len(q) and not len(extra):
-            return None
-        ends = np.concatenate([q, extra])
-        none = np.concatenate([np.zeros(len(q), bool), np.ones(len(extra), bool)])
-        starts = np.concatenate([p, np.zeros(len(extra), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(doc[starts], mask=none), pa.array(line[starts].astype(np.int32), mask=none), pa.array(doc[ends]), pa.array(line[ends].astype(np.int32)), pa.array(none)], ["a_doc", "a_line", "b_doc", "b_line", "more"])
-
-    def short(rows: list[np.ndarray], run: np.ndarray, size: np.ndarray) -> pa.RecordBatch | None:
-        """All pairs of the lists of at most SHORT rows, for a whole batch at once."""
-        doc, line, n, pos, sig, marked = rows
-        up, down = threshold
-        first, second = [], []
-        for step in range(1, SHORT):
-            p = np.flatnonzero((run[step:] == run[:-step]) & (size[:-step] <= SHORT))
-            if not len(p):
-                break
-            q = p + step
-            a, b = n[p], n[q]
-            need = (up * (a + b) + (up + down - 1)) // (up + down)
-            ok = (np.maximum(a, b) * up <= np.minimum(a, b) * down) & (np.minimum(a - pos[p], b - pos[q]) >= need) & (np.bitwise_count(sig[p].astype(np.uint32) ^ sig[q].astype(np.uint32)) <= a + b - 2 * need)
-            if only_marked:
-                ok &= marked[q].astype(bool)
-            first.append(p[ok]), second.append(q[ok])
-        if not first or not sum(map(len, first)):
-            return None
-        p, q = np.concatenate(first), np.concatenate(second)
-        return pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(line[p].astype(np.int32)), pa.array(doc[q]), pa.array(line[q].astype(np.int32)), pa.array(np.zeros(len(p), bool))], ["a_doc", "a_line", "b_doc", "b_line", "more"])
-
-    def lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, rows = columns[0], columns[1:]
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    columns = ["list", *_KEY, "n", "pos", "sig1", "sig2", "marked"]
+
+    def pairs_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        new = np.ones(len(order), bool)  # repeated rows of the input are the same line
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
+        key, doc, mark, line, n, pos, sig1, sig2, marked = (c[new] for c in cols)
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         length = np.diff(edges)
-        run = np.repeat(np.arange(len(length)), length)
-        if (out := short(rows, run, length[run])) is not None:
-            yield out
+        few = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
+        rows = [n, pos, sig1, sig2]
+        parts = [(few, *_in_short_lists([x[few] for x in rows], np.repeat(np.arange(len(length)), length)[few], most, threshold))]
         for k in np.flatnonzero(length > SHORT):
-            if (out := one([c[edges[k] : edges[k + 1]] for c in rows])) is not None:
-                yield out
+            mine = np.arange(edges[k], edges[k + 1])
+            parts.append((mine, *_in_long_list([x[mine] for x in rows], most, threshold)))
+        for at, p, q, more in parts:
+            p, q = at[p], at[q]
+            keep = (marked[q] > 0) if only_marked else np.ones(len(q), bool)
+            p, q, more = p[keep], q[keep], more[keep]
+            if len(q):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in (p, q) for x in (doc, mark, line)), pa.array(more)], [*_PAIR, "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        count = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "doc_id", "line", "n", "pos", "sig", "marked")]
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # where the batch's last list begins
-            if held and (last or held[-1][0][-1] != columns[0][-1]):
-                yield from lists([np.concatenate([*(h[k] for h in held), columns[k][:last]]) for k in range(7)])
-                held = []
-            elif last:
-                yield from lists([c[:last] for c in columns])
-            held.append([c[last:] for c in columns])
-        if held:
-            yield from lists([np.concatenate([h[k] for h in held]) for k in range(7)])
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            held.append([c.view(np.uint64) if k in (6, 7) else c for k, c in enumerate(cols)])
+            count += batch.num_rows
+            if count >= ROWS and held[0][0][0] != held[-1][0][-1]:
+                cols = [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
+                last = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last list begins
+                yield from pairs_of([c[:last] for c in cols])
+                held, count = [[c[last:] for c in cols]], count - last
+        if count:
+            yield from pairs_of([np.concatenate([h[k] for h in held]) for k in range(len(columns))])
+
+    return postings.select(*columns).repartition("list").sortWithinPartitions("list").mapInArrow(run, f"{_PAIRS}, more boolean")
 
-    listed = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
-    return listed.mapInArrow(run, _LISTED)
+
+def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, mark, line, text) of the lines in ``wanted`` and of few others: documents are read again,
+    and what two filters of keys leave of their lines, not their texts, is moved."""
+    docs, lines = KeyFilter(wanted, ["doc", "mark"]).shared(), KeyFilter(wanted, _KEY).shared()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(docs.value.has(batch.column("doc").to_numpy(), batch.column("mark").to_numpy())))
+            split = [t.split("\n") for t in batch.column("text").to_pylist()]
+            size = [len(s) for s in split]
+            key = [np.repeat(batch.column(c).to_numpy(), size) for c in ("doc", "mark")]
+            number = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in size)])
+            ok = lines.value.has(*key, number)
+            text = pa.array([t for s in split for t in s], pa.string()).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([pa.array(key[0][ok]), pa.array(key[1][ok]), pa.array(number[ok].astype(np.int32)), text], [*_KEY, "text"])
+
+    return _keyed(documents).mapInArrow(run, "doc long, mark long, line int, text string").groupBy(*_KEY).agg(F.max("text").alias("text"))
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The distinct later lines (doc_id, line) of the pairs whose words are similar."""
+    """The different later lines (doc, mark, line) of the pairs whose words are similar."""
     up, down = threshold
-    wanted = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
-    texts = stored(words_of_lines(documents, cut_lineage(wanted)))
-    side = lambda s: texts.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("text").alias(f"text_{s}"))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    both = pairs.join(side("a"), ["a_doc", "a_line"]).join(side("b"), ["b_doc", "b_line"]).select("b_doc", "b_line", words("text_a").alias("p"), words("text_b").alias("q"))
-    shared = both.select("b_doc", "b_line", F.size(F.array_intersect("p", "q")).alias("o"), (F.size("p") + F.size("q")).alias("s"))
-    return cut_lineage(shared.where(F.col("o") * down >= (F.col("s") - F.col("o")) * up).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct())
+    wanted = cut_lineage(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _KEY]).union(pairs.select(*[f"b_{c}" for c in _KEY])).distinct())
+    texts = stored(_texts_of(documents, wanted))
+    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in _KEY], F.col("text").alias(f"{s}_text"))
+    both = pairs.join(side("a"), _PAIR[:3]).join(side("b"), _PAIR[3:]).select(*_PAIR[3:], "a_text", "b_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ([set(t.encode().split()) for t in batch.column(c).to_pylist()] for c in ("a_text", "b_text"))
+            ok = [down * (both := len(x & y)) >= up * (len(x) + len(y) - both) for x, y in zip(*sets)]
+            yield batch.select(_PAIR[3:]).filter(pa.array(ok, pa.bool_())).rename_columns(_KEY)
+
+    return cut_lineage(both.mapInArrow(run, "doc long, mark long, line int").distinct())
 
 
-def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line) of every line that has an earlier similar one; null doc_ids as the largest long."""
+def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = 1) -> DataFrame:
+    """(doc, mark, line) of every line that has an earlier similar one; doc is doc_id, or the largest
+    long for null, and mark the XXH64 of the text as Spark computes it."""
     sets = stored(line_sets(documents, frequent_tokens(documents), threshold, min_words))
-    identity = ["id1", "id2", "n"]
-    groups = sets.groupBy(*identity).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    groups = cut_lineage(groups.select(*identity, "at"))
-    # Of equal sets only the first is listed: the others are settled.
-    copies = cut_lineage(sets.select("doc_id", "line", *identity).join(groups, identity).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line"))
-    firsts = sets.groupBy(*identity).agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    postings = firsts.select(F.posexplode("prefix").alias("pos", "token"), "at.doc_id", "at.line", "n", "sig")
-    found = stored(_candidates(postings.withColumn("marked", F.lit(0)), threshold, PARTNERS).distinct())
+    at = F.struct(*_KEY)
+    groups = sets.groupBy("id1", "id2", "n").agg(F.min(at).alias("at"), F.max(at).alias("to")).where("at <> to").drop("to")
+    # Of equal sets only the first may stay or name others: the rest are settled.
+    copies = cut_lineage(sets.select(*_KEY, "id1", "id2", "n").join(cut_lineage(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
+    postings = sets.select(*_KEY, "n", "sig1", "sig2", F.inline("prefix"))
+    found = _candidates(postings.withColumn("marked", F.lit(0)), threshold, PARTNERS).groupBy(*_PAIR).agg(F.max("more").alias("more"))
+    later = [F.col(f"b_{c}") == F.col(c) for c in _KEY]
+    found = cut_lineage(found.join(copies, later, "leftanti"))
+    keys = _PAIR[3:]
     # The earliest partner settles nearly every repeated line; the others are looked at where it doesn't.
-    b_keys = ["b_doc", "b_line"]
-    head = cut_lineage(found.where("NOT more").groupBy(*b_keys).agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.a_doc", "a.a_line", *b_keys))
+    head = cut_lineage(found.groupBy(*keys).agg(F.min(F.struct(*_PAIR[:3])).alias("a")).select("a.*", *keys))
     settled = _verified(documents, head, threshold)
-    rest = found.where("NOT more").drop("more").join(head, ["a_doc", "a_line", *b_keys], "leftanti").join(settled.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line")), b_keys, "leftanti")
-    early = settled.union(_verified(documents, cut_lineage(rest), threshold))
-    open_lines = found.where("more").select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct().join(early, ["doc_id", "line"], "leftanti")
-    open_lines = cut_lineage(open_lines.withColumn("marked", F.lit(1)))
-    if open_lines.isEmpty():
-        late = early
-    else:
-        marked = postings.join(open_lines, ["doc_id", "line"], "left").withColumn("marked", F.coalesce("marked", F.lit(0)))
-        lists = marked.where("marked = 1").select("token").distinct()
-        again = _candidates(marked.join(lists, "token", "leftsemi"), threshold, _LAST, only_marked=True)
-        late = _verified(documents, cut_lineage(again.drop("more").distinct()), threshold)
-    gone = early.union(late).distinct()
-    # The copies of a set go with it or stay behind its first line; they go in both cases.
-    return copies.union(gone).distinct()
-
-
-def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = ALL_LINES) -> DataFrame:
+    rest = cut_lineage(found.drop("more").join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
+    early = settled if rest.isEmpty() else settled.union(_verified(documents, rest, threshold))
+    unsettled = found.where("more").select(*[F.col(f"b_{c}").alias(c) for c in _KEY]).distinct().join(early, _KEY, "leftanti")
+    unsettled = cut_lineage(unsettled.withColumn("marked", F.lit(1)))
+    if unsettled.isEmpty():
+        return copies.union(early).distinct()
+    marked = postings.join(unsettled, _KEY, "left").withColumn("marked", F.coalesce("marked", F.lit(0)))
+    # Stored first: a repartition right above a join by the same key is taken out, and adaptive execution may then split lists.
+    again = stored(marked.join(marked.where("marked = 1").select("list").distinct(), "list", "leftsemi"))
+    again = _candidates(again, threshold, _LAST, only_marked=True)
+    late = _verified(documents, cut_lineage(again.select(*_PAIR).distinct()), threshold)
+    return copies.union(early).union(late).distinct()
+
+
+def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = 1) -> DataFrame:
     """``documents`` with the text without its later similar lines, and ``removed``, the line numbers that went.
 
     Only documents that may have lost a line are shuffled for it.
     """
-    gone = cut_lineage(similar_lines(documents, threshold, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed_")))
-    bits = documents.sparkSession.sparkContext.broadcast(_bits(gone, F.col("doc_id"), 3))  # FILTER_WORDS numbers
+    gone = cut_lineage(similar_lines(documents, threshold, min_words).groupBy("doc", "mark").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    lost = KeyFilter(gone, ["doc", "mark"]).shared()
 
     @F.pandas_udf("boolean")
-    def hit(h):
+    def hit(doc, mark):
         import pandas as pd
 
-        return pd.Series(_in(bits.value, h.to_numpy()))
+        return pd.Series(lost.value.has(doc.to_numpy(), mark.to_numpy()))
 
-    columns = [c for c in documents.columns if c not in ("removed", "removed_", "key_", "hit_")]
-    key = F.coalesce("doc_id", F.lit(_LAST))
-    marked = documents.withColumn("key_", key).withColumn("hit_", hit(F.xxhash64(key, F.lit(3))))
-    joined = marked.where("hit_").join(gone.withColumnRenamed("doc_id", "key_"), "key_", "left")
-    lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed_", i)), "\n")
-    changed = joined.select(*[F.when(F.col("removed_").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns], F.coalesce("removed_", F.array().cast("array<int>")).alias("removed"))
-    same = marked.where("NOT hit_").select(*columns, F.array().cast("array<int>").alias("removed"))
-    return same.union(changed)
+    columns = [c for c in documents.columns if c != "removed"]
+    rows = documents.select(F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
+    rows = rows.withColumn("hit", hit("doc", "mark"))
+    rest = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    changed = rows.where("hit").join(gone, ["doc", "mark"], "left").withColumn("text", F.when(F.col("removed").isNotNull(), rest).otherwise(F.col("row.text")))
+    none = F.array().cast("array<int>")
+    out = rows.where("NOT hit").select("row", F.col("row.text").alias("text"), none.alias("removed")).union(changed.select("row", "text", F.coalesce("removed", none)))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns], "removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, the numbers of the lines that went, and the digest of what stays."""
+    """Per document: the numbers of the lines that went, and the digest of what stays."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

@@ -12,6 +12,7 @@ import xxhash
 from gridloom.llm import exact_dedup, langid, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, n long, h string, words string, removed string, token long"
+SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -205,25 +206,33 @@ def test_blocks_survive_packing():
 # 5
 
 
-def brute_lines(rows):
-    lines = [(i if i is not None else 2**63 - 1, k, frozenset(x.split())) for i, t in rows if t for k, x in enumerate(t.split("\n"))]
-    lines = sorted((x for x in lines if len(x[2]) >= 5), key=lambda x: x[:2])
-    gone = set()
-    for b in range(len(lines)):
-        for a in range(b):
-            both = len(lines[a][2] & lines[b][2])
-            if 5 * both >= 4 * len(lines[a][2] | lines[b][2]):
-                gone.add(lines[b][:2])
-                break
+def brute_lines(rows, least=1):
+    """{(doc_id, text): [numbers of lines that go]}; rows that repeat both are one document, null ids come last, then text hashes decide."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    docs = sorted({(2**63 - 1 if i is None else i, signed(xxhash.xxh64_intdigest(t.encode(), 42)), i, t) for i, t in rows if t}, key=lambda d: d[:2])
+    lines = [((i, t), k, set(x.encode().split())) for _, _, i, t in docs for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= least]
+    gone = defaultdict(list)
+    for b, (doc, k, words) in enumerate(lines):
+        if any(5 * len(words & w) >= 4 * len(words | w) for _, _, w in lines[:b]):
+            gone[doc].append(k)
     return gone
 
 
-def test_line_dedup(spark, none, odd):
-    rng = np.random.default_rng(5)
+def check_lines(spark, rows, parts=3, **how):
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), **how).collect()
+    want = brute_lines(rows, how.get("min_words", 1))
+    for_row = lambda i, t: (i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get((i, t), ())) if t else t, tuple(want.get((i, t), ())))
+    assert Counter((r.doc_id, r.text, tuple(r.removed)) for r in got) == Counter(for_row(i, t) for i, t in rows)
+    return want
+
+
+def varied_lines(seed, docs=120):
+    rng = np.random.default_rng(seed)
     vocabulary = [f"w{k}" for k in range(60)]
     seeds = [list(rng.choice(vocabulary, 14, replace=False)) for _ in range(12)]
     rows = []
-    for i in range(120):
+    for i in range(docs):
         lines = []
         for _ in range(3):
             words = list(seeds[rng.integers(12)])
@@ -231,16 +240,41 @@ def test_line_dedup(spark, none, odd):
                 words[rng.integers(14)] = str(rng.choice(vocabulary))
             lines.append(" ".join(rng.permutation(words)))
         rows.append((i, "\n".join(lines)))
+    return rows
+
+
+def test_line_dedup(spark, none, odd):
+    rows = varied_lines(5)
     rows += [(200, None), (201, ""), (202, "a b\na b\n"), (None, rows[0][1])]
-    got = {(r.doc_id, r.line) for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == brute_lines(rows) and len(got) > 100
-    out = line_dedup.dedup_lines(odd).collect()
+    assert sum(map(len, check_lines(spark, rows).values())) > 100
+    check_lines(spark, rows, min_words=5)
+    out = line_dedup.dedup_lines(odd)
+    assert out.columns == [c for c in SCHEMA_COLUMNS if c != "removed"] + ["removed"]
+    out = out.collect()
     assert len(out) == len(odd_rows())
     by = {r.doc_id: r for r in out}
     assert by[0].text is None and by[100].text == sentence(2) + "\n" + sentence(3) and by[90].text == "" and by[120].text == sentence(5) + "\n"
+    assert all(r.h == "h" and r.token is not None for r in out if r.doc_id is not None)
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_rows_with_one_id_keep_their_own_lines(spark):
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "totally unrelated unique words stand here"), (7, "first text of seven\nshared line here"), (7, "second text of seven, another\nshared line here"), (7, "second text of seven, another\nshared line here"), (None, None)]
+    want = check_lines(spark, rows)
+    assert want[None, "a b c d e f"] == [0] and not want.get((None, rows[2][1]))
+
+
+def test_hot_lists_are_cut_by_size_and_stay_exact(spark, monkeypatch):
+    """Every word is hot, lists are long, the second pass runs, and the blocks are small."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 1)
+    monkeypatch.setattr(line_dedup, "SHORT", 4)
+    monkeypatch.setattr(line_dedup, "ROWS", 64)
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", 500)
+    rng = np.random.default_rng(3)
+    rows = varied_lines(6, 100) + [(1000 + k, " ".join(rng.choice(WORDS, rng.integers(1, 16)))) for k in range(200)]
+    assert sum(map(len, check_lines(spark, rows, 2).values())) > 100
+
+
 # 6
 
 
