@@ -45,7 +45,8 @@ PARTNERS = 1
 BLOCK_BYTES = 4 << 20
 _LAST = 2**63 - 1
 _KEY = ["doc", "mark", "line"]
-_LINES = "doc long, mark long, line int, id1 long, id2 long, n int, sig1 long, sig2 long, prefix array<struct<list:long,pos:int>>"
+_LINES = "doc long, mark long, line int, id1 long, id2 long, n int, sig1 long, sig2 long, lists binary, places binary"
+_POSTINGS = ["list", *_KEY, "n", "pos", "sig1", "sig2", "marked"]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
 def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int, int], min_words: int) -> DataFrame:
     """One row a line with min_words different words: identity of its set, size, bitmap and prefix.
 
-    The prefix is empty where no other set can be similar, or where the block has an earlier line of the same set.
+    The prefix, as the numbers of its lists and its places, is empty where no other set can be similar, or where the block has an earlier line of the same set.
     """
     up, down = threshold
     hot = frequent[frequent[:, 2] >= HOT_LINES, 0]
@@ -148,15 +149,34 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
             row, where, pos = lists(key[first[owner] + inner], n[owner], inner)
             by_line = np.argsort(owner[row], kind="stable")
             sizes = np.bincount(owner[row], minlength=len(n))[keep]
-            pairs = pa.StructArray.from_arrays([pa.array(where[by_line].view(np.int64)), pa.array(pos[by_line].astype(np.int32))], ["list", "pos"])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            blobs = [pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (where[by_line], pos[by_line].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[keep]), pa.array(mark[keep]), pa.array(number[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in sigs), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pairs)],
-                [*_KEY, "id1", "id2", "n", "sig1", "sig2", "prefix"],
+                [pa.array(doc[keep]), pa.array(mark[keep]), pa.array(number[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in sigs), *blobs],
+                [*_KEY, "id1", "id2", "n", "sig1", "sig2", "lists", "places"],
             )
 
     return _keyed(documents).mapInArrow(run, _LINES)
 
 
+def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter | None = None) -> DataFrame:
+    """A row for each list of each line; with filters only those of ``lists``, the lines in ``lines`` marked."""
+    lines, lists = (x and x.shared() for x in (lines, lists))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS if c not in ("list", "pos", "marked")}
+            cols["marked"] = lines.value.has(*(cols[c] for c in _KEY)).astype(np.int32) if lines else np.zeros(batch.num_rows, np.int32)
+            blobs = batch.column("lists").to_pylist()
+            key, pos = np.frombuffer(b"".join(blobs), np.int64), np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
+            of = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+            keep = lists.value.has(key) if lists else np.ones(len(key), bool)
+            mine = {"list": key[keep], "pos": pos[keep]} | {c: x[of[keep]] for c, x in cols.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(mine[c]) for c in _POSTINGS], _POSTINGS)
+
+    return sets.where("octet_length(lists) > 0").mapInArrow(run, "list long, doc long, mark long, line int, n int, pos int, sig1 long, sig2 long, marked int")
+
+
 def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarray:
     """Which pairs of rows (n, pos, sig1, sig2) pass the length, position and bitmap filters; not two guests."""
     up, down = threshold
@@ -218,7 +238,6 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
 
     Lists are streamed in order; some ROWS, or one list, are in memory at a time, as numbers.
     """
-    columns = ["list", *_KEY, "n", "pos", "sig1", "sig2", "marked"]
 
     def pairs_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
@@ -245,18 +264,18 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
         held: list[list[np.ndarray]] = []
         count = 0
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS]
             held.append([c.view(np.uint64) if k in (6, 7) else c for k, c in enumerate(cols)])
             count += batch.num_rows
             if count >= ROWS and held[0][0][0] != held[-1][0][-1]:
-                cols = [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
+                cols = [np.concatenate([h[k] for h in held]) for k in range(len(_POSTINGS))]
                 last = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last list begins
                 yield from pairs_of([c[:last] for c in cols])
                 held, count = [[c[last:] for c in cols]], count - last
         if count:
-            yield from pairs_of([np.concatenate([h[k] for h in held]) for k in range(len(columns))])
+            yield from pairs_of([np.concatenate([h[k] for h in held]) for k in range(len(_POSTINGS))])
 
-    return postings.select(*columns).repartition("list").sortWithinPartitions("list").mapInArrow(run, f"{_PAIRS}, more boolean")
+    return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, f"{_PAIRS}, more boolean")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,8 +322,7 @@ def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     groups = sets.groupBy("id1", "id2", "n").agg(F.min(at).alias("at"), F.max(at).alias("to")).where("at <> to").drop("to")
     # Of equal sets only the first may stay or name others: the rest are settled.
     copies = cut_lineage(sets.select(*_KEY, "id1", "id2", "n").join(cut_lineage(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
-    postings = sets.select(*_KEY, "n", "sig1", "sig2", F.inline("prefix"))
-    found = _candidates(postings.withColumn("marked", F.lit(0)), threshold, PARTNERS).groupBy(*_PAIR).agg(F.max("more").alias("more"))
+    found = _candidates(_postings(sets), threshold, PARTNERS).groupBy(*_PAIR).agg(F.max("more").alias("more"))
     later = [F.col(f"b_{c}") == F.col(c) for c in _KEY]
     found = cut_lineage(found.join(copies, later, "leftanti"))
     keys = _PAIR[3:]
@@ -314,14 +332,14 @@ def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     rest = cut_lineage(found.drop("more").join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
     early = settled if rest.isEmpty() else settled.union(_verified(documents, rest, threshold))
     unsettled = found.where("more").select(*[F.col(f"b_{c}").alias(c) for c in _KEY]).distinct().join(early, _KEY, "leftanti")
-    unsettled = cut_lineage(unsettled.withColumn("marked", F.lit(1)))
+    unsettled = cut_lineage(unsettled)
     if unsettled.isEmpty():
         return copies.union(early).distinct()
-    marked = postings.join(unsettled, _KEY, "left").withColumn("marked", F.coalesce("marked", F.lit(0)))
-    # Stored first: a repartition right above a join by the same key is taken out, and adaptive execution may then split lists.
-    again = stored(marked.join(marked.where("marked = 1").select("list").distinct(), "list", "leftsemi"))
-    again = _candidates(again, threshold, _LAST, only_marked=True)
-    late = _verified(documents, cut_lineage(again.select(*_PAIR).distinct()), threshold)
+    # Lists of these lines meet once more; filters name them, so that nothing else is moved.
+    lists = cut_lineage(_postings(sets, KeyFilter(unsettled, _KEY)).where("marked = 1").select("list").distinct())
+    again = _candidates(_postings(sets, KeyFilter(unsettled, _KEY), KeyFilter(lists, ["list"])), threshold, _LAST, only_marked=True)
+    again = cut_lineage(again.select(*_PAIR).distinct().join(early, later, "leftanti"))
+    late = _verified(documents, again, threshold)
     return copies.union(early).union(late).distinct()
 
 
