@@ -234,7 +234,7 @@ _PAIRS = "a_doc long, a_mark long, a_line int, b_doc long, b_mark long, b_line i
 
 def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only_marked: bool = False) -> DataFrame:
     """Pairs of lines from the lists of ``postings`` (list, doc, mark, line, n, pos, sig1, sig2, marked): for each line
-    the first ``most`` of a list, and ``more`` where the list has further ones.
+    the first ``most`` of a list, with the list as ``more`` where it has further ones (else null).
 
     Lists are streamed in order; some ROWS, or one list, are in memory at a time, as numbers.
     """
@@ -258,7 +258,7 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
             keep = (marked[q] > 0) if only_marked else np.ones(len(q), bool)
             p, q, more = p[keep], q[keep], more[keep]
             if len(q):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in (p, q) for x in (doc, mark, line)), pa.array(more)], [*_PAIR, "more"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in (p, q) for x in (doc, mark, line)), pa.array(key[q], mask=~more)], [*_PAIR, "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -275,7 +275,7 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
         if count:
             yield from pairs_of([np.concatenate([h[k] for h in held]) for k in range(len(_POSTINGS))])
 
-    return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, f"{_PAIRS}, more boolean")
+    return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, f"{_PAIRS}, more long")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -322,22 +322,21 @@ def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     groups = sets.groupBy("id1", "id2", "n").agg(F.min(at).alias("at"), F.max(at).alias("to")).where("at <> to").drop("to")
     # Of equal sets only the first may stay or name others: the rest are settled.
     copies = cut_lineage(sets.select(*_KEY, "id1", "id2", "n").join(cut_lineage(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
-    found = _candidates(_postings(sets), threshold, PARTNERS).groupBy(*_PAIR).agg(F.max("more").alias("more"))
+    listed = stored(_candidates(_postings(sets), threshold, PARTNERS))
     later = [F.col(f"b_{c}") == F.col(c) for c in _KEY]
-    found = cut_lineage(found.join(copies, later, "leftanti"))
+    found = cut_lineage(listed.select(*_PAIR).distinct().join(copies, later, "leftanti"))
     keys = _PAIR[3:]
     # The earliest partner settles nearly every repeated line; the others are looked at where it doesn't.
     head = cut_lineage(found.groupBy(*keys).agg(F.min(F.struct(*_PAIR[:3])).alias("a")).select("a.*", *keys))
     settled = _verified(documents, head, threshold)
-    rest = cut_lineage(found.drop("more").join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
+    rest = cut_lineage(found.join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
     early = settled if rest.isEmpty() else settled.union(_verified(documents, rest, threshold))
-    unsettled = found.where("more").select(*[F.col(f"b_{c}").alias(c) for c in _KEY]).distinct().join(early, _KEY, "leftanti")
-    unsettled = cut_lineage(unsettled)
-    if unsettled.isEmpty():
+    # Lists that have more partners of lines still open meet once more; filters name them, so that nothing else is moved.
+    opened = listed.where("more IS NOT NULL").select(*[F.col(f"b_{c}").alias(c) for c in _KEY], F.col("more").alias("list"))
+    opened = cut_lineage(opened.join(early.union(copies), _KEY, "leftanti").distinct())
+    if opened.isEmpty():
         return copies.union(early).distinct()
-    # Lists of these lines meet once more; filters name them, so that nothing else is moved.
-    lists = cut_lineage(_postings(sets, KeyFilter(unsettled, _KEY)).where("marked = 1").select("list").distinct())
-    again = _candidates(_postings(sets, KeyFilter(unsettled, _KEY), KeyFilter(lists, ["list"])), threshold, _LAST, only_marked=True)
+    again = _candidates(_postings(sets, KeyFilter(opened, _KEY), KeyFilter(opened, ["list"])), threshold, _LAST, only_marked=True)
     again = cut_lineage(again.select(*_PAIR).distinct().join(early, later, "leftanti"))
     late = _verified(documents, again, threshold)
     return copies.union(early).union(late).distinct()
