@@ -10,7 +10,7 @@ paths of its words (a run of markers and what follows up to the next one). Tasks
 the paths of recent words in a bounded table.
 
 Defined results: a null text has null ids, an empty one no ids; both decode to an empty text; decoding gives back every text
-exactly, also control characters, and blanks at the ends; U+2581 in a text becomes a blank, as the marker means one;
+exactly, also control characters and blanks at the ends, but for U+2581, which comes back as the blank that the marker means;
 repeated rows are encoded each; other columns are ignored.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ def load_pieces(path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     pieces = [model.id_to_piece(k) for k in range(model.vocab_size())]
     raw = np.array([model.get_score(k) for k in range(len(pieces))])
     usable = np.array([not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or model.is_byte(k)) for k in range(len(pieces))])
+    if any(MARK in p.lstrip(MARK) for p, ok in zip(pieces, usable) if ok):
+        raise ValueError("a piece crosses from another character to a marker, so that words can't be encoded one by one")
     ranks = raw[usable].min() < -1000  # merge ranks, not log scores
     score = np.full(len(pieces), np.nan)
     score[usable] = -np.log(np.minimum(-raw[usable], len(pieces)) + RANK_OFFSET) if ranks else raw[usable]
@@ -103,62 +106,92 @@ class Codec:
     """Encoder and decoder of a task."""
 
     def __init__(self, pieces: list[str], score: np.ndarray, byte_ids: np.ndarray, trie: DoubleArray):
-        self.base, self.check, self.value = trie.base.tolist(), trie.check.tolist(), trie.value.tolist()
-        self.score, self.byte_ids = score.tolist(), byte_ids.tolist()
-        self.bytes = {k: b for b, k in enumerate(self.byte_ids)}
-        self.text = pieces
+        self.base, self.value = trie.base.astype(np.int64), trie.value
+        self.check = np.concatenate([trie.check, np.full(257, -1, np.int32)])  # any step from a state stays inside
+        self.score, self.byte_ids = np.append(np.nan_to_num(score), 0.0), byte_ids.tolist()
+        # A byte piece stands for a character that only a decoder of bytes can read, where it isn't one itself.
+        self.text = list(pieces)
+        for b, k in enumerate(self.byte_ids):
+            self.text[k] = chr(b) if b < 128 else chr(0xDC00 + b)
         self.kept: dict[str, tuple[int, ...]] = {}
 
-    def viterbi(self, word: str) -> tuple[int, ...]:
-        """The path of the highest total score; of equal ones, that with the shorter last piece."""
-        data = word.encode()
-        n, base, check, value, score = len(data), self.base, self.check, self.value, self.score
-        best, back = [-math.inf] * (n + 1), [(0, ())] * (n + 1)
-        best[0] = 0.0
-        for s in range(n):
-            if best[s] == -math.inf or data[s] & 0xC0 == 0x80:
+    def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
+        """For each word the path of the highest total score; of equal ones, that with the shorter last piece.
+
+        All words step through the trie together: a row a word, a column a byte.
+        """
+        coded = [w.encode() for w in words]
+        size = np.array([len(c) for c in coded])
+        wide = int(size.max(initial=0))
+        data = np.frombuffer(b"".join(c.ljust(wide, b"\0") for c in coded), np.uint8).reshape(len(words), wide).astype(np.int64)
+        best = np.full((len(words), wide + 1), -np.inf)
+        best[:, 0] = 0.0
+        start, piece = np.zeros((len(words), wide + 1), np.int32), np.full((len(words), wide + 1), -1, np.int32)
+        for s in range(wide):
+            rows = np.flatnonzero((s < size) & (best[:, s] > -np.inf))
+            if not len(rows):
                 continue
-            here, state = best[s], 0
-            for e in range(s, n):
-                step = base[state] + data[e] + 1
-                if step >= len(check) or check[step] != state:
+            from_rows, here, state = rows, best[rows, s], np.zeros(len(rows), np.int64)
+            for e in range(s, wide):
+                step = self.base[state] + data[rows, e] + 1
+                ok = (self.check[np.minimum(step, len(self.check) - 1)] == state) & (e < size[rows])
+                rows, here, state = rows[ok], here[ok], step[ok]
+                if not len(rows):
                     break
-                state = step
-                if (k := value[state]) >= 0 and here + score[k] >= best[e + 1]:
-                    best[e + 1], back[e + 1] = here + score[k], (s, (k,))
-            e = s + 1
-            while e < n and data[e] & 0xC0 == 0x80:
-                e += 1
-            if here + BYTE_SCORE * (e - s) > best[e]:
-                best[e], back[e] = here + BYTE_SCORE * (e - s), (s, tuple(self.byte_ids[b] for b in data[s:e]))
-        out: list[tuple[int, ...]] = []
-        while n:
-            n, ids = back[n]
-            out.append(ids)
-        return tuple(k for ids in reversed(out) for k in ids)
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        ids: list[int] = []
-        kept, add = self.kept, ids.extend
-        for word in _WORD.findall(MARK + text.replace(" ", MARK)):
-            if (path := kept.get(word)) is None:
-                path = self.viterbi(word)
-                if len(word) <= KEPT_CHARS:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[word] = path
-            add(path)
-        return ids
+                k = self.value[state]
+                total = here + self.score[k]
+                better = (k >= 0) & (total >= best[rows, e + 1])
+                at = rows[better]
+                best[at, e + 1], start[at, e + 1], piece[at, e + 1] = total[better], s, k[better]
+            # The bytes of one character, if no pieces do better.
+            rows = from_rows
+            lead = data[rows, s]
+            length = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            end = s + length
+            total = best[rows, s] + BYTE_SCORE * length
+            better = total > best[rows, end]
+            at = rows[better]
+            best[at, end[better]], start[at, end[better]], piece[at, end[better]] = total[better], s, -1
+        out = []
+        for data_of, n, starts, ids in zip(coded, size.tolist(), start.tolist(), piece.tolist()):
+            path: list[int] = []
+            while n:
+                s = starts[n]
+                if ids[n] >= 0:
+                    path.append(ids[n])
+                else:
+                    path += [self.byte_ids[b] for b in data_of[s:n][::-1]]
+                n = s
+            out.append(tuple(path[::-1]))
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        """The ids of many texts: words that aren't kept yet are solved together, those of similar length in a step."""
+        words = [None if t is None else _WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        known = self.kept
+        new = sorted(set(chain.from_iterable(w for w in words if w)).difference(known), key=len)
+        own = {}
+        at = 0
+        while at < len(new):
+            end = at + 1
+            while end < len(new) and end - at < 4096 and (len(new[end]) <= 16 or len(new[end]) <= len(new[at]) * 2) and (end - at + 1) * len(new[end]) <= 1 << 18:
+                end += 1
+            own.update(zip(new[at:end], self.viterbi(new[at:end])))
+            at = end
+        path = {w: p for w, p in own.items() if len(w) > KEPT_CHARS}  # seldom seen again
+        known.update((w, p) for w, p in own.items() if len(w) <= KEPT_CHARS)
+        find = known.__getitem__ if not path else lambda w: known[w] if w in known else path[w]
+        return [None if w is None else list(chain.from_iterable(map(find, w))) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes decoded (invalid ones to U+FFFD), markers to blanks, the first blank removed."""
-        known, text = self.bytes, self.text
-        if known.keys().isdisjoint(ids):
-            out = "".join([text[k] for k in ids])
-        else:
-            out = b"".join([bytes((known[k],)) if k in known else text[k].encode() for k in ids]).decode(errors="replace")
+        out = "".join(map(self.text.__getitem__, ids))
+        try:
+            out.encode()
+        except UnicodeEncodeError:
+            out = out.encode(errors="surrogateescape").decode(errors="replace")
         out = out.replace(MARK, " ")
         return out[1:] if out.startswith(" ") else out
 
@@ -168,8 +201,11 @@ def codec_parts(path: str | None = None):
     return pieces, score, byte_ids, DoubleArray([(p.encode(), k) for k, p in enumerate(pieces) if not math.isnan(score[k])])
 
 
-def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded) for every row: the ids of the text and the text that they decode to."""
+def encode(documents: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
+    """(doc_id, ids, decoded) for every row: the ids of the text and the text that they decode to.
+
+    digest: also text_sha256, of the text that was read (null: empty).
+    """
     shared = documents.sparkSession.sparkContext.broadcast(codec_parts(path))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,18 +213,20 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [None if t is None else codec.encode(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x or []) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                ids = codec.encode(part.column("text").to_pylist())
+                columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x or []) for x in ids], pa.string()), *(part.column(c) for c in more)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", *more])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    more = ["text_sha256"] if digest else []
+    rows = documents.select("doc_id", "text", *([F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")] if digest else []))
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string" + ", text_sha256 string" * digest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, their number, and digests of the decoded text and of the text."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = encode(documents)
-    return out.select("doc_id", "ids", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+    return out.select("doc_id", "ids", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256")
 
 
 SQL = None  # Viterbi isn't SQL; tests compare with the sentencepiece library and decode exactly
