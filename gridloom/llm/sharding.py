@@ -21,7 +21,7 @@ from gridloom.llm.common import cut_lineage
 #: Cells into which rows are hashed for numbering; their counts are all that is broadcast.
 CELLS = 8192
 ROUNDS = 4
-#: Steps of a walk. Outside cells are at most a ~ sqrt(n), so a longer walk has a chance under n ** -32.
+#: Steps of a walk. Outside cells are at most a ~ sqrt(n), so a longer walk has a chance under n ** -32; one that ends outside raises.
 WALK = 64
 
 
@@ -45,7 +45,7 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     b = max(1, -(-n // a))
     once = feistel(x, a, b, seed)
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, b, seed)))
-    return F.when(once < n, once).otherwise(walk)
+    return F.when(once < n, once).when(walk < n, walk).otherwise(F.raise_error(F.lit("a cycle walk did not come back inside; choose another seed")))
 
 
 def number_rows(rows: DataFrame, keys: list[str], cells: int = CELLS) -> DataFrame:
