@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 #: Labelled rows of which the target is made, those with the least hash of doc_id.
 TARGET_ROWS = 20_000
-#: N-grams that the raw multinomial is worth as the prior of the target; a small target says little then.
+#: N-grams that the raw multinomial is worth as the prior of the target: with far fewer labelled n-grams than this the
+#: ratios stay near 0 and little is rejected; prior and threshold decide together and are arguments.
 PRIOR = 65_536.0
 #: Mean log-likelihood ratio from which a document is kept.
 THRESHOLD = -0.07
@@ -32,48 +33,39 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _at(array: str, i: Column) -> Column:
-    return F.get(F.col(array), i)
+def _apart(array: str, other: str, step: int, made: str) -> Column:
+    """Hashes of the elements of ``array`` with those of ``other`` that stand ``step`` further on, as far as ``made`` many."""
+    return F.zip_with(F.slice(array, F.lit(1), F.col(made)), F.slice(other, F.lit(1 + step), F.col(made)), lambda a, b: F.xxhash64(a, b))
 
 
 def with_hashes(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """doc_id, text, further columns as one, the number of words and the 64-bit hash of each word, in order."""
+    """doc_id, text, further columns as one, the number of words, the 64-bit hash of each word (h) and of each pair of neighbours (h2), in order."""
     carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
     words = documents.select("doc_id", "text", carried.alias("carried"), words_of(F.col("text")).alias("words"))
-    return words.select("doc_id", "text", "carried", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    hashed = words.select("doc_id", "text", "carried", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("pairs", F.greatest(F.col("n") - 1, F.lit(0)))
+    return hashed.withColumn("h2", _apart("h", "h", 1, "pairs"))
 
 
-def buckets_of(buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbours of a row of with_hashes()."""
-    pair = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.pmod(F.xxhash64(_at("h", i - 1), _at("h", i)), F.lit(buckets)).cast("int"))
-    single = F.transform("h", lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-    return F.when(F.col("n") > 1, F.concat(single, pair)).otherwise(single)
-
-
-def ratios(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def ratios(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, prior: float = PRIOR) -> DataFrame:
     """One row with ``llr``, the smoothed log ratio of each bucket."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0 AND doc_id IS NOT NULL")
     good = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("target", F.lit(1))
-    rows = with_hashes(documents).join(F.broadcast(good), "doc_id", "left").select(F.explode(buckets_of(buckets)).alias("bucket"), F.lit(1).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    rows = with_hashes(documents).join(F.broadcast(good), "doc_id", "left").select(F.explode(F.concat("h", "h2")).alias("x"), F.coalesce("target", F.lit(0)).alias("target")).select(F.pmod("x", F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("raw"), "target")
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int"), F.lit(0), F.lit(0))
     counts = rows.union(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     sums = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     share = lambda c: (c["raw"] + 1) / (F.col("raw") + buckets)
-    ratio = F.transform("cells", lambda c: F.log(c["target"] / share(c) + F.lit(PRIOR)) - F.log(F.col("target") + F.lit(PRIOR)))
+    ratio = F.transform("cells", lambda c: F.log(c["target"] / share(c) + F.lit(prior)) - F.log(F.col("target") + F.lit(prior)))
     return sums.select(F.when(F.col("target") > 0, ratio).alias("llr"))
 
 
-def repeat_words(n: Column) -> Column:
-    """Words in 5-word windows that occur twice or more: window hashes with their places are sorted,
-    equal neighbours are the repeated ones, and the places' reach of five words is measured."""
-    window = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[_at("h", i + k) for k in range(5)]))
-    return F.when(n < 6, F.lit(None)).otherwise(window)
-
-
 def base_rules(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     """doc_id, text, h, n and the columns n_words .. base_failed."""
     text = F.coalesce("text", F.lit(""))
-    hashed = with_hashes(documents, carry).withColumn("w5", repeat_words(F.col("n")))
+    # Hashes of five words from those of two and two and one; words in windows that occur twice or more:
+    # window hashes with their places are sorted, equal neighbours are the repeated ones, and the places' reach of five words is measured.
+    hashed = with_hashes(documents, carry).withColumns({"fours": F.greatest(F.col("n") - 3, F.lit(0)), "fives": F.greatest(F.col("n") - 4, F.lit(0))})
+    hashed = hashed.withColumn("h4", _apart("h2", "h2", 2, "fours")).withColumn("w5", F.when(F.col("n") > 5, _apart("h4", "h", 4, "fives")))
     hashed = hashed.withColumn("again", F.coalesce(F.size(F.array_distinct("w5")) < F.size("w5"), F.lit(False)))
     pairs = F.array_sort(F.transform("w5", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     hashed = hashed.withColumn("sorted", F.when(F.col("again"), pairs))
@@ -86,7 +78,7 @@ def base_rules(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     hashed = hashed.withColumn("lines", lines)
     n = F.col("n").cast("long")
     out = hashed.select(
-        "doc_id", "text", "carried", "h", "n",
+        "doc_id", "text", "carried", "h", "h2", "n",
         n.alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -96,12 +88,13 @@ def base_rules(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, carry: list[str] = ()) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, prior: float = PRIOR, carry: list[str] = ()) -> DataFrame:
     """doc_id, text, the columns in ``carry``, base columns, ``llr`` (the mean log ratio) and ``kept`` for every row of ``documents``."""
-    table = ratios(documents, labels, buckets, target_rows).scalar()
-    scored = base_rules(documents, carry).withColumn("b", buckets_of(buckets)).withColumn("table", table)
-    total = F.aggregate("b", F.lit(0.0), lambda a, b: a + F.get("table", b))
-    scored = scored.withColumn("llr", F.coalesce(F.when(F.size("b") > 0, total / F.size("b")), F.lit(0.0)))
+    table = ratios(documents, labels, buckets, target_rows, prior).scalar()
+    scored = base_rules(documents, carry).withColumn("table", table)
+    add = lambda a, x: a + F.get("table", F.pmod(x, F.lit(buckets)).cast("int"))
+    total = F.aggregate("h2", F.aggregate("h", F.lit(0.0), add), add)
+    scored = scored.withColumn("llr", F.coalesce(F.when(F.col("n") > 0, total / (F.size("h") + F.size("h2"))), F.lit(0.0)))
     # Rows pass a generator, through which Spark pushes no filter; a pushed filter would repeat the whole chain of expressions.
     return scored.select(F.inline(F.array(F.struct("doc_id", "text", *[F.col("carried")[c].alias(c) for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr")))))
 
