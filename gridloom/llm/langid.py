@@ -37,20 +37,25 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def normalised(text: str) -> str:
-    return _OTHER.sub(" ", text.lower()).strip()
+    """Lower case, with runs of what is neither letter nor mark as a blank; empty if there is no letter."""
+    clean = _OTHER.sub(" ", text.lower()).strip()
+    return clean if any(map(str.isalpha, clean)) else ""
 
 
 def training_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most ``rows`` texts of each language, those with the least hash of doc_id.
 
-    Ranks are taken in salted groups first, so that a frequent language doesn't fill one task.
+    Rows that repeat doc_id and text count once. Ranks are taken in salted groups first, so that the task of a
+    frequent language gets 32 x ``rows`` rows at most.
     """
-    named = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("key"), "doc_id")
-    named = named.withColumn("salt", F.col("key") % 32)
+    key = ["lang", "doc_id", "digest"]
+    keyed = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.xxhash64("text").alias("digest"), F.substring("text", 1, chars).alias("text"))
+    named = keyed.select(*key).distinct().withColumn("key", F.xxhash64("doc_id")).withColumn("salt", F.col("key") % 32)
     for group in (["lang", "salt"], ["lang"]):
-        named = named.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("key", "doc_id"))).where(F.col("rank") <= rows)
-    chosen = documents.join(F.broadcast(named.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "leftsemi")
-    return sorted((r.lang, r.text) for r in chosen.select("lang", F.substring("text", 1, chars).alias("text")).collect())
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("key", "doc_id", "digest"))).where(F.col("rank") <= rows)
+    named = named.select("lang", F.col("doc_id").alias("id"), "digest")
+    chosen = keyed.join(F.broadcast(named), (keyed.lang == named.lang) & keyed.doc_id.eqNullSafe(named.id) & (keyed.digest == named.digest), "leftsemi")
+    return sorted((r.lang, r.text) for r in chosen.groupBy(*key).agg(F.min("text").alias("text")).collect())  # rows a language
 
 
 def dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
