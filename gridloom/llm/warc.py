@@ -116,7 +116,7 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, min_shard
     )
     both = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(_FIRST))))
     parts = max(1, min(len(starts) + 1, 4096))
-    both = both.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    both = both.repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / (len(starts) + 1)).cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -168,20 +168,18 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, min_shard
     return spark.read.parquet(f"{path}/manifest")
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, decompressed one by one."""
-    step, at = 1 << 16, 0
-    rest = b""
-    while rest or at < len(data):
+def members(source, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of an open file, decompressed one by one."""
+    rest = source.read(step)
+    while rest:
         unzip, got = zlib.decompressobj(31), []
         while not unzip.eof:
-            if not rest:
-                if at >= len(data):
-                    raise ValueError("a WARC file ends within a record")
-                rest, at = data[at : at + step], at + step
+            if not rest and not (rest := source.read(step)):
+                raise ValueError("a WARC file ends within a record")
             got.append(unzip.decompress(rest))
             rest = unzip.unused_data
         yield b"".join(got)
+        rest = rest or source.read(step)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -200,28 +198,30 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the files that the manifest names: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to and the payload (empty for revisits)."""
-    names = [r.name for r in spark.read.parquet(f"{path}/manifest").select("name").collect()]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    if not names:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load([f"{path}/data/{name}" for name in names]).select("content")
+    names = spark.read.parquet(f"{path}/manifest").select("name")
+    files = names.repartition(max(1, min(4096, names.count())))  # names only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in schema.split(", ")])
 
+        from pyarrow import fs
+
+        disk, top = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for content in batch.column("content"):
+            for name in batch.column("name").to_pylist():
                 rows, held = [], 0
-                for data in members(content.as_py()):
-                    head, payload = parse(data)
-                    number = lambda k, head=head: int(head[k]) if head.get(k) else None
-                    rows.append((number("X-Page-Id"), head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"], number("X-Refers-To-Page-Id"), payload if with_payload else None))
-                    held += len(payload)
-                    if len(rows) >= 2000 or held > 16 << 20:
-                        yield batch_of(rows)
-                        rows, held = [], 0
+                with disk.open_input_stream(f"{top}/data/{name}", compression=None) as source:
+                    for data in members(source):
+                        head, payload = parse(data)
+                        number = lambda k, head=head: int(head[k]) if head.get(k) else None
+                        rows.append((number("X-Page-Id"), head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"], number("X-Refers-To-Page-Id"), payload if with_payload else None))
+                        held += len(payload)
+                        if len(rows) >= 2000 or held > 16 << 20:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
 
@@ -238,7 +238,7 @@ SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS s FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS m FROM p)
 SELECT page_id, n AS payload_bytes, s AS payload_digest,
-  CASE WHEN n >= {REVISIT_BYTES} AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {REVISIT_BYTES} AND page_id <> m THEN m END AS refers_to
+  CASE WHEN n >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM m THEN m END AS refers_to
 FROM q
 """
