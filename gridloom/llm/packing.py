@@ -29,8 +29,8 @@ LENGTH, UNIT, END = 2048, 8, 1
 CLASSES = LENGTH // UNIT
 #: The special token that byte_bpe_50k.json finds in texts.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Groups in which a class is ranked, so that a frequent length doesn't fill one task.
-SPREAD = 64
+#: Groups in which a class is ranked, so that a frequent length doesn't fill one task: at least, at most, and pieces for each.
+SPREAD, MOST_SPREAD, SPREAD_PIECES = 64, 4096, 100_000
 #: A linear program is left when its bound shows that at most this share can still be gained.
 GAP = 2e-3
 
@@ -198,8 +198,10 @@ def pack(documents: DataFrame, path: str | None = None, special: bool = False) -
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece."""
     spark = documents.sparkSession
     keys = ["doc_id", "start", "ids_crc32", "doc_tokens", "length"]
-    pieces = pieces_of(documents, path, special=special).withColumn("class", F.ceil(F.col("length") / UNIT).cast("int")).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int"))
+    pieces = pieces_of(documents, path, special=special).withColumn("class", F.ceil(F.col("length") / UNIT).cast("int"))
     pieces = cut_lineage(pieces)
+    spread = min(MOST_SPREAD, max(SPREAD, pieces.count() // SPREAD_PIECES))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(spread)).cast("int"))
     counts = pieces.groupBy("class", "part").count()
     before = cut_lineage(counts.select("class", "part", (F.sum("count").over(Window.partitionBy("class").orderBy("part")) - F.col("count")).alias("before"), "count"))
     demand = np.zeros(CLASSES, np.int64)
