@@ -52,16 +52,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+def fingerprints(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, the columns in ``carry``, fp), fp as a signed long."""
+    kept = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp)], [*kept, "fp"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in kept)
+    return documents.select(*kept, "text").mapInArrow(run, schema + "fp long")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -92,20 +93,23 @@ def close_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return stars.union(within).union(across)
 
 
-def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``documents``."""
-    marked = cut_lineage(fingerprints(documents))
+def near_duplicates(documents: DataFrame, distance: int = DISTANCE, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, the columns in ``carry``, fingerprint, component_id, component) for every row of ``documents``.
+
+    component tells components apart also where no id is known: it is the least fingerprint, as a signed long.
+    """
+    marked = cut_lineage(fingerprints(documents, carry))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     group = components(close_pairs(distinct, distance))
     named = distinct.join(group, distinct.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = cut_lineage(named)
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(first, "component").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = named.join(first, "component").select("fp", "component_id", "component")
+    return marked.join(of_fp, "fp").select("doc_id", *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("component")
 
 
 SQL = None  # DuckDB has no XXH64; tests compare with all pairs
