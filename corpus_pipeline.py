@@ -1,8 +1,11 @@
 """The corpus pipeline: language, quality, repeated lines, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and gets what the stage before it kept; run() applies them to
-``documents``. All but the last return the columns of ``documents``. With stages written and read
-again between them, results are the same as in one run.
+``documents``. All but the last return the columns of their input, in its order, further ones included. With
+stages written and read again between them, results are the same as in one run.
+
+In all stages: an empty table gives no rows; the names of further columns don't matter; a row is a document, also where
+its doc_id is null or repeated, unless a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -16,37 +19,64 @@ from gridloom.llm.common import cut_lineage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``, null included; Spark chooses the join by size."""
-    keys = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keys, docs.doc_id.eqNullSafe(keys.kept_id), "leftsemi").select(*COLUMNS)
+def _boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all further columns in one, so that no name clashes."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+
+
+def _unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language and those whose two best languages are too close."""
-    return langid.identify(docs, docs.where(~langid.held_out()), carry=COLUMNS[1:]).where("accepted").select(*COLUMNS)
+    """Drops documents without a language and those whose two best languages are too close.
+
+    A null, empty or letterless text has no language and goes; a null lang only isn't learned from; repeated rows share
+    one decision; long texts are read whole; ties go to the language that sorts first, and are rejected.
+    """
+    training = docs.where(~langid.held_out()).select("doc_id", "text", "lang")
+    return _unboxed(langid.identify(_boxed(docs), training, carry=["text", "rest"]).where("accepted"), docs.columns)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or the likelihood ratio."""
+    """Drops documents that fail the base rules or the likelihood ratio.
+
+    A null, empty or short text fails the base rules and goes; labels of unknown or null ids are harmless; repeated rows
+    count each time and share one decision; a score on the threshold stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality(docs, labels, carry=COLUMNS[2:]).where("kept").select(*COLUMNS)
+    return _unboxed(quality.quality(_boxed(docs), labels, carry=["rest"]).where("kept"), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that resemble an earlier line; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Takes out lines that resemble an earlier line; every document stays, and n_chars follows a changed text.
+
+    Null and empty texts come back as they are; a text whose lines all go is empty; rows that repeat doc_id
+    and text are one document, rows that share an id only keep their own lines; of equal lines the earliest stays.
+    """
+    out = line_dedup.dedup_lines(docs.withColumnRenamed("removed", "removed "))
+    new = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", new).drop("removed").withColumnRenamed("removed ", "removed").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component of linked fingerprints one row stays: that with the smallest id (nulls last), then the smallest hash
+    of all its columns; of rows that repeat all columns one. Null and blank texts are one component like any other."""
+    columns = docs.columns
+    keyed = _boxed(docs).withColumn("mark", F.xxhash64("doc_id", "text", "rest"))
+    found = cut_lineage(simhash.near_duplicates(keyed, carry=["mark"]).select("doc_id", "mark", "component"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    rows = found.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    stays = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "mark", "copies"), rank).alias("stay")).select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.mark").alias("stay_mark"), "stay.copies")
+    kept = keyed.join(stays, keyed.doc_id.eqNullSafe(stays.stay_id) & (keyed.mark == stays.stay_mark)).select("doc_id", "text", "rest", "copies")
+    repeated = kept.where("copies > 1").dropDuplicates(["doc_id", "text", "rest"])
+    return _unboxed(kept.where("copies = 1").union(repeated), columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences; a null or empty text is its end token alone, long texts are cut
+    into pieces, repeated rows and rows without an id are packed each."""
     return packing.pack(docs, special=True)
 
 
@@ -58,7 +88,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-ORACLE_SQL = None  # tokenization and compression aren't SQL; tests/llm has a brute-force version
+ORACLE_SQL = None  # tokenization and compression aren't SQL; tests/llm/test_pipeline.py has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
