@@ -46,11 +46,11 @@ def training_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
     """At most ``rows`` texts of each language, those with the least hash of doc_id.
 
     Rows that repeat doc_id and text count once. Ranks are taken in salted groups first, so that the task of a
-    frequent language gets 32 x ``rows`` rows at most.
+    frequent language gets 8 x ``rows`` rows at most.
     """
     key = ["lang", "doc_id", "digest"]
     keyed = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.xxhash64("text").alias("digest"), F.substring("text", 1, chars).alias("text"))
-    named = keyed.select(*key).distinct().withColumn("key", F.xxhash64("doc_id")).withColumn("salt", F.col("key") % 32)
+    named = keyed.select(*key).distinct().withColumn("key", F.xxhash64("doc_id")).withColumn("salt", F.pmod("key", F.lit(8)))
     for group in (["lang", "salt"], ["lang"]):
         named = named.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("key", "doc_id", "digest"))).where(F.col("rank") <= rows)
     named = named.select("lang", F.col("doc_id").alias("id"), "digest")
