@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.shared import stored
+
 
 def patch_id(i: Column, j: Column, size: int, columns: int) -> Column:
     """1-based row-major patch of a pixel."""
@@ -48,24 +50,28 @@ def active_patches(mask: DataFrame, size: int, columns: int) -> DataFrame:
 def connected_regions(hits: DataFrame, connectivity: int = 8, width: int = 1 << 20, max_rounds: int = 200) -> DataFrame:
     """(frame, i, j, label): the label of a region is its least pixel number i * width + j.
 
-    Least labels spread to neighbours with pointer jumping; checkpoints go to spark.checkpoint.dir.
+    Rounds tie the greater neighbours of a pixel to its least one and then the lesser ones to the least, which flattens
+    trees in a number of rounds that grows with the logarithm of the longest path. Every round is written to the shared folder.
     """
     around = F.filter(offsets(1, disc=connectivity == 4), lambda o: (o["di"] != 0) | (o["dj"] != 0))
-    number = lambda i, j: F.col(i) * width + F.col(j)
+    number = lambda i, j: (F.col(i) * width + F.col(j)).cast("long")
     nodes = hits.select("frame", "i", "j").distinct()
-    links = scatter(nodes, around).join(nodes, ["frame", "i", "j"], "leftsemi").select("frame", number("si", "sj").alias("a"), number("i", "j").alias("b")).checkpoint()
-    labels = nodes.select("frame", number("i", "j").alias("node"), number("i", "j").alias("label")).checkpoint()
+    near = scatter(nodes, around).join(nodes, ["frame", "i", "j"], "leftsemi").select("frame", number("si", "sj").alias("a"), number("i", "j").alias("b"))
+    links = stored(near.where("a > b"))
     for _ in range(max_rounds):
-        near = links.join(labels.withColumnRenamed("node", "b"), ["frame", "b"]).groupBy("frame", F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, ["frame", "node"], "left").select("frame", "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = labels.select("frame", F.col("node").alias("low"), F.col("label").alias("jumped"))
-        new = low.join(jump, ["frame", "low"], "left").select("frame", "node", F.least("low", F.coalesce("jumped", "low")).alias("label"), "old").checkpoint()
-        labels = new.drop("old")
-        if new.where("label <> old").isEmpty():
+        least = links.union(links.select("frame", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("frame", "a").agg(F.least("a", F.min("b")).alias("m"))
+        pairs = links.union(links.select("frame", F.col("b").alias("a"), F.col("a").alias("b")))
+        large = pairs.join(least, ["frame", "a"]).where("b > a").select("frame", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        tied = large.join(large.groupBy("frame", "a").agg(F.min("b").alias("m")), ["frame", "a"])
+        small = stored(tied.where("b <> m").select("frame", F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("frame", "a", F.col("m").alias("b"))).distinct())
+        same = [x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("frame", "a", "b").cast("decimal(38,0)")).alias("s")).first() for x in (links, small)]
+        links = small
+        if same[0] == same[1]:
             break
     else:
         raise RuntimeError("regions did not settle")
-    return labels.select("frame", F.floor(F.col("node") / width).alias("i"), (F.col("node") % width).alias("j"), "label")
+    labelled = nodes.withColumn("a", number("i", "j")).join(links, ["frame", "a"], "left")
+    return labelled.select("frame", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.coalesce("b", "a").alias("label"))
 
 
 def region_table(labelled: DataFrame, min_area: int = 1, top: int | None = None) -> DataFrame:

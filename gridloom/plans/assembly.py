@@ -11,7 +11,7 @@ from gridloom.streaming import jobs as Z
 _A = X.sql_active()
 _V = "vals AS (SELECT s // 3600 AS t, j % 18 + 1 AS patch_id, intra AS variable, round(sum(abs(current)), 2) AS v FROM strokes GROUP BY ALL)"
 _LOC = "pt AS (SELECT s // 86400 AS t, i // 2 AS i, j // 2 AS j, min(id) AS idx FROM strokes WHERE intra = 'IC' GROUP BY ALL), z AS (SELECT DISTINCT s // 86400 AS t, i // 2 AS i, j // 2 AS j FROM strokes WHERE intra = 'CG'), loc AS (SELECT t, i, j, 'patch' AS status, idx FROM pt UNION ALL SELECT z.t, z.i, z.j, 'zero', NULL FROM z ANTI JOIN pt USING (t, i, j))"
-_CELLS = "org AS (SELECT id AS oid, s // 86400 AS t, i // 2 AS i, j // 2 AS j FROM strokes WHERE id % 50 = 0), cell AS (SELECT oid, dt, org.t + dt AS t, org.i + di AS i, org.j + dj AS j FROM org, (SELECT unnest(range(0, 3)) AS dt), (SELECT unnest(range(0, 4)) AS di), (SELECT unnest(range(0, 4)) AS dj)), st AS (SELECT oid, dt, i, j, coalesce(status, 'missing') AS status, idx FROM cell LEFT JOIN loc USING (t, i, j))"
+_CELLS = "org AS (SELECT id AS oid, s // 86400 AS t, i // 2 AS i, j // 2 AS j FROM strokes), cell AS (SELECT oid, dt, org.t + dt AS t, org.i + di AS i, org.j + dj AS j FROM org, (SELECT unnest(range(0, 3)) AS dt), (SELECT unnest(range(0, 4)) AS di), (SELECT unnest(range(0, 4)) AS dj)), st AS (SELECT oid, dt, i, j, coalesce(status, 'missing') AS status, idx FROM cell LEFT JOIN loc USING (t, i, j))"
 _EV = "ev AS (SELECT event_id, event_type, value, ts, max(ts) OVER () - INTERVAL 10 MINUTES AS wm FROM events)"
 
 
@@ -30,7 +30,7 @@ def _loc(s, d):
 
 
 def _stitched(s, d):
-    origins = X.strokes(s, d).where("id % 50 = 0").select(F.col("id").alias("oid"), F.floor(F.col("s") / 86400).alias("t"), F.floor(F.col("i") / 2).alias("i"), F.floor(F.col("j") / 2).alias("j"))
+    origins = X.strokes(s, d).select(F.col("id").alias("oid"), F.floor(F.col("s") / 86400).alias("t"), F.floor(F.col("i") / 2).alias("i"), F.floor(F.col("j") / 2).alias("j"))
     return M.stitch(origins, _loc(s, d), 3, 4)
 
 

@@ -1,9 +1,9 @@
 """All registered queries of the library and their SQL."""
 
-from gridloom.plans import activity, assembly, fields, pixels, points, quality, scalars, verification
+from gridloom.plans import activity, assembly, fields, naming, pixels, points, quality, reports, scalars, verification
 
 _ALL: dict = {}
-for _module in (activity, verification, pixels, quality, points, scalars, assembly, fields):
+for _module in (activity, verification, pixels, quality, points, scalars, assembly, fields, naming, reports):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}

@@ -84,7 +84,7 @@ QUERIES = {
     "expand_regions": (lambda s, d: D.expand_regions(X.pixels(s, d).where("v = 50").select(F.col("frame").alias("t"), F.floor(F.col("i") / 8).alias("i"), F.floor(F.col("j") / 8).alias("j")), 1, 2), f"WITH {_PX}, c AS (SELECT DISTINCT frame AS t, i // 8 AS i, j // 8 AS j FROM pixels WHERE v = 50) SELECT DISTINCT t + a AS t, i + b AS i, j + c2 AS j FROM c, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-2, 3)) AS b), (SELECT unnest(range(-2, 3)) AS c2)"),
     "frame_origins": (lambda s, d: D.frame_origins(X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t"), "i", "j"), 8), f"WITH {_S} SELECT s // 3600 AS t, min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max, min(i) AS i0, min(j) AS j0 FROM strokes GROUP BY 1"),
     "frame_origins_drawn": (lambda s, d: D.frame_origins(X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t"), "i", "j"), 8, 5), None),
-    "run_summary": (lambda s, d: D.run_summary(X.patch_active(s, d).where("patch_id < 4"), X.patch_active(s, d)), f"WITH {X.sql_active()}, n AS (SELECT count(DISTINCT slot) AS n FROM active) SELECT any_value(n) AS steps, count(DISTINCT slot) AS active_steps, round(count(DISTINCT slot) * 100 / any_value(n)::DOUBLE, 6) AS percent, count(DISTINCT patch_id) AS patches FROM active, n WHERE patch_id < 4"),
+    "run_summary": (lambda s, d: D.run_summary(X.patch_active(s, d), X.patch_active(s, d)), f"WITH {X.sql_active()}, n AS (SELECT count(DISTINCT slot) AS n FROM active) SELECT any_value(n) AS steps, count(DISTINCT slot) AS active_steps, round(count(DISTINCT slot) * 100 / any_value(n)::DOUBLE, 6) AS percent, count(DISTINCT patch_id) AS patches FROM active, n"),
     "metric_table": (
         lambda s, d: D.metric_table(_sweep(s, d, 0), _sweep(s, d, 1), {k: v for k, v in V.skill_scores().items() if k in ("csi", "pod", "far")}),
         f"WITH {_half_sql(0, 'va')}, {_half_sql(1, 'te')}, b AS (SELECT lead, k FROM va QUALIFY row_number() OVER (PARTITION BY lead ORDER BY round(tp / (tp + fp + fn + 1e-10), 6) DESC, k) = 1) SELECT lead, k, round(tp / (tp + fp + fn + 1e-10), 6) AS csi, round(tp / (tp + fn + 1e-10), 6) AS pod, round(fp / (tp + fp + 1e-10), 6) AS far FROM te JOIN b USING (lead, k)",

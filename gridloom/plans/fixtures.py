@@ -20,9 +20,9 @@ def patch_active(spark, sf_dir, minutes=60, patches=18):
 
 
 def pixels(spark, sf_dir):
-    """(frame, i, j, v): sparse pixels of four 96 x 192 frames."""
+    """(frame, i, j, v): sparse pixels of 96 x 192 frames; a frame for every 4,000 order keys, so that their number follows the table."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy((F.col("l_orderkey") % 4).alias("frame"), (F.col("l_partkey") % 96).alias("i"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 192).alias("j")).agg(F.max(F.col("l_quantity").cast("double")).alias("v"))
+    return rows.groupBy(F.floor(F.col("l_orderkey") / 4000).alias("frame"), (F.col("l_partkey") % 96).alias("i"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 192).alias("j")).agg(F.max(F.col("l_quantity").cast("double")).alias("v"))
 
 
 def patch8(spark, sf_dir):
@@ -69,7 +69,7 @@ def sql_active(minutes=60, patches=18):
     return f"active AS (SELECT DISTINCT CAST(floor(epoch(ts) / {60 * minutes}) AS BIGINT) AS slot, user_id % {patches} + 1 AS patch_id FROM events)"
 
 
-SQL_PIXELS = "pixels AS (SELECT l_orderkey % 4 AS frame, l_partkey % 96 AS i, (l_suppkey * 7 + l_orderkey) % 192 AS j, max(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY ALL)"
+SQL_PIXELS = "pixels AS (SELECT l_orderkey // 4000 AS frame, l_partkey % 96 AS i, (l_suppkey * 7 + l_orderkey) % 192 AS j, max(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY ALL)"
 SQL_PATCH8 = "patch8 AS (SELECT vec_id AS patch, (pos - 1) // 8 AS i, (pos - 1) % 8 AS j, CAST(embedding[pos] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS pos))"
 SQL_PREDICTIONS = "predictions AS (SELECT event_id AS id, CAST(event_id % 3 + 1 AS INT) AS lead, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y_true, least(CAST(value AS DOUBLE) / 100, 1.0) AS y_pred FROM events)"
 _CUT = "CASE WHEN {0} < 10 THEN 0 WHEN {0} < 20 THEN 1 WHEN {0} < 30 THEN 2 WHEN {0} < 40 THEN 3 ELSE 4 END"

@@ -22,21 +22,9 @@ def _mask(s, d):
 
 
 def _regions(s, d):
-    if s.sparkContext.getCheckpointDir() is None:
-        _checkpoint_dir(s)
     return G.connected_regions(X.pixels(s, d).where("v > 47"))
 
 
-def _checkpoint_dir(s):
-    """Only where the session has no spark.checkpoint.dir, as in tests."""
-    import tempfile
-
-    found = s.conf.get("spark.checkpoint.dir", None)
-    if not found and s.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir")
-    s.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-
-
 _REGIONS = f"""WITH RECURSIVE {_P}, h AS (SELECT frame, i * 1048576 + j AS node, i, j FROM pixels WHERE v > 47),
 e AS (SELECT a.frame, a.node AS a, b.node AS b FROM h a, {_SQUARE} o, h b WHERE b.frame = a.frame AND b.i = a.i + o.di AND b.j = a.j + o.dj),
 r AS (SELECT frame, node, node AS label FROM h UNION SELECT e.frame, e.b AS node, r.label FROM r JOIN e ON e.frame = r.frame AND e.a = r.node),
@@ -44,7 +32,7 @@ lab AS (SELECT frame, node, min(label) AS label FROM r GROUP BY ALL)"""
 
 
 def _points(s, d):
-    return X.strokes(s, d).select("id", (F.col("id") % 4).alias("frame"), (F.col("i") * 1.5 + 0.25).cast("double").alias("y"), (F.col("j") * 1.25).cast("double").alias("x"))
+    return X.strokes(s, d).select("id", F.floor(F.col("id") / 4000).alias("frame"), (F.col("i") * 1.5 + 0.25).cast("double").alias("y"), (F.col("j") * 1.25).cast("double").alias("x"))
 
 
 def _sources(s, d):
@@ -88,7 +76,7 @@ QUERIES = {
     "nonzero_fraction": (lambda s, d: G.nonzero_fraction(X.table(s, d, "lineitem").select("l_returnflag", F.col("l_discount").cast("double").alias("v")), "l_returnflag", "v"), "WITH b AS (SELECT l_returnflag AS product, CAST(l_discount AS DOUBLE) AS v FROM lineitem UNION ALL SELECT NULL, CAST(l_discount AS DOUBLE) FROM lineitem) SELECT product, count(*) FILTER (v <> 0) AS ones, count(*) AS total, round(count(*) FILTER (v <> 0) / count(*)::DOUBLE, 6) AS fraction, CAST(floor(count(*) / (count(*) FILTER (v <> 0))::DOUBLE) AS BIGINT) AS ratio FROM b GROUP BY product"),
     "bilinear_sample": (
         lambda s, d: G.bilinear_sample(X.pixels(s, d), _points(s, d)),
-        f"WITH {_P}, {X.SQL_STROKES}, pt AS (SELECT id, id % 4 AS frame, CAST(i * 1.5 + 0.25 AS DOUBLE) AS y, CAST(j * 1.25 AS DOUBLE) AS x FROM strokes), c AS (SELECT id, frame, CAST(floor(y) AS BIGINT) + a AS i, CAST(floor(x) AS BIGINT) + b AS j, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM pt, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) SELECT id, round(CASE WHEN count(v) = 4 THEN sum(w * v) END, 6) AS v FROM c LEFT JOIN pixels USING (frame, i, j) GROUP BY id",
+        f"WITH {_P}, {X.SQL_STROKES}, pt AS (SELECT id, id // 4000 AS frame, CAST(i * 1.5 + 0.25 AS DOUBLE) AS y, CAST(j * 1.25 AS DOUBLE) AS x FROM strokes), c AS (SELECT id, frame, CAST(floor(y) AS BIGINT) + a AS i, CAST(floor(x) AS BIGINT) + b AS j, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM pt, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) SELECT id, round(CASE WHEN count(v) = 4 THEN sum(w * v) END, 6) AS v FROM c LEFT JOIN pixels USING (frame, i, j) GROUP BY id",
     ),
     "nearest_neighbour": (
         lambda s, d: G.nearest_neighbour(_targets(s, d), _sources(s, d), 2.0),

@@ -29,7 +29,7 @@ _REQ = f"req AS (SELECT o_orderkey AS rid, {X_START} + o_orderkey * 97 % 2592000
 
 def _known(s, d):
     """Hourly largest value of each user group as frames known every 4 hours."""
-    return X.strokes(s, d).where(F.floor(F.col("s") / 3600) % 4 == 0).groupBy((F.col("j") % 10).alias("g"), F.floor(F.col("s") / 3600).alias("t")).agg(F.max("current").alias("v"))
+    return X.strokes(s, d).groupBy((F.col("j") % 10).alias("g"), (F.floor(F.col("s") / 14400) * 4).alias("t")).agg(F.max("current").alias("v"))
 
 
 QUERIES = {
@@ -46,7 +46,7 @@ QUERIES = {
     "shortest_lead": (lambda s, d: P.shortest_lead(X.runs(s, d), X.valid_days(s, d)).withColumn("day", F.col("day").cast("long")).withColumn("lead", F.col("lead").cast("long")), f"WITH {X.SQL_RUNS} SELECT day, run_id, day - start_day AS lead FROM days JOIN runs ON day BETWEEN start_day AND end_day QUALIFY row_number() OVER (PARTITION BY day ORDER BY day - start_day, run_id) = 1"),
     "interpolate": (
         lambda s, d: P.interpolate(_known(s, d), 4, ["g"]),
-        f"WITH {_S}, k AS (SELECT j % 10 AS g, s // 3600 AS t, max(current) AS v FROM strokes WHERE (s // 3600) % 4 = 0 GROUP BY ALL), n AS (SELECT k.g, k.t, k.v, b.v AS v1, dt FROM k LEFT JOIN k b ON b.g = k.g AND b.t = k.t + 4, (SELECT unnest([0, 1, 2, 3]) AS dt)) SELECT g, t + dt AS t, round(CASE dt WHEN 0 THEN v ELSE (1 - dt / 4::DOUBLE) * v + dt / 4::DOUBLE * v1 END, 6) AS linear, CASE WHEN dt < 2 THEN v ELSE v1 END AS nearest FROM n",
+        f"WITH {_S}, k AS (SELECT j % 10 AS g, s // 14400 * 4 AS t, max(current) AS v FROM strokes GROUP BY ALL), n AS (SELECT k.g, k.t, k.v, b.v AS v1, dt FROM k LEFT JOIN k b ON b.g = k.g AND b.t = k.t + 4, (SELECT unnest([0, 1, 2, 3]) AS dt)) SELECT g, t + dt AS t, round(CASE dt WHEN 0 THEN v ELSE (1 - dt / 4::DOUBLE) * v + dt / 4::DOUBLE * v1 END, 6) AS linear, CASE WHEN dt < 2 THEN v ELSE v1 END AS nearest FROM n",
     ),
     "persistence": (lambda s, d: P.persistence(X.strokes(s, d).select(F.col("j").alias("key"), F.col("s").alias("t"), "id", F.col("current").alias("v")), 3), f"WITH {_S}, l AS (SELECT j AS key, current AS v FROM strokes QUALIFY row_number() OVER (PARTITION BY j ORDER BY s DESC, id DESC) = 1) SELECT key, CAST(lead AS INT) AS lead, v FROM l, (SELECT unnest([1, 2, 3]) AS lead)"),
     "latitude_bands": (lambda s, d: P.latitude_bands(X.strokes(s, d).withColumn("lat", F.col("lat").cast("double")), "lat", "current", 10), f"WITH {_S}, m AS (SELECT min(lat::DOUBLE) AS lo, max(lat::DOUBLE) AS hi FROM strokes) SELECT CAST(greatest(0, least(9, ceil((lat::DOUBLE - lo) / ((hi - lo) / 10) - 1e-9) - 1)) AS INT) AS bin, count(*) AS n, round(avg(current), 6) AS mean, round(stddev_samp(current), 6) AS std, min(current) AS min, max(current) AS max FROM strokes, m GROUP BY 1"),

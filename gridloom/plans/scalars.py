@@ -56,7 +56,7 @@ QUERIES = {
         "SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M') AS time, minute(ts) % 15 = 0 AS quarter FROM events",
     ),
     "path_parts": (lambda s, d: X.table(s, d, "pages").select("page_id", N.path_parts(F.regexp_replace("url", r"[?#].*$", "")).alias("p")).select("page_id", "p.*"), "WITH u AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '') AS p FROM pages) SELECT page_id, p[-2] AS folder, p[-1] AS file, regexp_replace(p[-1], '\\.[^.]*$', '') AS stem, regexp_extract(p[-1], '\\.([^.]*)$', 1) AS extension FROM u"),
-    "clean_names": (lambda s, d: X.strokes(s, d).select("id", N.clean_name(F.concat(F.lit("nc4_"), F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd"), F.lit("-"), F.col("intra"), F.when(F.col("id") % 3 == 0, "##a b").otherwise(""))).alias("name")), f"WITH {X.SQL_STROKES} SELECT id, lower(intra) || CASE WHEN id % 3 = 0 THEN '_a_b' ELSE '' END AS name FROM strokes"),
+    "clean_names": (lambda s, d: X.strokes(s, d).select("id", N.clean_name(F.concat(F.lit("nc4_"), F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd"), F.lit("-"), F.col("intra"), F.when(F.col("id") % 3 == 0, "##a b").otherwise(""))).alias("name")), f"WITH {X.SQL_STROKES} SELECT id, lower(intra) || CASE WHEN id % 3 = 0 THEN '##a b' ELSE '' END AS name FROM strokes"),
     "best_match": (lambda s, d: N.best_match(_misspelt(s, d), _known(s, d)), "WITH m AS (SELECT DISTINCT substring(n_name, 1, 4) || 'x' || substring(n_name, 6) || CASE WHEN s_suppkey % 3 = 0 THEN 'yyyy' ELSE '' END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), b AS (SELECT name, n_name AS item, levenshtein(lower(name), lower(n_name)) AS d, n_nationkey AS pos FROM m, nation WHERE levenshtein(lower(name), lower(n_name)) <= 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, pos) = 1) SELECT name, item, CAST(d AS INT) AS distance FROM m LEFT JOIN b USING (name)"),
     "name_by_size": (lambda s, d: N.name_by_size(X.table(s, d, "documents").groupBy(F.col("source").alias("name")).count().withColumnRenamed("count", "n"), X.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("item"))), "WITH g AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) - 1 AS k FROM g) SELECT name, n, CASE WHEN k < 5 THEN r_name ELSE r_name || '_' || (k // 5) END AS given FROM k JOIN region ON r_regionkey = k % 5"),
 }

@@ -44,3 +44,59 @@ def sequence_rows(step_positions: DataFrame, past: int, future: int, step_minute
     wide = lists.groupBy("slot").pivot("step", list(range(-past, future + 1))).agg(F.first("cell"))
     patches = step_positions.groupBy("slot").agg(F.to_json(F.array_sort(F.collect_set("patch_id"))).alias("patch_numbers"))
     return patches.join(wide, "slot").select("slot", "patch_numbers", *[F.col(str(k)).alias(name(k)) for k in range(-past, future + 1)])
+
+
+def write_named_files(rows: DataFrame, path: str) -> DataFrame:
+    """A file for each row (name, content), with the name given, written where the row is; returns (name, bytes) of what was written.
+
+    A file goes to a temporary name first and is renamed when complete, so that a repeated task does no harm.
+    """
+    import uuid
+
+    import pyarrow as pa
+
+    def run(batches):
+        from pyarrow import fs
+
+        disk, top = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            names, contents = batch.column("name").to_pylist(), batch.column("content").to_pylist()
+            for name, content in zip(names, contents):
+                target = f"{top}/{name}"
+                disk.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}.tmp"
+                with disk.open_output_stream(part, compression=None) as out:
+                    out.write(content.encode())
+                disk.move(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c.encode()) for c in contents], pa.int64())], ["name", "bytes"])
+
+    written = rows.select("name", "content").mapInArrow(run, "name string, bytes long")
+    written.write.mode("overwrite").parquet(f"{path}/_written")
+    return rows.sparkSession.read.schema("name string, bytes long").parquet(f"{path}/_written")
+
+
+def write_training_store(samples: DataFrame, path: str, split: str = "split") -> None:
+    """Samples by split, and beside them one line of JSON with number, columns and types of each split."""
+    write_partitioned(samples, f"{path}/samples", [split])
+    kinds = F.map_from_arrays(F.array(*[F.lit(c) for c, _ in samples.dtypes if c != split]), F.array(*[F.lit(t) for c, t in samples.dtypes if c != split]))
+    found = samples.sparkSession.read.parquet(f"{path}/samples").groupBy(split).agg(F.count(F.lit(1)).alias("n"))
+    found.select(F.to_json(F.struct(F.col(split).alias("split"), "n", kinds.alias("columns"))).alias("value")).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def write_report(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """A JSON object for each group of keys, with the further columns as lists in their order."""
+    rest = [c for c in rows.columns if c not in keys]
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows"))
+    lists.select(F.to_json(F.struct(*keys, *[F.col("rows")[c].alias(c) for c in rest])).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_bundle(classified: DataFrame, path: str, is_zero: str = "is_zero") -> None:
+    """Patches with content and the places of empty ones, apart."""
+    classified.where(~F.col(is_zero)).drop(is_zero).write.mode("overwrite").parquet(f"{path}/patches")
+    classified.where(F.col(is_zero)).select("frame", "patch_id").write.mode("overwrite").parquet(f"{path}/zero_patches")
+
+
+def consolidate_days(store: DataFrame, path: str, day: str = "date", file: str = "file") -> DataFrame:
+    """All days of each variable in one place, with where it comes from: (variable, days, files, total)."""
+    store.write.mode("overwrite").partitionBy("variable").parquet(path)
+    return store.groupBy("variable").agg(F.countDistinct(day).alias("days"), F.countDistinct(file).alias("files"), F.count(F.lit(1)).alias("total"))

@@ -80,3 +80,36 @@ def read_strokes_feed(spark: SparkSession, path: str, stream: bool = False) -> D
     text = (spark.readStream if stream else spark.read).text(path)
     p = F.split(F.trim("value"), r"\s+")
     return text.where(F.size(p) >= 5).select(F.try_to_timestamp(p[2], F.lit("yyyyMMddHHmmss")).alias("ts"), p[0].cast("double").alias("lat"), p[1].cast("double").alias("lon"), p[3].alias("intra"), p[4].cast("double").alias("current"))
+
+
+def read_scores(spark: SparkSession, path: str, prefix: str, index: int = 0) -> DataFrame:
+    """(coalition, score) of files ``eval-<prefix>-<coalition>.csv``: the number in line ``index``; ``null`` stands for the empty coalition."""
+    files = spark.read.option("pathGlobFilter", f"eval-{prefix}-*.csv").option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), rf"^eval-{prefix}-(.*)\.csv$", 1)
+    return files.select(F.when(name == "null", "").otherwise(name).alias("coalition"), F.get(F.split("value", "\n"), F.lit(index)).cast("double").alias("score"))
+
+
+def discover(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(folder, file, path) of the files below ``path``; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"), "path")
+
+
+def files_before(catalog: DataFrame, times: DataFrame, interval: int) -> DataFrame:
+    """Files (file, s) of [t - interval, t) for each t of ``times``: joined on equal buckets of ``interval`` seconds, two for each time."""
+    buckets = times.select("t").distinct().withColumn("bucket", F.explode(F.array(F.floor(F.col("t") / interval), F.floor(F.col("t") / interval) - 1)))
+    near = catalog.withColumn("bucket", F.floor(F.col("s") / interval)).join(buckets, "bucket")
+    return near.where((F.col("s") >= F.col("t") - interval) & (F.col("s") < F.col("t"))).select("t", "file", "s")
+
+
+def on_time_grid(frames: DataFrame, start: int, end: int, step: int, columns: list[str]) -> DataFrame:
+    """Frames (t, ..) at the times start, start + step .. before end; null where there is none."""
+    spark = frames.sparkSession
+    return spark.range(start, end, step).select(F.col("id").alias("t")).join(frames.select("t", *columns), "t", "left")
+
+
+def read_patches(spark: SparkSession, path: str, variable: str, dates: list[str] | None = None) -> DataFrame:
+    """Patches of a variable from a store partitioned by variable and date; other partitions aren't read."""
+    rows = spark.read.parquet(path).where(F.col("variable") == variable)
+    return rows if dates is None else rows.where(F.col("date").cast("string").isin(dates))

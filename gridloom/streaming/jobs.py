@@ -6,12 +6,12 @@ the session's shared folder; each result equals its batch twin over closed windo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.shared import new_path
+
 
 def events_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A file stream of a table; ``ts`` as a timestamp, for watermarks."""
@@ -19,18 +19,9 @@ def events_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Dat
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """What a stream appends until it has read all that is there."""
-    folder = shared_folder(stream.sparkSession)
+    folder = new_path(stream.sparkSession, "stream")
     run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -53,3 +44,11 @@ def verified_online(predictions: DataFrame, truth: DataFrame, delay: str = "10 m
     p = predictions.withWatermark("ts", delay).alias("p")
     t = truth.withWatermark("truth_ts", delay).alias("t")
     return p.join(t, F.expr("p.id = t.truth_id AND t.truth_ts BETWEEN p.ts AND p.ts + INTERVAL 1 HOUR")).select("id", "lead", "y_pred", "y_true")
+
+
+def complete_steps(events: DataFrame, required: list[str], length: str = "15 minutes", timeout: str = "10 minutes") -> DataFrame:
+    """Time steps with what has arrived of the ``required`` inputs: a step waits for late ones until the watermark, its end and
+    the timeout, has passed; then it comes out as complete, or as given up with what is missing."""
+    have = events.withWatermark("ts", timeout).groupBy(F.window("ts", length)).agg(F.collect_set("event_type").alias("have"))
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, required)), "have"))
+    return have.select(F.unix_timestamp("window.start").alias("start"), (F.size(missing) == 0).alias("complete"), F.array_join(missing, ",").alias("missing"))

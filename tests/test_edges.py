@@ -109,3 +109,54 @@ def test_append_new_skips_what_is_there(spark, tmp_path):
     more = spark.createDataFrame([("d1", 2), ("d2", 1)], "day string, k int")
     K.append_new(more, spark.read.parquet(path), path, ["day", "k"])
     assert spark.read.parquet(path).count() == 3
+
+
+def test_spaced_sample_is_the_sequential_choice(spark):
+    from gridloom.plans import fixtures, reports
+
+    got = {tuple(r) for r in reports.QUERIES["spaced_sample"][0](spark, "/root/testdata/sf0.001").collect()}
+    cells = sorted(((r.i * 192 + r.j) * 7919 % 18433, r.frame, r.i, r.j) for r in fixtures.pixels(spark, "/root/testdata/sf0.001").collect())
+    taken = {}
+    for rank, frame, i, j in cells:
+        near = [(frame, a, b) for a in range(i - 2, i + 3) for b in range(j - 2, j + 3) if (a - i) ** 2 + (b - j) ** 2 < 9]
+        if not any(x in taken for x in near):
+            taken[frame, i, j] = rank
+    assert got == {(*k, rank) for k, rank in taken.items()} and len(got) > 100
+
+
+def test_folder_names_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import names
+
+    want = {"nc4_2025-06-01_CTTH-Romania_1215_x": "ctth_x", "nc4_IR10800_2025-06-01": "ir10800", "2025-06-01-Romania": "unknown", "RZC-hungary__A--b": "rzc_a_b", "": "unknown", "nc4_2025-06-01-Serbia_0815_lightning_density": "lightning_density"}
+    rows = spark.createDataFrame([(k,) for k in want], "n string").select("n", names.clean_name(F.col("n")).alias("c")).collect()
+    assert {r.n: r.c for r in rows} == want
+
+
+def test_names_of_no_convention_give_null(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import names
+
+    for bad in ("", "x", "nc4_2025-13-01-Romania_1215_a", "lightning_density_2025_01", "S_NWC_x_MSG4_a-b_20250101T000000Z.nc"):
+        row = spark.range(1).select(names.nc4_time(F.lit(bad)).alias("a"), names.lightning_time(F.lit(bad)).alias("b"), names.cloud_product(F.lit(bad)).alias("c"), names.imager_file(F.lit(bad))["time"].alias("d"), names.radar_network_file(F.lit(bad))["time"].alias("e")).first()
+        assert tuple(row) == (None,) * 5, bad
+
+
+def test_regions_of_a_long_winding_line(spark):
+    from gridloom.operators.grid import connected_regions
+
+    line = [(0, 2 * r, c) for r in range(20) for c in range(60)] + [(0, 2 * r + 1, 59 if r % 2 == 0 else 0) for r in range(19)] + [(1, 5, 5), (1, 8, 8)]
+    got = connected_regions(spark.createDataFrame(line, "frame long, i long, j long"), connectivity=4, max_rounds=20).collect()
+    assert {r.label for r in got if r.frame == 0} == {0} and len({r.label for r in got if r.frame == 1}) == 2
+
+
+def test_rounds_of_a_training_store_replace_a_split(spark, tmp_path):
+    from gridloom.sources import sinks, tables
+
+    rows = spark.createDataFrame([(1, "a", "2024-01-01"), (2, "b", "2024-01-01"), (3, "a", "2024-01-02")], "id long, variable string, date string")
+    sinks.write_partitioned(rows, str(tmp_path / "s"), ["variable", "date"])
+    sinks.write_partitioned(rows.where("id = 3").selectExpr("id + 10 AS id", "variable", "date"), str(tmp_path / "s"), ["variable", "date"])
+    assert sorted(r.id for r in tables.read_patches(spark, str(tmp_path / "s"), "a").collect()) == [1, 13]
+    assert [r.id for r in tables.read_patches(spark, str(tmp_path / "s"), "a", ["2024-01-01"]).collect()] == [1]
