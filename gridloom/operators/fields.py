@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import numbered, running_counts
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -125,13 +127,11 @@ def distillation(rows: DataFrame, temperature: float, alpha: float) -> DataFrame
 
 def ecdf_map(rows: DataFrame, source: str, target: str, key: str, by: list[str]) -> DataFrame:
     """Mean percentile of each source value, looked up among the sorted targets."""
-    part = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(part)
-    below = F.rank().over(part.orderBy(source)) - 1
-    upto = F.count(F.lit(1)).over(part.orderBy(source).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    pct = (below + upto) / (2 * n)
-    s = rows.select(*by, F.col(key).alias(key), F.greatest(F.lit(1), F.ceil(pct * n)).cast("int").alias("k"))
-    t = rows.select(*by, F.col(target).alias("mapped"), F.row_number().over(part.orderBy(target, key)).alias("k"))
+    counts = running_counts(rows.select(*by, source), by, source).select(*by, source, F.col("n").alias("c"), "upto")
+    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    pct = (F.col("upto") - F.col("c") + F.col("upto")) / (2 * F.col("n"))
+    s = rows.select(*by, key, source).join(counts, [*by, source]).join(total, by).select(*by, key, F.greatest(F.lit(1), F.ceil(pct * F.col("n"))).cast("long").alias("k"))
+    t = numbered(rows.select(*by, F.col(target).alias("mapped"), F.col(key).alias("at")), by, ["mapped", "at"], "k").drop("at")
     return s.join(t, [*by, "k"]).select(*by, key, r6(F.col("mapped")).alias("mapped"))
 
 
@@ -143,12 +143,11 @@ def value_distribution(rows: DataFrame, v: str, by: str, bins: int = 5) -> DataF
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Rank correlation with average ranks for ties."""
-    part = Window.partitionBy(*by)
-
-    def rank(c: str) -> Column:
-        return F.rank().over(part.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-
-    return rows.select(*by, rank(a).alias("ra"), rank(b).alias("rb")).groupBy(*by).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+    ranked = rows.select(*by, a, b)
+    for c, name in ((a, "ra"), (b, "rb")):
+        mean = running_counts(rows.select(*by, c), by, c).select(*by, c, (F.col("upto") - F.col("n") + 1 + (F.col("n") - 1) / 2).alias(name))
+        ranked = ranked.join(mean, [*by, c])
+    return ranked.groupBy(*by).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
 def attribution(rows: DataFrame, by: list[str], v: str) -> DataFrame:

@@ -7,6 +7,9 @@ bucket table, so the number of thresholds doesn't multiply the scan.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import numbered
+from gridloom.operators.shared import stored
+
 EPS = 1e-10
 
 
@@ -161,9 +164,10 @@ def xi_correlation(rows: DataFrame, x: str, y: str, key: str, by: list[str], var
 
     Pairs with a null are dropped; fewer than 2 rows give null. Ties are ordered by key.
     """
-    part = Window.partitionBy(*by)
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("ry", F.row_number().over(part.orderBy(y, key)))
-    steps = ranked.withColumn("step", F.abs(F.col("ry") - F.lag("ry").over(part.orderBy(x, key))))
+    ranked = numbered(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y, key), by, [y, key], "ry")
+    ranked = stored(numbered(ranked, by, [x, key], "rx").select(*by, "rx", "ry"))
+    earlier = ranked.select(*by, (F.col("rx") + 1).alias("rx"), F.col("ry").alias("was"))
+    steps = ranked.join(earlier, [*by, "rx"], "left").withColumn("step", F.abs(F.col("ry") - F.col("was")))
     total = steps.groupBy(*by).agg(F.sum("step").cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     n, s = F.col("n"), F.col("s")
     xi = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - s / (2 * n * n / 3))) if variant == "reference" else 1 - 3 * s / (n * n - 1)
@@ -179,8 +183,8 @@ def quantile_map(rows: DataFrame, source: str, target: str, by: list[str], quant
 
 def monotone_coupling(rows: DataFrame, source: str, target: str, key: str, by: list[str]) -> DataFrame:
     """One-dimensional optimal transport of equal sizes: the k-th smallest source goes to the k-th smallest target."""
-    s = rows.select(*by, F.col(key).alias(key), F.col(source).alias("s"), F.row_number().over(Window.partitionBy(*by).orderBy(source, key)).alias("k"))
-    t = rows.select(*by, F.col(target).alias("mapped"), F.row_number().over(Window.partitionBy(*by).orderBy(target, key)).alias("k"))
+    s = numbered(rows.select(*by, F.col(key).alias(key), F.col(source).alias("s")), by, ["s", key], "k")
+    t = numbered(rows.select(*by, F.col(target).alias("mapped"), F.col(key).alias("at")), by, ["mapped", "at"], "k").drop("at")
     return s.join(t, [*by, "k"]).select(*by, key, r6(F.col("mapped")).alias("mapped"))
 
 
