@@ -1,8 +1,10 @@
 """Parsing of file and folder names, and times."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import numbered
+
 
 #: Items that names are matched against at most.
 MOST_KNOWN = 10_000
@@ -124,7 +126,9 @@ def best_match(names: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
 def name_by_size(groups: DataFrame, known: DataFrame) -> DataFrame:
     """Groups (name, n) in order of size take the names of a list in turn; beyond its end a counter is added."""
     total = known.count()
-    ranked = groups.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "name")) - 1)
+    if total > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known items")
+    ranked = numbered(groups.select("name", "n", (-F.col("n")).alias("least")), [], ["least", "name"], "k").withColumn("k", F.col("k") - 1)
     out = ranked.withColumn("pos", F.col("k") % total).join(F.broadcast(known), "pos")
     return out.select("name", "n", F.when(F.col("k") < total, F.col("item")).otherwise(F.concat("item", F.lit("_"), F.floor(F.col("k") / total).cast("string"))).alias("given"))
 
