@@ -34,20 +34,43 @@ def slot_join(strokes: DataFrame, slots: DataFrame, seconds: int) -> DataFrame:
     return left.join(right, "b").where((F.col("s") < F.col("slot_s")) & (F.col("slot_s") - F.col("s") < seconds)).select("id", "slot_s")
 
 
+def _neighbours(requests: DataFrame, frames: DataFrame, span: int, sides: tuple[str, ...], tie) -> DataFrame:
+    """Requests (rid, t) with ``before`` and ``after``, the last frame (ft, fid) up to their time and the first one from it on, as far as
+    the bucket of ``span`` and the next ones go. Frames of equal time are one, by ``tie``; a bucket lends its last frame to the
+    next bucket and its first to the one before, so that requests and frames meet in a window, never in pairs."""
+    b = lambda c: F.floor(c / span)
+    once = frames.where("ft IS NOT NULL").groupBy("ft").agg(tie("fid").alias("fid")).withColumn("b", b(F.col("ft")))
+    ends = once.groupBy("b").agg(F.max(F.struct("ft", "fid")).alias("last"), F.min(F.struct("ft", "fid")).alias("first"))
+    lent = {"before": ends.select(F.col("last.ft").alias("ft"), F.col("last.fid").alias("fid"), (F.col("b") + 1).alias("b")), "after": ends.select(F.col("first.ft").alias("ft"), F.col("first.fid").alias("fid"), (F.col("b") - 1).alias("b"))}
+    for side in sides:
+        once = once.union(lent[side])
+    shown = once.select(F.lit(None).cast(requests.schema["rid"].dataType).alias("rid"), F.col("ft").alias("t"), "b", F.struct("ft", "fid").alias("frame"), F.lit(False).alias("asks"))
+    asked = requests.select("rid", "t", b(F.col("t")).alias("b"), F.lit(None).cast(shown.schema["frame"].dataType).alias("frame"), F.lit(True).alias("asks"))
+    up = {"before": F.max("frame").over(Window.partitionBy("b").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)), "after": F.min("frame").over(Window.partitionBy("b").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))}
+    return shown.unionByName(asked).select("rid", "t", "asks", *[up[side].alias(side) for side in sides]).where("asks").drop("asks")
+
+
 def nearest_in_time(requests: DataFrame, frames: DataFrame, limit: int) -> DataFrame:
-    """For every request (rid, t) the frame (fid, ft) nearest in time within the limit; the earlier on ties; null if none."""
-    b = lambda c: F.floor(c / limit)
-    left = requests.select("rid", "t", F.explode(F.array(*[b(F.col("t")) + k for k in (-1, 0, 1)])).alias("b"))
-    near = left.join(frames.select("fid", "ft", b(F.col("ft")).alias("b")), "b").where(F.abs(F.col("t") - F.col("ft")) <= limit)
-    best = near.groupBy("rid").agg(F.min(F.struct(F.abs(F.col("t") - F.col("ft")).alias("dt"), "ft", "fid")).alias("m"))
-    return requests.join(best, "rid", "left").select("rid", F.col("m.fid").alias("fid"), F.col("m.dt").alias("dt"))
+    """For every request (rid, t) the frame (fid, ft) nearest in time within the limit; the earlier on ties, then the lesser id; null if none."""
+    both = _neighbours(requests, frames, limit, ("before", "after"), F.min)
+    away = lambda c: F.when(F.abs(F.col("t") - F.col(f"{c}.ft")) <= limit, F.struct(F.abs(F.col("t") - F.col(f"{c}.ft")).alias("dt"), F.col(f"{c}.ft").alias("ft"), F.col(f"{c}.fid").alias("fid")))
+    return both.select("rid", F.least(away("before"), away("after")).alias("m")).select("rid", F.col("m.fid").alias("fid"), F.col("m.dt").alias("dt"))
+
+
+def latest_before(requests: DataFrame, frames: DataFrame, interval: int) -> DataFrame:
+    """The latest frame in [t - interval, t) of each request, times whole seconds; the greatest id of that time, null if none."""
+    last = _neighbours(requests.withColumn("t", F.col("t") - 1), frames, interval, ("before",), F.max)
+    return last.select("rid", F.when(F.col("before.ft") >= F.col("t") + 1 - interval, F.col("before.fid")).alias("fid"))
 
 
-def shortest_lead(runs: DataFrame, days: DataFrame, bucket: int = 32) -> DataFrame:
-    """For each valid day the run that covers it with the shortest lead; the smallest id on ties."""
-    cover = runs.select("run_id", "start_day", "end_day", F.explode(F.sequence(F.floor(F.col("start_day") / bucket), F.floor(F.col("end_day") / bucket))).alias("b"))
-    hits = days.withColumn("b", F.floor(F.col("day") / bucket)).join(cover, "b").where("day BETWEEN start_day AND end_day")
-    return hits.groupBy("day").agg(F.min(F.struct((F.col("day") - F.col("start_day")).alias("lead"), "run_id")).alias("m")).select("day", F.col("m.run_id").alias("run_id"), F.col("m.lead").cast("int").alias("lead"))
+def shortest_lead(runs: DataFrame, days: DataFrame) -> DataFrame:
+    """For each valid day the run that covers it with the shortest lead; the smallest id on ties.
+
+    A run is spread over the days that it covers; the least of each day is taken before the shuffle, and days meet only that.
+    """
+    spread = runs.where("start_day <= end_day").select("run_id", "start_day", F.explode(F.sequence("start_day", "end_day")).alias("day"))
+    best = spread.groupBy("day").agg(F.min(F.struct((F.col("day") - F.col("start_day")).alias("lead"), "run_id")).alias("m"))
+    return days.join(best, "day").select("day", F.col("m.run_id").alias("run_id"), F.col("m.lead").cast("int").alias("lead"))
 
 
 def interpolate(known: DataFrame, stride: int, key: list[str]) -> DataFrame:
@@ -66,15 +89,6 @@ def persistence(observed: DataFrame, leads: int) -> DataFrame:
     return last.select("key", F.explode(F.sequence(F.lit(1), F.lit(leads))).alias("lead"), F.col("m.v").alias("v"))
 
 
-def latest_before(requests: DataFrame, frames: DataFrame, interval: int) -> DataFrame:
-    """The latest frame in [t - interval, t) of each request; null if none."""
-    b = lambda c: F.floor(c / interval)
-    left = requests.select("rid", "t", F.explode(F.array(b(F.col("t")) - 1, b(F.col("t")))).alias("b"))
-    near = left.join(frames.select("fid", "ft", b(F.col("ft")).alias("b")), "b").where((F.col("ft") < F.col("t")) & (F.col("ft") >= F.col("t") - interval))
-    best = near.groupBy("rid").agg(F.max(F.struct("ft", "fid")).alias("m"))
-    return requests.join(best, "rid", "left").select("rid", F.col("m.fid").alias("fid"))
-
-
 def latitude_bands(rows: DataFrame, x: str, v: str, bins: int) -> DataFrame:
     """Equal-width, right-closed bins between the extremes: mean, sample deviation, count of each."""
     lo, hi = rows.agg(F.min(x)).scalar(), rows.agg(F.max(x)).scalar()

@@ -113,3 +113,8 @@ def read_patches(spark: SparkSession, path: str, variable: str, dates: list[str]
     """Patches of a variable from a store partitioned by variable and date; other partitions aren't read."""
     rows = spark.read.parquet(path).where(F.col("variable") == variable)
     return rows if dates is None else rows.where(F.col("date").cast("string").isin(dates))
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """Stored patch statistics, a row a patch; columns and filters reach the scan."""
+    return spark.read.parquet(path)

@@ -160,3 +160,45 @@ def test_rounds_of_a_training_store_replace_a_split(spark, tmp_path):
     sinks.write_partitioned(rows.where("id = 3").selectExpr("id + 10 AS id", "variable", "date"), str(tmp_path / "s"), ["variable", "date"])
     assert sorted(r.id for r in tables.read_patches(spark, str(tmp_path / "s"), "a").collect()) == [1, 13]
     assert [r.id for r in tables.read_patches(spark, str(tmp_path / "s"), "a", ["2024-01-01"]).collect()] == [1]
+
+
+def test_as_of_joins_against_brute_force(spark):
+    import random
+
+    from gridloom.operators import points as P
+
+    rng = random.Random(3)
+    frames = [(k, rng.choice([100, 101, 102, rng.randrange(0, 400), rng.randrange(900, 1000)])) for k in range(300)]
+    asks = [(k, rng.randrange(-50, 1200)) for k in range(200)]
+    fr, rq = spark.createDataFrame(frames, "fid long, ft long"), spark.createDataFrame(asks + [(900, None)], "rid long, t long")
+    near = {r.rid: (r.fid, r.dt) for r in P.nearest_in_time(rq, fr, 30).collect()}
+    last = {r.rid: r.fid for r in P.latest_before(rq, fr, 30).collect()}
+    assert len(near) == len(last) == 201 and near[900] == (None, None) and last[900] is None
+    for rid, t in asks:
+        best = min(((abs(t - ft), ft, fid) for fid, ft in frames if abs(t - ft) <= 30), default=None)
+        assert near[rid] == ((best[2], best[0]) if best else (None, None))
+        found = max(((ft, fid) for fid, ft in frames if t - 30 <= ft < t), default=None)
+        assert last[rid] == (found[1] if found else None)
+
+
+def test_selection_of_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import selection as C
+
+    groups = spark.createDataFrame([(1, [[1, 2], None, []]), (2, None), (3, [[5]])], "k int, g array<array<int>>")
+    assert sorted(C.flatten_groups(groups, "g", "p").collect()) == [(1, 1), (1, 2), (3, 5)]
+    rows = spark.createDataFrame([([1.0, 3.0, 3.0],), ([],), (None,)], "v array<double>")
+    assert [tuple(r) for r in rows.select(C.largest_channel(F.col("v")), C.one_lead(F.col("v"), 2)).collect()] == [(1, 3.0), (None, None), (None, None)]
+    scores = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.9), ("d", 0.5)], "input string, xi double")
+    assert [r.input for r in C.ranked_inputs(scores, "xi", "input").orderBy("place").collect()] == ["c", "a", "d", "b"]
+    cut = C.batches(spark.range(10), ["id"], 4).orderBy("id").collect()
+    assert [(r.batch, r.pos) for r in cut] == [(k // 4, k % 4) for k in range(10)]
+    key = spark.sql("SELECT TIMESTAMP'2024-12-31 23:55:00' AS t").select(C.object_key(F.col("t"), "-x.h5")).first()[0]
+    assert key == "2025/01/01/2025-01-01T000500Z-x.h5"
+    boxes = spark.createDataFrame([(1, -5, 0, 9, 1)], "id int, i1 int, j1 int, i2 int, j2 int")
+    grid = spark.createDataFrame([(i, j, 10.0 * i, 1.0 * j) for i in range(2) for j in range(2)], "i int, j int, lat double, lon double")
+    assert [tuple(r) for r in C.corner_coordinates(boxes, grid, 2, 2).collect()] == [(1, 0.0, 0.0, 10.0, 1.0)]
+    still = C.frame_report(spark.createDataFrame([(1, 0.0), (1, 0.0)], "f int, v double"), "f", "v", 0.5, 1.0).first()
+    assert still.light_from is None and still.light_km2 == 0.0 and still.coverage == 0.0
+    assert C.batches(spark.range(0), ["id"], 4).count() == 0
