@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import KeyFilter, cut_lineage, mixed, stored, word_hashes
+from gridloom.llm.common import KeyFilter, mixed, stored, word_hashes
 
 THRESHOLD = (4, 5)
 #: Words whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a word may be one.
@@ -46,7 +46,8 @@ BLOCK_BYTES = 4 << 20
 _LAST = 2**63 - 1
 _KEY = ["doc", "mark", "line"]
 _LINES = "doc long, mark long, line int, id1 long, id2 long, n int, sig1 long, sig2 long, lists binary, places binary"
-_POSTINGS = ["list", *_KEY, "n", "pos", "sig1", "sig2", "marked"]
+#: A row of a list; ``at`` packs the size, whether the line is marked and the position: n << 33 | marked << 32 | pos.
+_POSTINGS = ["list", *_KEY, "at", "sig1", "sig2"]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     data = "\n".join(texts).encode()
     h, start = word_hashes(data)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start)
-    words, code = np.unique(h, return_inverse=True)
+    coded = pa.array(h.view(np.int64)).dictionary_encode()
+    words, code = coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
     rank = np.zeros(len(words), np.uint64)
     if len(frequent) and len(words):
         at = np.minimum(np.searchsorted(frequent[:, 0], words), len(frequent) - 1)
@@ -95,9 +97,10 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in _blocks(batches):
-            words, count = np.unique(word_hashes("\n".join(texts).encode())[0], return_counts=True)
+            counted = pa.array(word_hashes("\n".join(texts).encode())[0].view(np.int64)).value_counts()
+            words, count = (counted.field(c).to_numpy() for c in ("values", "counts"))
             often = count >= max(2, FREQUENT_SHARE * count.sum() / 40)
-            yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["word", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[often]), pa.array(count[often])], ["word", "lines"])
 
     found = _keyed(documents).mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT).collect()
     ranked = np.array([(r.word % 2**64, FREQUENT - k, r.lines) for k, r in enumerate(found)], np.uint64).reshape(-1, 3)
@@ -165,16 +168,18 @@ def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS if c not in ("list", "pos", "marked")}
-            cols["marked"] = lines.value.has(*(cols[c] for c in _KEY)).astype(np.int32) if lines else np.zeros(batch.num_rows, np.int32)
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS if c not in ("list", "at")}
+            marked = lines.value.has(*(cols[c] for c in _KEY)) if lines else np.zeros(batch.num_rows, bool)
+            cols["at"] = batch.column("n").to_numpy().astype(np.int64) << 33 | marked.astype(np.int64) << 32
             blobs = batch.column("lists").to_pylist()
             key, pos = np.frombuffer(b"".join(blobs), np.int64), np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
             of = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
             keep = lists.value.has(key) if lists else np.ones(len(key), bool)
-            mine = {"list": key[keep], "pos": pos[keep]} | {c: x[of[keep]] for c, x in cols.items()}
+            mine = {"list": key[keep]} | {c: x[of[keep]] for c, x in cols.items()}
+            mine["at"] = mine["at"] | pos[keep].astype(np.int64) & 0xFFFFFFFF
             yield pa.RecordBatch.from_arrays([pa.array(mine[c]) for c in _POSTINGS], _POSTINGS)
 
-    return sets.where("octet_length(lists) > 0").mapInArrow(run, "list long, doc long, mark long, line int, n int, pos int, sig1 long, sig2 long, marked int")
+    return sets.where("octet_length(lists) > 0").mapInArrow(run, "list long, doc long, mark long, line int, at long, sig1 long, sig2 long")
 
 
 def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarray:
@@ -233,7 +238,7 @@ _PAIRS = "a_doc long, a_mark long, a_line int, b_doc long, b_mark long, b_line i
 
 
 def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only_marked: bool = False) -> DataFrame:
-    """Pairs of lines from the lists of ``postings`` (list, doc, mark, line, n, pos, sig1, sig2, marked): for each line
+    """Pairs of lines from the lists of ``postings`` (list, doc, mark, line, at, sig1, sig2): for each line
     the first ``most`` of a list, with the list as ``more`` where it has further ones (else null).
 
     Lists are streamed in order; some ROWS, or one list, are in memory at a time, as numbers.
@@ -244,7 +249,8 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
         cols = [c[order] for c in cols]
         new = np.ones(len(order), bool)  # repeated rows of the input are the same line
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
-        key, doc, mark, line, n, pos, sig1, sig2, marked = (c[new] for c in cols)
+        key, doc, mark, line, packed, sig1, sig2 = (c[new] for c in cols)
+        n, marked, pos = (packed >> 33).astype(np.int32), packed >> 32 & 1, (packed & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         length = np.diff(edges)
         few = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
@@ -265,7 +271,7 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
         count = 0
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS]
-            held.append([c.view(np.uint64) if k in (6, 7) else c for k, c in enumerate(cols)])
+            held.append([c.view(np.uint64) if k in (5, 6) else c for k, c in enumerate(cols)])
             count += batch.num_rows
             if count >= ROWS and held[0][0][0] != held[-1][0][-1]:
                 cols = [np.concatenate([h[k] for h in held]) for k in range(len(_POSTINGS))]
@@ -300,7 +306,7 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(documents: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The different later lines (doc, mark, line) of the pairs whose words are similar."""
     up, down = threshold
-    wanted = cut_lineage(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _KEY]).union(pairs.select(*[f"b_{c}" for c in _KEY])).distinct())
+    wanted = stored(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _KEY]).union(pairs.select(*[f"b_{c}" for c in _KEY])).distinct())
     texts = stored(_texts_of(documents, wanted))
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in _KEY], F.col("text").alias(f"{s}_text"))
     both = pairs.join(side("a"), _PAIR[:3]).join(side("b"), _PAIR[3:]).select(*_PAIR[3:], "a_text", "b_text")
@@ -311,7 +317,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, threshold: tuple[int, int]
             ok = [down * (both := len(x & y)) >= up * (len(x) + len(y) - both) for x, y in zip(*sets)]
             yield batch.select(_PAIR[3:]).filter(pa.array(ok, pa.bool_())).rename_columns(_KEY)
 
-    return cut_lineage(both.mapInArrow(run, "doc long, mark long, line int").distinct())
+    return stored(both.mapInArrow(run, "doc long, mark long, line int").distinct())
 
 
 def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = 1) -> DataFrame:
@@ -321,23 +327,23 @@ def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     at = F.struct(*_KEY)
     groups = sets.groupBy("id1", "id2", "n").agg(F.min(at).alias("at"), F.max(at).alias("to")).where("at <> to").drop("to")
     # Of equal sets only the first may stay or name others: the rest are settled.
-    copies = cut_lineage(sets.select(*_KEY, "id1", "id2", "n").join(cut_lineage(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
+    copies = stored(sets.select(*_KEY, "id1", "id2", "n").join(stored(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
     listed = stored(_candidates(_postings(sets), threshold, PARTNERS))
     later = [F.col(f"b_{c}") == F.col(c) for c in _KEY]
-    found = cut_lineage(listed.select(*_PAIR).distinct().join(copies, later, "leftanti"))
+    found = stored(listed.select(*_PAIR).distinct().join(copies, later, "leftanti"))
     keys = _PAIR[3:]
     # The earliest partner settles nearly every repeated line; the others are looked at where it doesn't.
-    head = cut_lineage(found.groupBy(*keys).agg(F.min(F.struct(*_PAIR[:3])).alias("a")).select("a.*", *keys))
+    head = stored(found.groupBy(*keys).agg(F.min(F.struct(*_PAIR[:3])).alias("a")).select("a.*", *keys))
     settled = _verified(documents, head, threshold)
-    rest = cut_lineage(found.join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
+    rest = stored(found.join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
     early = settled if rest.isEmpty() else settled.union(_verified(documents, rest, threshold))
     # Lists that have more partners of lines still open meet once more; filters name them, so that nothing else is moved.
     opened = listed.where("more IS NOT NULL").select(*[F.col(f"b_{c}").alias(c) for c in _KEY], F.col("more").alias("list"))
-    opened = cut_lineage(opened.join(early.union(copies), _KEY, "leftanti").distinct())
+    opened = stored(opened.join(early.union(copies), _KEY, "leftanti").distinct())
     if opened.isEmpty():
         return copies.union(early).distinct()
     again = _candidates(_postings(sets, KeyFilter(opened, _KEY), KeyFilter(opened, ["list"])), threshold, _LAST, only_marked=True)
-    again = cut_lineage(again.select(*_PAIR).distinct().join(early, later, "leftanti"))
+    again = stored(again.select(*_PAIR).distinct().join(early, later, "leftanti"))
     late = _verified(documents, again, threshold)
     return copies.union(early).union(late).distinct()
 
@@ -347,7 +353,7 @@ def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, mi
 
     Only documents that may have lost a line are shuffled for it.
     """
-    gone = cut_lineage(similar_lines(documents, threshold, min_words).groupBy("doc", "mark").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    gone = stored(similar_lines(documents, threshold, min_words).groupBy("doc", "mark").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     lost = KeyFilter(gone, ["doc", "mark"]).shared()
 
     @F.pandas_udf("boolean")
