@@ -126,6 +126,14 @@ def object_key(time: Column, suffix: str, minutes: int = 10) -> Column:
     return F.concat(F.date_format(at, "yyyy/MM/dd/yyyy-MM-dd'T'HHmmss'Z'"), F.lit(suffix))
 
 
+def regrid(values: DataFrame, routes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(variable, key, i, j, v): values (variable, key, src, v) on the target grid, every variable by the method that ``routes``
+    (variable, method) names; ``weights`` (method, i, j, src, w) holds nearest, bilinear and kernel mappings alike. Missing
+    sources are left out of the weighted mean; a target without any is not there."""
+    routed = values.where("v IS NOT NULL AND NOT isnan(v)").join(routes, "variable").join(weights, ["method", "src"])
+    return routed.groupBy("variable", "key", "i", "j").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
 def frame_report(frames: DataFrame, key: str, v: str, least: float, pixel_km: float) -> DataFrame:
     """Per frame: statistics, active share (v > least) and areas of the classes cut at the 33rd, 66th and 90th percentile of the
     active values, with the 99th as a threshold; a frame without active values has null thresholds and areas of 0."""

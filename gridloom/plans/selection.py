@@ -7,10 +7,11 @@ from gridloom.operators import selection as C
 from gridloom.operators import sequences as S
 from gridloom.operators.shared import new_path
 from gridloom.operators.verify import xi_correlation
-from gridloom.plans import activity
+from gridloom.plans import activity, assembly
 from gridloom.plans import fixtures as X
 from gridloom.plans import quality
-from gridloom.sources import tables
+from gridloom.sources import sinks, tables
+from gridloom.streaming import jobs
 
 _A, _P8, _S = X.sql_active(), X.SQL_PATCH8, X.SQL_STROKES
 _DAY, _TIMES = "2024-01-03", ["00:00", "06:15", "12:30", "18:45"]
@@ -85,6 +86,28 @@ def _grid(s, d):
     return X.strokes(s, d).groupBy((F.col("i") % 40).alias("i"), (F.col("j") % 40).alias("j")).agg(F.min(F.col("lat").cast("double")).alias("lat"), F.max(F.col("lon").cast("double")).alias("lon"))
 
 
+def _regridded(s, d):
+    x = X.patch8(s, d).select((F.col("patch") % 3).alias("variable"), F.col("patch").alias("key"), "i", "j", (F.col("i") * 8 + F.col("j")).alias("src"), F.when(F.col("v") > -0.1, F.col("v")).alias("v"))
+    cell = x.select("src", F.floor(F.col("i") / 2).alias("ti"), F.floor(F.col("j") / 2).alias("tj"), ((F.col("i") + F.col("j")) % 2 * 2 + 1).alias("w"), (F.col("i") % 2 + F.col("j") % 2 == 0).alias("corner")).distinct()
+    of = lambda rows, name, w: rows.select(F.lit(name).alias("method"), F.col("ti").alias("i"), F.col("tj").alias("j"), "src", w.cast("double").alias("w"))
+    routes = x.select("variable").distinct().withColumn("method", F.when(F.col("variable") == 0, "nearest").otherwise("weighted"))
+    out = C.regrid(x.select("variable", "key", "src", "v"), routes, of(cell.where("corner"), "nearest", F.lit(1.0)).union(of(cell, "weighted", F.col("w"))))
+    return out.withColumn("v", F.round("v", 6))
+
+
+def _appended(s, d):
+    path, x = new_path(s, "variables"), X.patch8(s, d)
+    keys = ["patch", "i", "j"]
+    sinks.append_variables(x.withColumn("twice", F.col("v") * 2), path, keys, ["v", "twice"])
+    sinks.append_variables(x.where("j < 4").withColumn("half", F.col("v") / 2), path, keys, ["half"])
+    return tables.read_wide(s, path, keys, ["v", "twice", "half"])
+
+
+def _apart(s, d):
+    done, dead = jobs.drained_apart(jobs.events_stream(s, d), (F.col("value").cast("double") < 90) & F.col("event_type").isin("click", "view", "purchase"))
+    return done.select("event_id", F.lit(True).alias("done")).union(dead.select("event_id", F.lit(False)))
+
+
 _WIDE = "wide AS (SELECT patch, i, list(v ORDER BY j) AS vs FROM patch8 GROUP BY ALL)"
 _CUTS = ("light", "moderate", "heavy", "extreme")
 _STATS = dict(zip(_CUTS, (0.33, 0.66, 0.9, 0.99)))
@@ -152,4 +175,14 @@ QUERIES = {
         f"WITH {_P8}, a AS (SELECT patch, v, {', '.join(f'quantile_cont(v, {q}) FILTER (v > 0.05) OVER (PARTITION BY patch) AS {c}' for c, q in _STATS.items())} FROM patch8) SELECT patch, round(avg(v), 6) AS mean, max(v) AS max, min(v) AS min, round(stddev_pop(v), 6) AS std, count(*) AS n, count(*) FILTER (v > 0.05) AS n_active, {', '.join(f'round(any_value({c}), 6) AS {c}_from' for c in _CUTS)}, "
         "4.0::DOUBLE * count(*) FILTER (v > 0.05 AND v <= light) AS light_km2, 4.0::DOUBLE * count(*) FILTER (v > light AND v <= moderate) AS moderate_km2, 4.0::DOUBLE * count(*) FILTER (v > moderate AND v <= heavy) AS heavy_km2, 4.0::DOUBLE * count(*) FILTER (v > heavy) AS extreme_km2, round(count(*) FILTER (v > 0.05) * 100 / count(*)::DOUBLE, 6) AS coverage FROM a GROUP BY patch",
     ),
+    "regridded": (
+        _regridded,
+        f"WITH {_P8} SELECT patch % 3 AS variable, patch AS key, i // 2 AS i, j // 2 AS j, round(sum(v * CASE WHEN patch % 3 = 0 THEN 1 ELSE (i + j) % 2 * 2 + 1 END) / sum(CASE WHEN patch % 3 = 0 THEN 1 ELSE (i + j) % 2 * 2 + 1 END), 6) AS v FROM patch8 WHERE v > -0.1 AND (patch % 3 > 0 OR (i % 2 = 0 AND j % 2 = 0)) GROUP BY patch, i // 2, j // 2",
+    ),
+    "appended_variables": (_appended, f"WITH {_P8} SELECT patch, i, j, v, v * 2 AS twice, CASE WHEN j < 4 THEN v / 2 END AS half FROM patch8"),
+    "stitch_json": (
+        lambda s, d: sinks.stitch_json(assembly._stitched(s, d)),
+        f"WITH {_S}, {assembly._LOC}, {assembly._CELLS} SELECT oid, dt, '{{\"found\":' || count(*) FILTER (status = 'patch') || ',\"zeros\":' || count(*) FILTER (status = 'zero') || ',\"missing\":[' || coalesce(string_agg('{{\"i\":' || i || ',\"j\":' || j || '}}', ',' ORDER BY i, j) FILTER (status = 'missing'), '') || ']}}' AS value FROM st GROUP BY ALL",
+    ),
+    "stream_dead_letters": (_apart, "SELECT event_id, coalesce(value < 90 AND event_type IN ('click', 'view', 'purchase'), false) AS done FROM events"),
 }

@@ -100,3 +100,16 @@ def consolidate_days(store: DataFrame, path: str, day: str = "date", file: str =
     """All days of each variable in one place, with where it comes from: (variable, days, files, total)."""
     store.write.mode("overwrite").partitionBy("variable").parquet(path)
     return store.groupBy("variable").agg(F.countDistinct(day).alias("days"), F.countDistinct(file).alias("files"), F.count(F.lit(1)).alias("total"))
+
+
+def stitch_json(stitched: DataFrame) -> DataFrame:
+    """(oid, dt, value): a JSON object for each box and step, with found and zero cells counted and the missing ones listed in order."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    lists = stitched.groupBy("oid", "dt").agg(n("patch").alias("found"), n("zero").alias("zeros"), F.array_sort(F.collect_list(F.when(F.col("status") == "missing", F.struct("i", "j")))).alias("missing"))
+    return lists.select("oid", "dt", F.to_json(F.struct("found", "zeros", "missing")).alias("value"))
+
+
+def append_variables(rows: DataFrame, path: str, keys: list[str], variables: list[str]) -> None:
+    """New variables beside those of a store, one partition each; what is there isn't rewritten, a variable that comes again is replaced."""
+    long = rows.select(*keys, F.explode(F.map_from_arrays(F.array(*map(F.lit, variables)), F.array(*variables))).alias("variable", "value"))
+    write_partitioned(long.where("value IS NOT NULL"), path, ["variable"])

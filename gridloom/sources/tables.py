@@ -118,3 +118,9 @@ def read_patches(spark: SparkSession, path: str, variable: str, dates: list[str]
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     """Stored patch statistics, a row a patch; columns and filters reach the scan."""
     return spark.read.parquet(path)
+
+
+def read_wide(spark: SparkSession, path: str, keys: list[str], variables: list[str]) -> DataFrame:
+    """A store by variable as a column for each; only the partitions of ``variables`` are read, null where one has no value."""
+    rows = spark.read.parquet(path).where(F.col("variable").isin(variables))
+    return rows.groupBy(*keys).pivot("variable", variables).agg(F.first("value"))

@@ -7,7 +7,7 @@ the session's shared folder; each result equals its batch twin over closed windo
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.shared import new_path
@@ -52,3 +52,20 @@ def complete_steps(events: DataFrame, required: list[str], length: str = "15 min
     have = events.withWatermark("ts", timeout).groupBy(F.window("ts", length)).agg(F.collect_set("event_type").alias("have"))
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, required)), "have"))
     return have.select(F.unix_timestamp("window.start").alias("start"), (F.size(missing) == 0).alias("complete"), F.array_join(missing, ",").alias("missing"))
+
+
+def drained_apart(stream: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that a step can process, and the others, in two tables: a bad row never stops the run. Each batch writes
+    below its number, so that one that is run again after a failure replaces what it wrote."""
+    spark = stream.sparkSession
+    folder, fine = new_path(spark, "apart"), F.coalesce(good, F.lit(False))
+
+    def write(batch: DataFrame, number: int) -> None:
+        for name, rows in (("done", batch.where(fine)), ("dead", batch.where(~fine))):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    write(spark.createDataFrame([], stream.schema), -1)
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    done, dead = (spark.read.parquet(f"{folder}/{name}").drop("batch") for name in ("done", "dead"))
+    return done, dead
