@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name."""
 
-from gridloom.llm import exact_dedup, langid, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, warc
+from gridloom.llm import chat, exact_dedup, langid, line_dedup, lm_score, packing, periodic, pieces, quality, search, sharding, simhash, warc
 
 MODULES = {
     "op1_sentencepiece": pieces,
@@ -13,6 +13,9 @@ MODULES = {
     "op8_exact_dedup": exact_dedup,
     "op9_warc": warc,
     "op10_packing": packing,
+    "op11_chat_format": chat,
+    "op12_ranked_search": search,
+    "op13_periodic_runs": periodic,
 }
 
 QUERIES = {name: module.query for name, module in MODULES.items()}
