@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words: blank and U+0009 to U+000D.
@@ -44,6 +45,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_columns(documents: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The schema of some columns of ``documents``, whatever their names and types, and of more columns, as DDL."""
+    return T.StructType([T.StructField(c, documents.schema[c].dataType) for c in columns] + T.StructType.fromDDL(more).fields)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case, nothing else. ``lower`` is the same on pure ASCII and much faster there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -104,6 +110,17 @@ def _places(keys: list[np.ndarray], size: int) -> np.ndarray:
     return h % np.uint64(size)
 
 
+class SharedFilter:
+    """What tasks ask a KeyFilter; only an array is broadcast, so that executors need no class of this package."""
+
+    def __init__(self, bits, size: int):
+        self.bits, self.size = bits, size
+
+    def has(self, *keys: np.ndarray) -> np.ndarray:
+        bits, at = self.bits.value, _places(list(keys), self.size)
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class KeyFilter:
     """A Bloom filter with one hash over long key columns: no key of ``rows`` is missed, few others pass.
 
@@ -128,14 +145,9 @@ class KeyFilter:
         for row in places.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # at most MOST_BITS in all
             self.bits[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
 
-    def has(self, *keys: np.ndarray) -> np.ndarray:
-        at = _places(list(keys), self.size)
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    def shared(self):
-        """The filter as a broadcast variable."""
-        context, self._context = self._context, None
-        return context.broadcast(self)
+    def shared(self) -> SharedFilter:
+        """The filter for tasks, its bits as a broadcast variable."""
+        return SharedFilter(self._context.broadcast(self.bits), self.size)
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:

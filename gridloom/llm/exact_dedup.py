@@ -32,7 +32,8 @@ def exact_dedup(documents: DataFrame, tracked: int = 4096, most: int = 1024, hea
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``documents``.
 
     tracked: counters of the summary; most: digests that may be broadcast; heavy_share: share of
-    all rows from which a verified digest counts as heavy. They steer the work, not the result.
+    all rows from which a verified digest counts as heavy. They steer the work, not the result: with more than ``most``
+    heavy digests the others take the ordinary way.
     """
     signed = cut_lineage(documents.select("doc_id", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("digest")))
     candidates = heavy_candidates(signed, tracked, most)

@@ -24,8 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import with_columns
+
 #: The bound of the training sample of a language: rows and characters of each. Every language is learned.
 SAMPLE_ROWS, SAMPLE_CHARS = 256, 1500
+#: Languages that can be learned; a column with more values holds something else, and is refused.
+MOST_LANGUAGES = 512
 #: Characters of a text that are compressed at once.
 BLOCK = 4096
 LEVEL = 6
@@ -48,6 +52,9 @@ def training_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
     Rows that repeat doc_id and text count once. Ranks are taken in salted groups first, so that the task of a
     frequent language gets 8 x ``rows`` rows at most.
     """
+    languages = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"column lang has over {MOST_LANGUAGES} different values; a sample of each would not be bounded")
     key = ["lang", "doc_id", "digest"]
     keyed = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.xxhash64("text").alias("digest"), F.substring("text", 1, chars).alias("text"))
     named = keyed.select(*key).distinct().withColumn("key", F.xxhash64("doc_id")).withColumn("salt", F.pmod("key", F.lit(8)))
@@ -117,16 +124,16 @@ def identify(documents: DataFrame, training: DataFrame, margin: float | None = N
     content = dictionaries(sample)
     margin = sample_margin(sample) if margin is None else margin
     kept = ["doc_id", *carry]
+    shared = documents.sparkSession.sparkContext.broadcast(content)  # MOST_LANGUAGES dictionaries of bounded size at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(content)
+        model = Classifier(shared.value)
         for batch in batches:
             found = [model.predict(t.as_py(), margin) for t in batch.column("text")]
             columns = [[x[k] for x in found] for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], [*kept, "lang_pred", "score", "accepted"])
 
-    schema = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in kept)
-    return documents.select(*dict.fromkeys(["doc_id", "text", *carry])).mapInArrow(run, schema + "lang_pred string, score double, accepted boolean")
+    return documents.select(*dict.fromkeys(["doc_id", "text", *carry])).mapInArrow(run, with_columns(documents, kept, "lang_pred string, score double, accepted boolean"))
 
 
 def held_out(doc_id="doc_id"):

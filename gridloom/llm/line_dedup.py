@@ -169,12 +169,12 @@ def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS if c not in ("list", "at")}
-            marked = lines.value.has(*(cols[c] for c in _KEY)) if lines else np.zeros(batch.num_rows, bool)
+            marked = lines.has(*(cols[c] for c in _KEY)) if lines else np.zeros(batch.num_rows, bool)
             cols["at"] = batch.column("n").to_numpy().astype(np.int64) << 33 | marked.astype(np.int64) << 32
             blobs = batch.column("lists").to_pylist()
             key, pos = np.frombuffer(b"".join(blobs), np.int64), np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
             of = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-            keep = lists.value.has(key) if lists else np.ones(len(key), bool)
+            keep = lists.has(key) if lists else np.ones(len(key), bool)
             mine = {"list": key[keep]} | {c: x[of[keep]] for c, x in cols.items()}
             mine["at"] = mine["at"] | pos[keep].astype(np.int64) & 0xFFFFFFFF
             yield pa.RecordBatch.from_arrays([pa.array(mine[c]) for c in _POSTINGS], _POSTINGS)
@@ -291,12 +291,12 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(docs.value.has(batch.column("doc").to_numpy(), batch.column("mark").to_numpy())))
+            batch = batch.filter(pa.array(docs.has(batch.column("doc").to_numpy(), batch.column("mark").to_numpy())))
             split = [t.split("\n") for t in batch.column("text").to_pylist()]
             size = [len(s) for s in split]
             key = [np.repeat(batch.column(c).to_numpy(), size) for c in ("doc", "mark")]
             number = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in size)])
-            ok = lines.value.has(*key, number)
+            ok = lines.has(*key, number)
             text = pa.array([t for s in split for t in s], pa.string()).filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([pa.array(key[0][ok]), pa.array(key[1][ok]), pa.array(number[ok].astype(np.int32)), text], [*_KEY, "text"])
 
@@ -360,7 +360,7 @@ def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, mi
     def hit(doc, mark):
         import pandas as pd
 
-        return pd.Series(lost.value.has(doc.to_numpy(), mark.to_numpy()))
+        return pd.Series(lost.has(doc.to_numpy(), mark.to_numpy()))
 
     columns = [c for c in documents.columns if c != "removed"]
     rows = documents.select(F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))

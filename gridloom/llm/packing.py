@@ -9,7 +9,8 @@ class are ranked by distributed counting, and a piece's rank says which pattern,
 it takes.
 
 Defined results: a null text is empty and has its end token alone; rows are packed each, also
-repeated ones; an empty table gives no rows; null doc_ids are packed like others; other columns are ignored.
+repeated ones; a very long text is encoded as a whole and cut, also one of white space alone; an empty table gives no rows;
+null doc_ids are packed like others; other columns are ignored. The counts that are broadcast are at most CLASSES x MOST_SPREAD rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut_lineage
+from gridloom.llm.common import cut_lineage, with_columns
 
 LENGTH, UNIT, END = 2048, 8, 1
 CLASSES = LENGTH // UNIT
@@ -55,24 +56,38 @@ def encoder(path: str, special: bool = False):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
 
 
+def plain_encoder(special: bool = False):
+    """The same ids by the other library, which reads runs of white space of any length."""
+    import public_tokenizers
+    import tokenizers
+
+    code = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    code.encode_special_tokens = not special
+    return code
+
+
 def pieces_of(documents: DataFrame, path: str | None = None, length: int = LENGTH, special: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, salt), one row a piece."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, special)
+        code, plain = encoder(path, special), None
         for batch in batches:
             at, start, size, crc, total = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
-                ids = np.append(np.frombuffer(code.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32), np.uint32(END)).astype("<u4")
+                try:
+                    ids = np.frombuffer(code.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32)
+                except ValueError:  # a run of white space that its pattern matcher has no stack for
+                    plain = plain or plain_encoder(special)
+                    ids = np.array(plain.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for s in range(0, len(ids), length):
                     part = ids[s : s + length]
                     at.append(k), start.append(s), size.append(len(part)), crc.append(zlib.crc32(part.tobytes())), total.append(len(ids))
             columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return documents.select("doc_id", "text").mapInArrow(run, with_columns(documents, ["doc_id"], "start long, length long, ids_crc32 long, doc_tokens long"))
 
 
 def best_pattern(value: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
@@ -227,8 +242,7 @@ def pack(documents: DataFrame, path: str | None = None, special: bool = False) -
                 place[mine] = row[:, 3] * LENGTH + inner % row[:, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(sequence), pa.array(place)], [*keys, "sequence_id", "place"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    placed = ranked.select(*keys, "class", "rank").mapInArrow(assign, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", sequence_id long, place long") if plan else spark.createDataFrame([], pieces.select(*keys).schema.add("sequence_id", "long").add("place", "long"))
+    placed = ranked.select(*keys, "class", "rank").mapInArrow(assign, with_columns(pieces, keys, "sequence_id long, place long")) if plan else spark.createDataFrame([], pieces.select(*keys).schema.add("sequence_id", "long").add("place", "long"))
     earlier = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (F.sum("length").over(earlier) - F.col("length")).alias("offset"))
 

@@ -11,27 +11,33 @@ the paths of recent words in a bounded table.
 
 Defined results: a null text has null ids, an empty one no ids; both decode to an empty text; decoding gives back every text
 exactly, also control characters and blanks at the ends, but for U+2581, which comes back as the blank that the marker means;
-repeated rows are encoded each; other columns are ignored.
+repeated rows are encoded each; very long texts are encoded whole, also those without blanks or of blanks only; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
 from itertools import chain
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import with_columns
+
 MARK = "▁"
 RANK_OFFSET = 10.0
 #: Log score of a byte piece, below all others.
 BYTE_SCORE = -30.0
 #: Words of which a task keeps the ids, and the longest of them in characters.
 KEPT, KEPT_CHARS = 400_000, 64
+#: Places of a long word at which pieces are looked up together.
+_PLACES = 1 << 15
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -165,6 +171,48 @@ class Codec:
             out.append(tuple(path[::-1]))
         return out
 
+    def long_path(self, word: str) -> tuple[int, ...]:
+        """The same path for one long word (a text without blanks, or a run of them): the pieces that begin at each of many
+        places are found together, and the best paths follow place by place."""
+        data = np.frombuffer(word.encode(), np.uint8).astype(np.int64)
+        n = len(data)
+        best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        letters = np.flatnonzero((data & 0xC0) != 0x80)
+        ends = np.append(letters[1:], n).tolist()
+        for low in range(0, len(letters), _PLACES):
+            here = letters[low : low + _PLACES]
+            owner, at, state = np.arange(len(here)), here, np.zeros(len(here), np.int64)
+            found: list[tuple[np.ndarray, ...]] = []
+            while len(at):
+                step = self.base[state] + data[at] + 1
+                ok = self.check[np.minimum(step, len(self.check) - 1)] == state
+                owner, at, state = owner[ok], at[ok] + 1, step[ok]
+                hit = self.value[state] >= 0
+                found.append((owner[hit], at[hit], self.value[state[hit]]))
+                inside = at < n
+                owner, at, state = owner[inside], at[inside], state[inside]
+            of, to, ids = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(of, kind="stable")
+            of, to, ids = of[order], to[order].tolist(), ids[order]
+            worth, edges, ids = self.score[ids].tolist(), np.searchsorted(of, np.arange(len(here) + 1)).tolist(), ids.tolist()
+            for k, s in enumerate(here.tolist()):
+                so_far = best[s]
+                for x in range(edges[k], edges[k + 1]):
+                    e, total = to[x], so_far + worth[x]
+                    if total >= best[e]:
+                        best[e], start[e], piece[e] = total, s, ids[x]
+                e = ends[low + k]  # the bytes of the letter, if no pieces do better
+                total = so_far + BYTE_SCORE * (e - s)
+                if total > best[e]:
+                    best[e], start[e], piece[e] = total, s, -1
+        path: list[int] = []
+        while n:
+            s = start[n]
+            path += [piece[n]] if piece[n] >= 0 else [self.byte_ids[b] for b in data[s:n][::-1]]
+            n = s
+        return tuple(path[::-1])
+
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         """The ids of many texts: words that aren't kept yet are solved together, those of similar length in a step."""
         words = [None if t is None else _WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -174,6 +222,9 @@ class Codec:
         new = sorted(set(chain.from_iterable(w for w in words if w)).difference(known), key=len)
         own = {}
         at = 0
+        short = bisect.bisect_right(new, KEPT_CHARS, key=len)
+        own.update((w, self.long_path(w)) for w in new[short:])
+        new = new[:short]
         while at < len(new):
             end = at + 1
             while end < len(new) and end - at < 4096 and (len(new[end]) <= 16 or len(new[end]) <= len(new[at]) * 2) and (end - at + 1) * len(new[end]) <= 1 << 18:
@@ -206,10 +257,12 @@ def encode(documents: DataFrame, path: str | None = None, digest: bool = False)
 
     digest: also text_sha256, of the text that was read (null: empty).
     """
-    shared = documents.sparkSession.sparkContext.broadcast(codec_parts(path))  # bounded by the vocabulary
+    pieces, score, byte_ids, trie = codec_parts(path)
+    # Bounded by the vocabulary; plain arrays, so that executors need no class of this package.
+    shared = documents.sparkSession.sparkContext.broadcast((pieces, score, byte_ids, trie.base, trie.check, trie.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = Codec(*shared.value[:3], SimpleNamespace(**dict(zip(("base", "check", "value"), shared.value[3:]))))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -217,10 +270,9 @@ def encode(documents: DataFrame, path: str | None = None, digest: bool = False)
                 columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x or []) for x in ids], pa.string()), *(part.column(c) for c in more)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", *more])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
     more = ["text_sha256"] if digest else []
     rows = documents.select("doc_id", "text", *([F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")] if digest else []))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string" + ", text_sha256 string" * digest)
+    return rows.mapInArrow(run, with_columns(documents, ["doc_id"], "ids array<int>, decoded string" + ", text_sha256 string" * digest))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

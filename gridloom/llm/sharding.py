@@ -20,6 +20,8 @@ from gridloom.llm.common import cut_lineage
 
 #: Cells into which rows are hashed for numbering; their counts are all that is broadcast.
 CELLS = 8192
+#: Copies of a row that come out of one task in a stretch.
+CHUNK = 1 << 16
 ROUNDS = 4
 #: Steps of a walk. Outside cells are at most a ~ sqrt(n), so a longer walk has a chance under n ** -32; one that ends outside raises.
 WALK = 64
@@ -59,7 +61,12 @@ def number_rows(rows: DataFrame, keys: list[str], cells: int = CELLS) -> DataFra
     offsets = per_cell.select("cell", (F.sum("in_cell").over(Window.orderBy("cell")) - F.col("in_cell")).alias("before"))
     inside = Window.partitionBy("cell").orderBy(*keys)
     placed = counted.withColumn("start", F.sum("copies").over(inside) - F.col("copies")).join(F.broadcast(offsets), "cell")
-    return placed.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("k"), "before", "start").select(*keys, (F.col("before") + F.col("start") + F.col("k")).alias("row_number"))
+    # The copies of a row come out in stretches of at most CHUNK; those of a row with more are dealt to many tasks first.
+    first = placed.select(*keys, "copies", (F.col("before") + F.col("start")).alias("at"))
+    few = first.where(F.col("copies") <= CHUNK).select(*keys, "at", F.col("copies").alias("n"))
+    many = first.where(F.col("copies") > CHUNK).select(*keys, "at", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK))).alias("c"))
+    many = many.repartition("at", "c").select(*keys, (F.col("at") + F.col("c") * CHUNK).alias("at"), F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("c") * CHUNK).alias("n"))
+    return few.union(many).select(*keys, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("row_number"))
 
 
 def shard(documents: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:

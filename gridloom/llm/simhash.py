@@ -10,7 +10,7 @@ In a group of many fingerprints that share a segment, all are first compared wit
 linked to it need no comparison among themselves, since components don't change by it.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like others;
-fewer than 3 words make one shingle; null doc_ids take part and count only where no other id is in a
+fewer than 3 words make one shingle; very long texts are read whole, their hashes counted in blocks; null doc_ids take part and count only where no other id is in a
 component (component_id null then); repeated rows get equal results; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut_lineage
+from gridloom.llm.common import components, cut_lineage, with_columns
 
 SHINGLE = 3
 SEED = 42
@@ -61,8 +61,7 @@ def fingerprints(documents: DataFrame, carry: list[str] = ()) -> DataFrame:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp)], [*kept, "fp"])
 
-    schema = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in kept)
-    return documents.select(*kept, "text").mapInArrow(run, schema + "fp long")
+    return documents.select(*kept, "text").mapInArrow(run, with_columns(documents, kept, "fp long"))
 
 
 def _segments(fps: DataFrame) -> DataFrame:

@@ -236,9 +236,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS s FROM pages),
-q AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS m FROM p)
+q AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS m, row_number() OVER (PARTITION BY s ORDER BY page_id NULLS LAST) AS k FROM p)
 SELECT page_id, n AS payload_bytes, s AS payload_digest,
-  CASE WHEN n >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM m THEN m END AS refers_to
+  CASE WHEN n >= {REVISIT_BYTES} AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {REVISIT_BYTES} AND k > 1 THEN m END AS refers_to
 FROM q
 """
