@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and gets what the stage before it kept; r
 ``documents``. All but the last return the columns of their input, in its order, further ones included. With
 stages written and read again between them, results are the same as in one run.
 
-In all stages: an empty table gives no rows; the names of further columns don't matter; a row is a document, also where
+In all stages: an empty table gives no rows; the names and types of further columns don't matter (map columns excepted, which
+Spark can't hash); a row is a document, also where
 its doc_id is null or repeated, unless a stage says otherwise.
 """
 
@@ -19,14 +20,19 @@ from gridloom.llm.common import cut_lineage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """The columns of documents under their names, all others under names made of their places, so that none can clash."""
+    return docs.toDF(*[c if c in COLUMNS and c not in docs.columns[:k] else f"column_{k}" for k, c in enumerate(docs.columns)])
+
+
 def _boxed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all further columns in one, so that no name clashes."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    """doc_id, text, and all further columns in one, by their places; the last of them is never null or absent."""
+    rest = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("end")).alias("rest"))
 
 
 def _unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns])
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[f"c{k}"].alias(c) for k, c in enumerate(columns)])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null, empty or letterless text has no language and goes; a null lang only isn't learned from; repeated rows share
     one decision; long texts are read whole; ties go to the language that sorts first, and are rejected.
     """
-    training = docs.where(~langid.held_out()).select("doc_id", "text", "lang")
-    return _unboxed(langid.identify(_boxed(docs), training, carry=["text", "rest"]).where("accepted"), docs.columns)
+    plain = _plain(docs)
+    training = plain.where(~langid.held_out()).select("doc_id", "text", "lang")
+    return _unboxed(langid.identify(_boxed(plain), training, carry=["text", "rest"]).where("accepted"), plain.columns).toDF(*docs.columns)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,8 @@ def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     count each time and share one decision; a score on the threshold stays.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _unboxed(quality.quality(_boxed(docs), labels, carry=["rest"]).where("kept"), docs.columns)
+    plain = _plain(docs)
+    return _unboxed(quality.quality(_boxed(plain), labels, carry=["rest"]).where("kept"), plain.columns).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,29 +63,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null and empty texts come back as they are; a text whose lines all go is empty; rows that repeat doc_id
     and text are one document, rows that share an id only keep their own lines; of equal lines the earliest stays.
     """
-    out = line_dedup.dedup_lines(docs.withColumnRenamed("removed", "removed "))
-    new = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", new).drop("removed").withColumnRenamed("removed ", "removed").select(*docs.columns)
+    plain = _plain(docs)
+    out = line_dedup.dedup_lines(plain)
+    new = F.when(F.size("removed") > 0, F.length("text").cast(plain.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", new).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints one row stays: that with the smallest id (nulls last), then the smallest hash
     of all its columns; of rows that repeat all columns one. Null and blank texts are one component like any other."""
-    columns = docs.columns
-    keyed = _boxed(docs).withColumn("mark", F.xxhash64("doc_id", "text", "rest"))
+    plain = _plain(docs)
+    keyed = _boxed(plain).withColumn("mark", F.xxhash64("doc_id", "text", "rest"))
     found = cut_lineage(simhash.near_duplicates(keyed, carry=["mark"]).select("doc_id", "mark", "component"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     rows = found.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
     stays = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "mark", "copies"), rank).alias("stay")).select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.mark").alias("stay_mark"), "stay.copies")
     kept = keyed.join(stays, keyed.doc_id.eqNullSafe(stays.stay_id) & (keyed.mark == stays.stay_mark)).select("doc_id", "text", "rest", "copies")
     repeated = kept.where("copies > 1").dropDuplicates(["doc_id", "text", "rest"])
-    return _unboxed(kept.where("copies = 1").union(repeated), columns)
+    return _unboxed(kept.where("copies = 1").union(repeated), plain.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences; a null or empty text is its end token alone, long texts are cut
     into pieces, repeated rows and rows without an id are packed each."""
-    return packing.pack(docs, special=True)
+    return packing.pack(_plain(docs), special=True)
 
 
 STAGES = [
