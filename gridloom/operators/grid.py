@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.graph import components
 from gridloom.operators.shared import stored
 
 
@@ -47,31 +48,23 @@ def active_patches(mask: DataFrame, size: int, columns: int) -> DataFrame:
     return mask.select("frame", patch_id(F.col("i"), F.col("j"), size, columns).alias("patch_id")).distinct()
 
 
-def connected_regions(hits: DataFrame, connectivity: int = 8, width: int = 1 << 20, max_rounds: int = 200) -> DataFrame:
+def connected_regions(hits: DataFrame, connectivity: int = 8, width: int = 1 << 20) -> DataFrame:
     """(frame, i, j, label): the label of a region is its least pixel number i * width + j.
 
-    Rounds tie the greater neighbours of a pixel to its least one and then the lesser ones to the least, which flattens
-    trees in a number of rounds that grows with the logarithm of the longest path. Every round is written to the shared folder.
+    Stretches of neighbouring pixels of a row are put together first, so that the graph has a node for each stretch.
     """
-    around = F.filter(offsets(1, disc=connectivity == 4), lambda o: (o["di"] != 0) | (o["dj"] != 0))
     number = lambda i, j: (F.col(i) * width + F.col(j)).cast("long")
-    nodes = hits.select("frame", "i", "j").distinct()
-    near = scatter(nodes, around).join(nodes, ["frame", "i", "j"], "leftsemi").select("frame", number("si", "sj").alias("a"), number("i", "j").alias("b"))
-    links = stored(near.where("a > b"))
-    for _ in range(max_rounds):
-        least = links.union(links.select("frame", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("frame", "a").agg(F.least("a", F.min("b")).alias("m"))
-        pairs = links.union(links.select("frame", F.col("b").alias("a"), F.col("a").alias("b")))
-        large = pairs.join(least, ["frame", "a"]).where("b > a").select("frame", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        tied = large.join(large.groupBy("frame", "a").agg(F.min("b").alias("m")), ["frame", "a"])
-        small = stored(tied.where("b <> m").select("frame", F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("frame", "a", F.col("m").alias("b"))).distinct())
-        same = [x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("frame", "a", "b").cast("decimal(38,0)")).alias("s")).first() for x in (links, small)]
-        links = small
-        if same[0] == same[1]:
-            break
-    else:
-        raise RuntimeError("regions did not settle")
-    labelled = nodes.withColumn("a", number("i", "j")).join(links, ["frame", "a"], "left")
-    return labelled.select("frame", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.coalesce("b", "a").alias("label"))
+    row = Window.partitionBy("frame", "i").orderBy("j")
+    pixels = hits.select("frame", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct()
+    marked = pixels.withColumn("first", F.when(F.coalesce(F.col("j") - F.lag("j").over(row), F.lit(2)) > 1, F.col("j")))
+    placed = stored(marked.withColumn("first", F.max("first").over(row.rowsBetween(Window.unboundedPreceding, 0))))
+    # A stretch touches those of the next row that have a pixel below it, or beside that.
+    side = 1 if connectivity == 8 else 0
+    below = placed.select("frame", number("i", "first").alias("a"), (F.col("i") + 1).alias("i"), F.explode(F.array(*[F.col("j") + d for d in range(-side, side + 1)])).alias("j"))
+    links = below.join(placed, ["frame", "i", "j"]).select("frame", "a", number("i", "first").alias("b"))
+    found = components(links, ["frame"]).withColumnRenamed("node", "stretch")
+    named = placed.withColumn("stretch", number("i", "first")).join(found, ["frame", "stretch"], "left")
+    return named.select("frame", "i", "j", F.coalesce("component", "stretch").alias("label"))
 
 
 def region_table(labelled: DataFrame, min_area: int = 1, top: int | None = None) -> DataFrame:

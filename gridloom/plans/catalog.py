@@ -1,9 +1,9 @@
 """All registered queries of the library and their SQL."""
 
-from gridloom.plans import activity, assembly, fields, naming, pixels, points, quality, reports, scalars, selection, stores, verification
+from gridloom.plans import activity, assembly, fields, frames, naming, pixels, points, quality, reports, scalars, selection, stores, verification
 
 _ALL: dict = {}
-for _module in (activity, verification, pixels, quality, points, scalars, assembly, fields, naming, reports, selection, stores):
+for _module in (activity, verification, pixels, quality, points, scalars, assembly, fields, frames, naming, reports, selection, stores):
     _ALL |= _module.QUERIES
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
