@@ -1,10 +1,12 @@
 """Grids in space: affine projection, axes, warping, parallax relocation, upscaling, spaced sampling."""
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.geodesy import line_of_sight, viewing_zenith
 from gridloom.operators.grid import bilinear_sample
 from gridloom.operators.shared import stored
 
@@ -49,6 +51,29 @@ def relocate(moved: DataFrame, radius: int, sigma: float) -> DataFrame:
     return sums.select("frame", "i", "j", (F.col("wi") / F.col("w")).alias("si"), (F.col("wj") / F.col("w")).alias("sj"))
 
 
+def visible_patches(patches: DataFrame, corners: list[tuple[Column, Column]], satellite: Column, limit: float = 75.0) -> DataFrame:
+    """Patches whose corners (lon, lat) are all seen at a zenith angle below ``limit`` degrees."""
+    seen = [viewing_zenith(lon, lat, satellite) < limit for lon, lat in corners]
+    return patches.where(reduce(lambda a, b: a & b, seen))
+
+
+def corrected_points(points: DataFrame, heights: DataFrame, satellite: Column, x0: float, y0: float, size: float) -> DataFrame:
+    """(id, lon, lat) of points (id, frame, lon, lat) shifted by the cloud height there: bilinear from the four pixels (frame, i, j, v in
+    kilometres) of a grid of ``size`` degrees around; null where one of them is missing or the satellite has set."""
+    at = points.withColumn("p", to_pixel(F.col("lon"), F.col("lat"), x0, y0, size)).select("id", "frame", F.col("p.i").alias("y"), F.col("p.j").alias("x"))
+    sampled = bilinear_sample(heights, at).withColumnRenamed("v", "height")
+    moved = points.join(sampled, "id", "left").withColumn("s", F.when(F.col("height").isNotNull(), line_of_sight(F.col("lon"), F.col("lat"), F.col("height"), satellite)))
+    return moved.select("id", F.col("s.lon").alias("lon"), F.col("s.lat").alias("lat"))
+
+
+def corrected_pixels(heights: DataFrame, satellite: Column, x0: float, y0: float, size: float) -> DataFrame:
+    """(frame, i, j, y, x): where the cloud top seen in each pixel (frame, i, j, v in kilometres) stands in the grid, for ``relocate``."""
+    at = heights.withColumn("g", from_pixel(F.col("i"), F.col("j"), x0, y0, size))
+    top = at.withColumn("s", line_of_sight(F.col("g.x"), F.col("g.y"), F.col("v"), satellite)).where("s IS NOT NULL")
+    back = top.withColumn("p", to_pixel(F.col("s.lon"), F.col("s.lat"), x0, y0, size))
+    return back.select("frame", "i", "j", F.col("p.i").alias("y"), F.col("p.j").alias("x"))
+
+
 def upscale(patches: DataFrame, keys: list[str], size: int, factor: int = 4) -> DataFrame:
     """(keys, i, j, v) at ``factor`` times the resolution: source k / factor, the last row and column held."""
     edge = lambda c, o: F.least(F.floor(F.col(c) / factor) + o, F.lit(size - 1))
