@@ -1,6 +1,5 @@
 """Grids in space: affine projection, axes, warping, parallax relocation, upscaling, spaced sampling."""
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -8,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geodesy import line_of_sight, viewing_zenith
 from gridloom.operators.grid import bilinear_sample
-from gridloom.operators.shared import stored
 
 
 def to_pixel(x: Column, y: Column, x0: float, y0: float, size: float) -> Column:
@@ -82,37 +80,3 @@ def upscale(patches: DataFrame, keys: list[str], size: int, factor: int = 4) ->
     part = patches.withColumn("k", F.col("i").cast("long")).withColumn("ti", F.explode(spread)).withColumn("k", F.col("j").cast("long")).withColumn("tj", F.explode(spread))
     share = lambda t, c: F.when(edge(t, 0) == F.col(c), 1 - (F.col(t) / factor - F.floor(F.col(t) / factor))).otherwise(0.0) + F.when(edge(t, 1) == F.col(c), F.col(t) / factor - F.floor(F.col(t) / factor)).otherwise(0.0)
     return part.groupBy(*keys, F.col("ti").alias("i"), F.col("tj").alias("j")).agg(F.sum(share("ti", "i") * share("tj", "j") * F.col("v")).alias("v"))
-
-
-def spaced_sample(candidates: DataFrame, distance: float, most: int | None = None, max_rounds: int = 500) -> DataFrame:
-    """(frame, i, j, rank): the places that a sequential choice in order of ``rank`` would take, none nearer than ``distance``
-    to one taken before; the first ``most`` of a frame. ``candidates``: (frame, i, j, rank), ranks different in a frame.
-
-    In each round every open place that precedes all open ones near it is taken and strikes out those near it: the same
-    choice, in as many rounds as the longest chain of conflicts. Places meet by cells of the grid, not in pairs.
-    """
-    cell = math.ceil(distance)
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    placed = candidates.withColumns({"ci": F.floor(F.col("i") / cell), "cj": F.floor(F.col("j") / cell)})
-    near = placed.withColumn("o", F.explode(around)).select("frame", F.col("rank").alias("a"), F.col("i").alias("ai"), F.col("j").alias("aj"), (F.col("ci") + F.col("o.a")).alias("ci"), (F.col("cj") + F.col("o.b")).alias("cj"))
-    close = (F.pow(F.col("ai") - F.col("i"), 2) + F.pow(F.col("aj") - F.col("j"), 2) < distance * distance) & (F.col("a") < F.col("rank"))
-    conflicts = stored(near.join(placed, ["frame", "ci", "cj"]).where(close).select("frame", "a", F.col("rank").alias("b")))
-    nodes, taken = stored(candidates.select("frame", "rank")), None
-    for _ in range(max_rounds):
-        won = stored(nodes.join(conflicts.select("frame", F.col("b").alias("rank")).distinct(), ["frame", "rank"], "leftanti"))
-        taken = won if taken is None else taken.union(won)
-        lost = conflicts.join(won.withColumnRenamed("rank", "a"), ["frame", "a"], "leftsemi").select("frame", F.col("b").alias("rank")).distinct()
-        lost = stored(lost)
-        nodes = stored(nodes.join(won.union(lost), ["frame", "rank"], "leftanti"))
-        if nodes.isEmpty():
-            break
-        open_ = nodes.select("frame", F.col("rank").alias("a"))
-        conflicts = stored(conflicts.join(open_, ["frame", "a"], "leftsemi").join(open_.withColumnRenamed("a", "b"), ["frame", "b"], "leftsemi"))
-    else:
-        raise RuntimeError("sampling did not settle")
-    out = candidates.join(taken, ["frame", "rank"], "leftsemi").select("frame", "i", "j", "rank")
-    if most is None:
-        return out
-    from pyspark.sql import Window
-
-    return out.withColumn("k", F.row_number().over(Window.partitionBy("frame").orderBy("rank"))).where(F.col("k") <= most).drop("k")

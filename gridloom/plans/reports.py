@@ -7,6 +7,7 @@ from gridloom.operators import rain as R
 from gridloom.operators import reports as P
 from gridloom.operators import verify as V
 from gridloom.operators.grid import zero_patches
+from gridloom.operators.sampling import spaced_sample
 from gridloom.operators.shared import new_path
 from gridloom.plans import fixtures as X
 from gridloom.sources import sinks, tables
@@ -60,7 +61,7 @@ def _axes(s, d):
 
 def _spaced(s, d):
     candidates = X.pixels(s, d).select("frame", "i", "j", ((F.col("i") * 192 + F.col("j")) * 7919 % 18433).alias("rank"))
-    return G.spaced_sample(candidates, 3.0)
+    return spaced_sample(candidates, 3.0)
 
 
 _NAMES, _COLS = ["a", "b", "c", "d", "e"], ["d", "e"]
