@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranks import numbered, running_counts
+from gridloom.operators.ranks import numbered, running_counts, running_totals
 
 
 def r6(c: Column) -> Column:
@@ -155,8 +155,9 @@ def attribution(rows: DataFrame, by: list[str], v: str) -> DataFrame:
 
 
 def running_mean(rows: DataFrame, key: str, order: list[str], v: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(key, *order, F.round(F.avg(v).over(w), 10).alias("running"))
+    """Mean of all values up to each row, in groups of any size."""
+    sums = running_totals(rows.select(key, *order, v), [key], order, v)
+    return sums.select(key, *order, F.round(F.try_divide("sum_", "n_"), 10).alias("running"))
 
 
 def expand_regions(regions: DataFrame, times: int, reach: int) -> DataFrame:

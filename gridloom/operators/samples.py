@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import numbered
+
 
 def assemble(samples: DataFrame, offsets: list[int], variables: list[str], values: DataFrame) -> DataFrame:
     """Every (sample, step, variable), left-joined to values (t, patch_id, variable, v) at the full time t + step; absent ones are 0.
@@ -74,9 +76,9 @@ def presence(rows: DataFrame, key: str, source: str, required: list[str]) -> Dat
 
 
 def zip_batches(left: DataFrame, right: DataFrame, order: str, group: str) -> DataFrame:
-    """Rows of two sides paired by position within the group, up to the shorter."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return left.withColumn("k", rank).select(group, "k", F.col(order).alias("a")).join(right.withColumn("k", rank).select(group, "k", F.col(order).alias("b")), [group, "k"])
+    """Rows of two sides paired by position within the group, up to the shorter; groups may have any size."""
+    side = lambda rows, name: numbered(rows.select(group, order), [group], [order], "k").select(group, "k", F.col(order).alias(name))
+    return side(left, "a").join(side(right, "b"), [group, "k"])
 
 
 def hash_split(blocks: DataFrame, key: Column, fractions: dict[str, int]) -> DataFrame:

@@ -7,8 +7,8 @@ bucket table, so the number of thresholds doesn't multiply the scan.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranks import numbered
-from gridloom.operators.shared import stored
+from gridloom.operators.ranks import neighbour_steps, numbered
+from gridloom.operators.ranks import quantiles as quantiles_of
 
 EPS = 1e-10
 
@@ -164,11 +164,9 @@ def xi_correlation(rows: DataFrame, x: str, y: str, key: str, by: list[str], var
 
     Pairs with a null are dropped; fewer than 2 rows give null. Ties are ordered by key.
     """
-    ranked = numbered(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y, key), by, [y, key], "ry")
-    ranked = stored(numbered(ranked, by, [x, key], "rx").select(*by, "rx", "ry"))
-    earlier = ranked.select(*by, (F.col("rx") + 1).alias("rx"), F.col("ry").alias("was"))
-    steps = ranked.join(earlier, [*by, "rx"], "left").withColumn("step", F.abs(F.col("ry") - F.col("was")))
-    total = steps.groupBy(*by).agg(F.sum("step").cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    ranked = numbered(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y, key), by, [y, key], "ry").select(*by, x, key, "ry")
+    steps = neighbour_steps(ranked, by, [x, key], F.abs(F.col("ry") - F.col("was_")), "ry")
+    total = steps.select(*by, F.col("total").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
     n, s = F.col("n"), F.col("s")
     xi = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - s / (2 * n * n / 3))) if variant == "reference" else 1 - 3 * s / (n * n - 1)
     return total.select(*by, F.when(n > 1, r6(xi)).alias("xi"))
@@ -176,9 +174,8 @@ def xi_correlation(rows: DataFrame, x: str, y: str, key: str, by: list[str], var
 
 def quantile_map(rows: DataFrame, source: str, target: str, by: list[str], quantiles: int = 20) -> DataFrame:
     """Matched exact quantiles of source and target: (by, q, source_q, target_q)."""
-    at = F.array(*[F.lit(k / quantiles) for k in range(quantiles + 1)])
-    q = rows.groupBy(*by).agg(F.percentile(source, at).alias("s"), F.percentile(target, at).alias("t"))
-    return q.select(*by, F.posexplode(F.arrays_zip("s", "t")).alias("q", "z")).select(*by, "q", r6(F.col("z.s")).alias("source_q"), r6(F.col("z.t")).alias("target_q"))
+    side = lambda c, name: quantiles_of(rows.select(*by, F.col(c).cast("double").alias("x_")), by, "x_", quantiles).select(*by, "q", r6(F.col("x_")).alias(name))
+    return side(source, "source_q").join(side(target, "target_q"), [*by, "q"])
 
 
 def monotone_coupling(rows: DataFrame, source: str, target: str, key: str, by: list[str]) -> DataFrame:

@@ -202,3 +202,27 @@ def test_selection_of_odd_rows(spark):
     still = C.frame_report(spark.createDataFrame([(1, 0.0), (1, 0.0)], "f int, v double"), "f", "v", 0.5, 1.0).first()
     assert still.light_from is None and still.light_km2 == 0.0 and still.coverage == 0.0
     assert C.batches(spark.range(0), ["id"], 4).count() == 0
+
+
+def test_quantiles_totals_and_neighbours_across_partitions(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import ranks
+
+    rng = np.random.default_rng(3)
+    rows = [("a", k, float(v)) for k, v in enumerate(rng.integers(0, 9, 200))] + [("b", k, float(v)) for k, v in enumerate(rng.random(57))] + [("c", 0, 5.0), ("c", 1, None), ("d", 0, None)]
+    table = spark.createDataFrame(rows, "g string, k int, v double").repartition(3)
+    got = {(r.g, r.q): r.v for r in ranks.quantiles(table, ["g"], "v", 20).collect()}
+    for g in "abc":
+        want = np.quantile([v for h, _, v in rows if h == g and v is not None], np.arange(21) / 20)
+        assert np.allclose([got[g, q] for q in range(21)], want)
+    assert len(got) == 63
+    totals = {(r.g, r.k): (r.n_, round(r.sum_, 6)) for r in ranks.running_totals(table, ["g"], ["k"], "v").collect()}
+    steps = {r.g: (r.n, round(r.total, 6)) for r in ranks.neighbour_steps(table, ["g"], ["k"], F.abs(F.col("v") - F.col("was_")), "v").collect()}
+    for g in "abcd":
+        values = [v for h, _, v in rows if h == g]
+        for k in range(len(values)):
+            known = [v for v in values[: k + 1] if v is not None]
+            assert totals[g, k] == (len(known), round(sum(known), 6))
+        assert steps[g] == (len(values), round(sum(abs(b - a) for a, b in zip(values, values[1:]) if None not in (a, b)), 6))
