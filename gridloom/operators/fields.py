@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.draws import drawn
 from gridloom.operators.ranks import numbered, running_counts, running_totals
 
 
@@ -172,7 +173,7 @@ def frame_origins(cells: DataFrame, size: int, seed: int | None = None) -> DataF
     """Bounding box of each time (t, i, j) and an origin: its corner, or a seeded one within it."""
     box = cells.groupBy("t").agg(*[f(c).alias(f"{c}_{n}") for c in ("i", "j") for n, f in (("min", F.min), ("max", F.max))])
     room = lambda c: F.greatest(F.lit(1), F.col(f"{c}_max") - F.col(f"{c}_min") + 1 - size + 1)
-    draw = lambda c, k: F.col(f"{c}_min") if seed is None else F.col(f"{c}_min") + F.pmod(F.xxhash64("t", F.lit(seed + k)), room(c))
+    draw = lambda c, k: F.col(f"{c}_min") if seed is None else F.col(f"{c}_min") + drawn(F.concat_ws("-", F.lit(str(seed + k)), F.col("t").cast("string")), room(c))
     return box.select("t", "i_min", "i_max", "j_min", "j_max", draw("i", 0).alias("i0"), draw("j", 1).alias("j0"))
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.draws import drawn
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -76,7 +78,7 @@ def flip(pixels: DataFrame, height: int, width: int, up_down: bool = False, left
 
 def augment(pixels: DataFrame, size: int, batch: int, seed: int) -> DataFrame:
     """Flips and transposes drawn once for each batch of patches from a seeded hash of the batch number."""
-    h = F.pmod(F.xxhash64(F.floor(F.col("patch") / batch), F.lit(seed)), F.lit(8))
+    h = drawn(F.concat_ws("-", F.lit(str(seed)), F.floor(F.col("patch") / batch).cast("string")), 8)
     bit = lambda k: F.floor(h / k) % 2 == 1
     i, j = F.when(bit(1), F.col("j")).otherwise(F.col("i")), F.when(bit(1), F.col("i")).otherwise(F.col("j"))
     return pixels.select("patch", F.when(bit(2), size - 1 - i).otherwise(i).alias("i"), F.when(bit(4), size - 1 - j).otherwise(j).alias("j"), "v")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.draws import drawn
 from gridloom.operators.ranks import numbered
 
 
@@ -83,7 +84,7 @@ def zip_batches(left: DataFrame, right: DataFrame, order: str, group: str) -> Da
 
 def hash_split(blocks: DataFrame, key: Column, fractions: dict[str, int]) -> DataFrame:
     """Blocks to splits by a seeded hash in thousandths; a block is never divided."""
-    h, out, low = F.pmod(F.xxhash64(key, F.lit(13)), F.lit(1000)), None, 0
+    h, out, low = drawn(F.concat(F.lit("13-"), key.cast("string")), 1000), None, 0
     for name, part in fractions.items():
         low += part
         out = F.when(h < low, name) if out is None else out.when(h < low, name)

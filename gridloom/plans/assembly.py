@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridloom.functions.draws import drawn_sql
 from gridloom.operators import samples as M
 from gridloom.operators import sequences as S
 from gridloom.plans import activity, fixtures as X
@@ -64,7 +65,7 @@ QUERIES = {
     "scene": (lambda s, d: M.scene(_long(s, d), ["t", "i"], ["IC", "CG", "absent"]).withColumn("absent", F.col("absent").cast("double")), f"WITH {X.SQL_STROKES}, {_LONG} SELECT t, i, max(v) FILTER (variable = 'IC') AS \"IC\", max(v) FILTER (variable = 'CG') AS \"CG\", NULL::DOUBLE AS absent FROM lg GROUP BY ALL"),
     "source_presence": (lambda s, d: M.presence(X.table(s, d, "events").select("user_id", "event_type"), "user_id", "event_type", ["click", "purchase", "view"]), "WITH h AS (SELECT user_id, list(DISTINCT event_type) AS h FROM events GROUP BY 1) SELECT user_id, array_to_string(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(h, x)), ',') AS lacking, list_has_all(h, ['click', 'purchase', 'view']) AS complete FROM h"),
     "zip_batches": (lambda s, d: M.zip_batches(X.strokes(s, d).where("intra = 'IC'"), X.strokes(s, d).where("intra = 'CG'"), "id", "j").select("j", F.col("k").cast("long").alias("k"), "a", "b"), f"WITH {X.SQL_STROKES}, a AS (SELECT j, id, row_number() OVER (PARTITION BY j ORDER BY id) AS k FROM strokes WHERE intra = 'IC'), b AS (SELECT j, id, row_number() OVER (PARTITION BY j ORDER BY id) AS k FROM strokes WHERE intra = 'CG') SELECT j, k, a.id AS a, b.id AS b FROM a JOIN b USING (j, k)"),
-    "hash_split": (lambda s, d: M.hash_split(X.patch_active(s, d).select(F.floor(F.col("slot") / 24).alias("day")).distinct(), F.col("day"), {"test": 100, "validation": 100}), None),
+    "hash_split": (lambda s, d: M.hash_split(X.patch_active(s, d).select(F.floor(F.col("slot") / 24).alias("day")).distinct(), F.col("day"), {"test": 100, "validation": 100}), f"WITH {X.sql_active()}, b AS (SELECT DISTINCT slot // 24 AS day FROM active), h AS (SELECT day, {drawn_sql("'13-' || day", '1000')} AS h FROM b) SELECT day, CASE WHEN h < 100 THEN 'test' WHEN h < 200 THEN 'validation' ELSE 'train' END AS split FROM h"),
     "wide_index": (lambda s, d: K.wide_index(_text(s, d)), f"WITH {_A} SELECT strftime(make_timestamp(slot * 3600000000), '%Y-%m-%dT%H:%M') AS ts_text, " + ", ".join(f"CAST(max(CASE WHEN patch_id = {k} THEN 1 ELSE 0 END) AS INT) AS patch_{k}" for k in range(1, 19)) + " FROM active GROUP BY slot"),
     "index_json": (lambda s, d: K.index_json(_text(s, d)), f"WITH {_A} SELECT '{{\"ts\":\"' || strftime(make_timestamp(slot * 3600000000), '%Y-%m-%dT%H:%M') || '\",\"patches\":[' || string_agg(patch_id::VARCHAR, ',' ORDER BY patch_id) || ']}}' AS value FROM active GROUP BY slot"),
     "sequence_rows": (lambda s, d: K.sequence_rows(S.step_positions(X.patch_active(s, d)), 2, 3, 15).select("slot", "patch_numbers", "`idx_t-30`", "`idx_t0`", "`idx_t+45`"), f"WITH {_A}, {activity._REFS}, p AS (SELECT slot, patch_id, row_number() OVER (PARTITION BY slot ORDER BY patch_id) - 1 AS pos FROM active), x AS (SELECT r.slot, r.patch_id, t.step, p.pos FROM refs r, (SELECT unnest(range(-2, 4)) AS step) t, p WHERE p.slot = r.slot + t.step AND p.patch_id = r.patch_id) SELECT slot, '[' || string_agg(patch_id::VARCHAR, ',' ORDER BY patch_id) FILTER (step = 0) || ']' AS patch_numbers, '[' || string_agg(pos::VARCHAR, ',' ORDER BY patch_id) FILTER (step = -2) || ']' AS \"idx_t-30\", '[' || string_agg(pos::VARCHAR, ',' ORDER BY patch_id) FILTER (step = 0) || ']' AS \"idx_t0\", '[' || string_agg(pos::VARCHAR, ',' ORDER BY patch_id) FILTER (step = 3) || ']' AS \"idx_t+45\" FROM x GROUP BY slot"),

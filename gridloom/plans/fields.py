@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridloom.functions.draws import drawn_sql
 from gridloom.operators import fields as D
 from gridloom.operators import grid as G
 from gridloom.operators import verify as V
@@ -48,6 +49,11 @@ def _half_sql(odd, name):
 _CL = "greatest(1e-7, least(1 - 1e-7, {0}))"
 _LG = "ln({0} / (1 - {0}))"
 _ST, _TE = _CL.format("y_pred"), _CL.format("sqrt(y_pred)")
+def _seen(s, d):
+    """All steps of the time that the events cover, whether active or not."""
+    return X.patch_active(s, d, 5).agg(F.explode(F.sequence(F.min("slot"), F.max("slot"))).alias("slot"))
+
+
 QUERIES = {
     "clean_sentinel": (lambda s, d: _dirty(s, d).select("id", D.clean_sentinel(F.col("v"), -9999000.0, 0.12619).alias("v")), f"WITH {_S}, q AS (SELECT id, {_NAN} AS v FROM strokes) SELECT id, CASE WHEN isnan(v) OR v = -9999000 THEN NULL WHEN v < 0.12619 THEN 0 ELSE v END AS v FROM q"),
     "fill_with_minimum": (lambda s, d: D.fill_with_minimum(_dirty(s, d), ["j"], "v"), f"WITH {_S}, q AS (SELECT id, j, {_NAN} AS v FROM strokes), m AS (SELECT j, min(v) FILTER (NOT isnan(v)) AS m FROM q GROUP BY j) SELECT id, j, CASE WHEN isnan(v) THEN m ELSE v END AS v FROM q JOIN m USING (j)"),
@@ -81,10 +87,10 @@ QUERIES = {
     "spearman": (lambda s, d: D.spearman(X.predictions(s, d), "y_true", "y_pred", ["lead"]), f"WITH {_P}, r AS (SELECT lead, rank() OVER (PARTITION BY lead ORDER BY y_true) + (count(*) OVER (PARTITION BY lead, y_true) - 1) / 2::DOUBLE AS a, rank() OVER (PARTITION BY lead ORDER BY y_pred) + (count(*) OVER (PARTITION BY lead, y_pred) - 1) / 2::DOUBLE AS b FROM predictions) SELECT lead, round(corr(a, b), 6) AS rho FROM r GROUP BY lead"),
     "attribution": (lambda s, d: D.attribution(X.strokes(s, d), ["intra", "i"], "current"), f"WITH {_S} SELECT intra, i, round(avg(abs(current)), 6) AS importance FROM strokes GROUP BY ALL"),
     "running_mean": (lambda s, d: D.running_mean(X.strokes(s, d), "j", ["s", "id"], "current"), f"WITH {_S} SELECT j, s, id, round(avg(current) OVER (PARTITION BY j ORDER BY s, id ROWS UNBOUNDED PRECEDING), 10) AS running FROM strokes"),
-    "expand_regions": (lambda s, d: D.expand_regions(X.pixels(s, d).where("v = 50").select(F.col("frame").alias("t"), F.floor(F.col("i") / 8).alias("i"), F.floor(F.col("j") / 8).alias("j")), 1, 2), f"WITH {_PX}, c AS (SELECT DISTINCT frame AS t, i // 8 AS i, j // 8 AS j FROM pixels WHERE v = 50) SELECT DISTINCT t + a AS t, i + b AS i, j + c2 AS j FROM c, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-2, 3)) AS b), (SELECT unnest(range(-2, 3)) AS c2)"),
+    "expand_regions": (lambda s, d: D.expand_regions(X.pixels(s, d).select(F.col("frame").alias("t"), F.floor(F.col("i") / 8).alias("i"), F.floor(F.col("j") / 8).alias("j")), 1, 2), f"WITH {_PX}, c AS (SELECT DISTINCT frame AS t, i // 8 AS i, j // 8 AS j FROM pixels) SELECT DISTINCT t + a AS t, i + b AS i, j + c2 AS j FROM c, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-2, 3)) AS b), (SELECT unnest(range(-2, 3)) AS c2)"),
     "frame_origins": (lambda s, d: D.frame_origins(X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t"), "i", "j"), 8), f"WITH {_S} SELECT s // 3600 AS t, min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max, min(i) AS i0, min(j) AS j0 FROM strokes GROUP BY 1"),
-    "frame_origins_drawn": (lambda s, d: D.frame_origins(X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t"), "i", "j"), 8, 5), None),
-    "run_summary": (lambda s, d: D.run_summary(X.patch_active(s, d), X.patch_active(s, d)), f"WITH {X.sql_active()}, n AS (SELECT count(DISTINCT slot) AS n FROM active) SELECT any_value(n) AS steps, count(DISTINCT slot) AS active_steps, round(count(DISTINCT slot) * 100 / any_value(n)::DOUBLE, 6) AS percent, count(DISTINCT patch_id) AS patches FROM active, n"),
+    "frame_origins_drawn": (lambda s, d: D.frame_origins(X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t"), "i", "j"), 8, 5), f"WITH {_S}, b AS (SELECT s // 3600 AS t, min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max FROM strokes GROUP BY 1) SELECT *, i_min + {drawn_sql("'5-' || t", 'greatest(1, i_max - i_min - 6)')} AS i0, j_min + {drawn_sql("'6-' || t", 'greatest(1, j_max - j_min - 6)')} AS j0 FROM b"),
+    "run_summary": (lambda s, d: D.run_summary(X.patch_active(s, d, 5), _seen(s, d)), f"WITH {X.sql_active(5)}, n AS (SELECT max(slot) - min(slot) + 1 AS n FROM active) SELECT any_value(n) AS steps, count(DISTINCT slot) AS active_steps, round(count(DISTINCT slot) * 100 / any_value(n)::DOUBLE, 6) AS percent, count(DISTINCT patch_id) AS patches FROM active, n"),
     "metric_table": (
         lambda s, d: D.metric_table(_sweep(s, d, 0), _sweep(s, d, 1), {k: v for k, v in V.skill_scores().items() if k in ("csi", "pod", "far")}),
         f"WITH {_half_sql(0, 'va')}, {_half_sql(1, 'te')}, b AS (SELECT lead, k FROM va QUALIFY row_number() OVER (PARTITION BY lead ORDER BY round(tp / (tp + fp + fn + 1e-10), 6) DESC, k) = 1) SELECT lead, k, round(tp / (tp + fp + fn + 1e-10), 6) AS csi, round(tp / (tp + fn + 1e-10), 6) AS pod, round(fp / (tp + fp + 1e-10), 6) AS far FROM te JOIN b USING (lead, k)",

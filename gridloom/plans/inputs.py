@@ -33,7 +33,7 @@ def declared(d) -> predictors.Catalog:
 
 
 def _plan(s, d):
-    references = X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t")).where("t % 4 = 0")
+    references = X.strokes(s, d).select(F.floor(F.col("s") / 3600).alias("t"))
     return declared(d).plan(s, ["cg_log", "excess", "ic_target", "terrain"], references, 2, 3)
 
 
@@ -79,7 +79,7 @@ QUERIES = {
         _plan,
         f"""WITH {_S}, h AS (SELECT CAST(s // 3600 AS BIGINT) AS t, i % 5 AS key, round(sum(abs(current)) FILTER (intra = 'CG'), 4) AS cg, round(sum(abs(current)) FILTER (intra = 'IC'), 4) AS ic FROM strokes GROUP BY ALL),
 p AS (SELECT t, key, 'past' AS timeframe, 'cg_log' AS predictor, round(log10(greatest(cg, 0.1)), 6) AS v FROM h WHERE cg IS NOT NULL UNION ALL SELECT t, key, 'past', 'excess', round(coalesce(cg, 0) - coalesce(ic, 0), 4) FROM h UNION ALL SELECT t, key, 'future', 'ic_target', CAST(ic > 50 AS INT)::DOUBLE FROM h WHERE ic IS NOT NULL),
-r AS (SELECT DISTINCT t FROM h WHERE t % 4 = 0), w AS (SELECT t, step, CASE WHEN step > 0 THEN 'future' ELSE 'past' END AS timeframe FROM r, (SELECT CAST(unnest(range(-1, 4)) AS INT) AS step))
+r AS (SELECT DISTINCT t FROM h), w AS (SELECT t, step, CASE WHEN step > 0 THEN 'future' ELSE 'past' END AS timeframe FROM r, (SELECT CAST(unnest(range(-1, 4)) AS INT) AS step))
 SELECT w.t, predictor, step, key, v FROM w JOIN p ON p.t = w.t + w.step AND p.timeframe = w.timeframe UNION ALL SELECT NULL, 'terrain', 0, n_nationkey % 5, max(length(n_name)) / 10::DOUBLE FROM nation GROUP BY ALL""",
     ),
     "resolved_paths": (_paths, _paths_sql()),

@@ -71,7 +71,7 @@ QUERIES = {
     ),
     "local_maxima": (lambda s, d: G.local_maxima(X.patch8(s, d), ["patch"], 2), f"WITH {X.SQL_PATCH8} SELECT p.patch, p.i, p.j, p.v FROM patch8 p JOIN patch8 q ON q.patch = p.patch AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY ALL HAVING p.v = max(q.v)"),
     "fill_holes": (lambda s, d: G.fill_holes(X.pixels(s, d), 96, 192), f"WITH {_P}, n AS (SELECT frame, i + di AS i, j + dj AS j, v FROM pixels, {_SQUARE}), m AS (SELECT frame, i, j, round(avg(v), 6) AS v FROM n WHERE i BETWEEN 0 AND 95 AND j BETWEEN 0 AND 191 GROUP BY ALL) SELECT m.* FROM m ANTI JOIN pixels USING (frame, i, j)"),
-    "kernel_sum": (lambda s, d: G.kernel_sum(X.pixels(s, d).where("v > 49"), 4, _gauss), f"WITH {_P} SELECT frame, i + di AS i, j + dj AS j, round(sum(v * exp(-(di * di + dj * dj) / 8::DOUBLE)), 6) AS s FROM pixels, {_DISC.format(r=4)} WHERE v > 49 GROUP BY ALL"),
+    "kernel_sum": (lambda s, d: G.kernel_sum(X.pixels(s, d), 4, _gauss), f"WITH {_P} SELECT frame, i + di AS i, j + dj AS j, round(sum(v * exp(-(di * di + dj * dj) / 8::DOUBLE)), 6) AS s FROM pixels, {_DISC.format(r=4)} GROUP BY ALL"),
     "zero_patches": (lambda s, d: G.zero_patches(X.pixels(s, d), F.col("v") > 49, 16, 12), f"WITH {_P} SELECT frame, (i // 16) * 12 + j // 16 + 1 AS patch_id, count(*) FILTER (v > 49) AS n, count(*) FILTER (v > 49) = 0 AS is_zero FROM pixels GROUP BY ALL"),
     "nonzero_fraction": (lambda s, d: G.nonzero_fraction(X.table(s, d, "lineitem").select("l_returnflag", F.col("l_discount").cast("double").alias("v")), "l_returnflag", "v"), "WITH b AS (SELECT l_returnflag AS product, CAST(l_discount AS DOUBLE) AS v FROM lineitem UNION ALL SELECT NULL, CAST(l_discount AS DOUBLE) FROM lineitem) SELECT product, count(*) FILTER (v <> 0) AS ones, count(*) AS total, round(count(*) FILTER (v <> 0) / count(*)::DOUBLE, 6) AS fraction, CAST(floor(count(*) / (count(*) FILTER (v <> 0))::DOUBLE) AS BIGINT) AS ratio FROM b GROUP BY product"),
     "bilinear_sample": (

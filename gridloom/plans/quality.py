@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridloom.functions.draws import drawn_sql
 from gridloom.operators import grid as G
 from gridloom.operators import patches as P
 from gridloom.plans import fixtures as X
@@ -50,7 +51,7 @@ QUERIES = {
         _Q + ", o AS (SELECT CAST(k AS BIGINT) AS o, least(CAST(floor(k * 7 / 15::DOUBLE + 1e-12) AS BIGINT), 6) AS a, k * 7 / 15::DOUBLE AS x FROM (SELECT unnest(range(0, 16)) AS k)), r AS (SELECT o, a + d AS p, abs(1 - d - (x - a)) AS w FROM o, (SELECT unnest([0, 1]) AS d)) SELECT patch, r.o AS i, c.o AS j, round(sum(v * r.w * c.w), 6) AS v FROM patch8 JOIN r ON r.p = patch8.i JOIN r c ON c.p = patch8.j GROUP BY ALL",
     ),
     "flip": (lambda s, d: P.flip(X.patch8(s, d), 8, 8, True, False, True), _Q + " SELECT patch, 7 - j AS i, i AS j, v FROM patch8"),
-    "augment": (lambda s, d: P.augment(X.patch8(s, d), 8, 16, 1), None),
+    "augment": (lambda s, d: P.augment(X.patch8(s, d), 8, 16, 1), f"WITH {X.SQL_PATCH8}, h AS (SELECT *, {drawn_sql("'1-' || (patch // 16)", '8')} AS h FROM patch8), t AS (SELECT patch, h, v, CASE WHEN h % 2 = 1 THEN j ELSE i END AS a, CASE WHEN h % 2 = 1 THEN i ELSE j END AS b FROM h) SELECT patch, CASE WHEN h // 2 % 2 = 1 THEN 7 - a ELSE a END AS i, CASE WHEN h // 4 % 2 = 1 THEN 7 - b ELSE b END AS j, v FROM t"),
     "boxes": (lambda s, d: X.patch_active(s, d).select("slot", "patch_id", F.explode(P.boxes(F.col("patch_id"), 256, 64, 6)).alias("b")).select("slot", "patch_id", "b.*"), f"WITH {X.sql_active()} SELECT slot, patch_id, (patch_id - 1) // 6 * 256 + a AS i0, (patch_id - 1) // 6 * 256 + a + 64 AS i1, (patch_id - 1) % 6 * 256 + b AS j0, (patch_id - 1) % 6 * 256 + b + 64 AS j1 FROM active, (SELECT unnest(range(0, 256, 64)) AS a), (SELECT unnest(range(0, 256, 64)) AS b)"),
     "tile_sums": (lambda s, d: P.tile_arrays(X.patch8(s, d)).select("patch", F.size("values").alias("n"), F.round(F.get("values", F.lit(9)), 6).alias("v9"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("total")), _Q + " SELECT patch, CAST(count(*) AS INT) AS n, round(max(v) FILTER (i = 1 AND j = 1), 6) AS v9, round(sum(v), 5) AS total FROM patch8 GROUP BY patch"),
     "pairwise_distance": (lambda s, d: P.pairwise_distance(X.patch8(s, d)), _Q + ", v AS (SELECT sum(s) AS s FROM (SELECT var_pop(v) AS s FROM patch8 GROUP BY i, j)), n AS (SELECT count(DISTINCT patch) AS n FROM patch8) SELECT round(2 * s * n / (n - 1), 6) AS mean_squared_distance FROM v, n"),

@@ -415,3 +415,11 @@ def dense_lines(pixels: DataFrame, keys: list[str], height: int, width: int, v:
 def to_pixels(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j, v) of all numbers of the lines."""
     return lines.where("error IS NULL").select(*keys, F.col("line").cast("long").alias("i"), F.posexplode("values").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+def read_points(spark: SparkSession, path: str, kinds: list[str], fields: tuple[str, ...] = ("lat", "lon", "energy"), pattern: str = "*.nc") -> DataFrame:
+    """(path, kind, fields) of points that files hold as lists of equal length, one variable ``<kind>_<field>`` for each kind and field."""
+    rows = read_containers(spark, path, [[f"{k}_{f}"] for k in kinds for f in fields], pattern).where("error IS NULL")
+    named = rows.select("path", F.substring_index("variable", "_", 1).alias("kind"), F.substring_index("variable", "_", -1).alias("field"), "values")
+    lists = named.groupBy("path", "kind").agg(*[F.max(F.when(F.col("field") == f, F.col("values"))).alias(f) for f in fields])
+    return lists.select("path", "kind", F.inline(F.arrays_zip(*[F.col(f) for f in fields])))

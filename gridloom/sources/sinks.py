@@ -97,9 +97,9 @@ def write_bundle(classified: DataFrame, path: str, is_zero: str = "is_zero") ->
 
 
 def consolidate_days(store: DataFrame, path: str, day: str = "date", file: str = "file") -> DataFrame:
-    """All days of each variable in one place, with where it comes from: (variable, days, files, total)."""
+    """All days of each variable in one place, with where it comes from: (variable, days, files, total), counted from what was written."""
     store.write.mode("overwrite").partitionBy("variable").parquet(path)
-    return store.groupBy("variable").agg(F.countDistinct(day).alias("days"), F.countDistinct(file).alias("files"), F.count(F.lit(1)).alias("total"))
+    return store.sparkSession.read.parquet(path).groupBy("variable").agg(F.countDistinct(day).alias("days"), F.countDistinct(file).alias("files"), F.count(F.lit(1)).alias("total"))
 
 
 def stitch_json(stitched: DataFrame) -> DataFrame:
