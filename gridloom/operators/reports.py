@@ -1,6 +1,8 @@
 """Tables for reports: samples by date, paired ranges, exclusion tables, ensemble weights, mapped values, registries."""
 
+import importlib
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -69,21 +71,32 @@ class Registry:
     def add(self, name: str, function: Callable, **settings) -> None:
         self.known[name] = (function, settings)
 
+    def declare(self, name: str, place: str, **settings) -> None:
+        """A function by its place, ``package.module:function``; the module is imported when it is first asked for."""
+        self.known[name] = (place, settings)
+
     def get(self, name: str) -> Callable:
         if name not in self.known:
             raise KeyError(f"no {self.kind} named {name}; there are {sorted(self.known)}")
-        return self.known[name][0]
+        found, settings = self.known[name]
+        if isinstance(found, str):
+            module, _, function = found.partition(":")
+            found = getattr(importlib.import_module(module), function)
+            self.known[name] = (found, settings)
+        return partial(found, **settings) if settings else found
 
     def apply(self, rows: DataFrame, variable: str, value: str) -> DataFrame:
         """``rows`` with ``value`` changed by the function of the row's variable; unknown variables keep theirs."""
         out = F.col(value)
-        for name, (function, _) in self.known.items():
-            out = F.when(F.col(variable) == name, function(F.col(value))).otherwise(out)
+        for name in self.known:
+            out = F.when(F.col(variable) == name, self.get(name)(F.col(value))).otherwise(out)
         return rows.withColumn(value, out)
 
 
 #: Readers by product, transforms and per-variable hooks.
 READERS, HOOKS = Registry("reader"), Registry("hook")
+for _name, _place in {"containers": "containers:read_containers", "points": "containers:read_points", "rasters": "tables:read_rasters", "statistics": "tables:read_statistics", "wide": "tables:read_wide", "strokes": "tables:read_strokes_archive", "stroke_feed": "tables:read_strokes_feed", "patch_index": "tables:read_patch_index", "sequences": "tables:read_sequences", "bundle": "bundles:read_patches", "members": "archives:members"}.items():
+    READERS.declare(_name, f"gridloom.sources.{_place}")
 
 
 def sample_inputs(frames: DataFrame, references: DataFrame, roles: dict[str, str], past: int, future: int) -> DataFrame:

@@ -149,3 +149,12 @@ def frame_report(frames: DataFrame, key: str, v: str, least: float, pixel_km: fl
     classes = [x <= low, (x > low) & (x <= mid), (x > mid) & (x <= high), x > high]
     sized = frames.where(x > least).join(stats.select(key, *[f"{c}_from" for c in cuts[:3]]), key).groupBy(key).agg(*[(F.count_if(ok) * area).alias(f"{c}_km2") for c, ok in zip(cuts, classes)])
     return stats.join(sized, key, "left").withColumn("coverage", F.col("n_active") / F.col("n") * 100).fillna(0.0, [f"{c}_km2" for c in cuts])
+
+
+def shortest_steps(messages: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+    """(keys, missing, variable, step, v): of the messages (keys, variable, step, v) of a file and time, that with the shortest step for each
+    wanted variable, the least value on ties; ``missing`` names the variables that a file and time lacks, so that incomplete ones can be left out."""
+    best = messages.where(F.col("variable").isin(variables)).groupBy(*keys, "variable").agg(F.min(F.struct("step", "v")).alias("m"))
+    every = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("variable", F.col("m.step").alias("step"), F.col("m.v").alias("v")))).alias("x"))
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, variables)), F.transform("x", lambda e: e["variable"])))
+    return every.select(*keys, F.array_join(missing, ",").alias("missing"), F.inline("x"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import sequences as S
 from gridloom.operators import verify as V
+from gridloom.operators.reports import Registry
+from gridloom.operators.selection import shortest_steps
 from gridloom.operators.shared import new_path
 from gridloom.plans import fixtures as X
 from gridloom.sources import bundles as B
@@ -97,9 +99,28 @@ def _evaluation(s, d):
     return B.read_evaluation(s, path)
 
 
+def _shortest(s, d):
+    rows = X.table(s, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("file"), F.unix_date(F.col("l_shipdate").cast("date")).alias("day"), F.col("l_returnflag").alias("variable"), F.col("l_linenumber").cast("long").alias("step"), F.col("l_quantity").cast("double").alias("v"))
+    return shortest_steps(rows, ["file", "day"], ["A", "N", "R"])
+
+
+def _by_name(s, d):
+    """The reader of a product is found by its name, with the settings that it was declared with."""
+    path = new_path(s, "named")
+    X.strokes(s, d).select("id", F.col("intra").alias("variable"), F.col("current").alias("value")).write.partitionBy("variable").parquet(path)
+    readers = Registry("reader")
+    readers.declare("currents", "gridloom.sources.tables:read_wide", keys=["id"], variables=["CG", "IC"])
+    return readers.get("currents")(s, path).select("id", F.round("CG", 4).alias("cg"), F.round("IC", 4).alias("ic"))
+
+
 _SPLIT = "CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'validation' ELSE 'test' END"
 _ISO = f"strftime(to_timestamp(slot * 3600) {_UTC}, '%Y-%m-%dT%H:%M')"
 QUERIES = {
+    "shortest_steps": (
+        _shortest,
+        "WITH m AS (SELECT l_orderkey % 1000 AS file, CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS day, l_returnflag AS variable, l_linenumber AS step, l_quantity::DOUBLE AS v FROM lineitem), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY file, day, variable ORDER BY step, v) = 1), k AS (SELECT file, day, concat_ws(',', CASE WHEN bool_or(variable = 'A') THEN NULL ELSE 'A' END, CASE WHEN bool_or(variable = 'N') THEN NULL ELSE 'N' END, CASE WHEN bool_or(variable = 'R') THEN NULL ELSE 'R' END) AS missing FROM b GROUP BY ALL) SELECT file, CAST(day AS INT) AS day, missing, variable, CAST(step AS BIGINT) AS step, v FROM b JOIN k USING (file, day)",
+    ),
+    "reader_by_name": (_by_name, f"WITH {_S} SELECT id, CASE WHEN intra = 'CG' THEN round(current, 4) END AS cg, CASE WHEN intra = 'IC' THEN round(current, 4) END AS ic FROM strokes"),
     "index_file": (_index_file, f"WITH {X.sql_active()} SELECT {_ISO} AS iso_timestamp, CAST(patch_id AS INT) AS patch_id FROM active"),
     "sequence_file": (
         _sequence_file,

@@ -65,3 +65,20 @@ def test_distances(spark, block):
     assert got.pairs == len(d) and got.mean == pytest.approx(d.mean(), abs=2e-6) and got.std == pytest.approx(d.std(), abs=2e-6)
     assert tuple(distances.distance_statistics(rows.where("k = 1"), "k", "v").first()) == (0, None, None)
     assert tuple(distances.distance_statistics(rows.limit(0), "k", "v").first()) == (0, None, None)
+
+
+def test_readers_are_imported_when_asked_for():
+    import sys
+
+    from gridloom.operators.reports import READERS, Registry
+
+    r = Registry("reader")
+    r.declare("later", "wave:open")
+    r.declare("nowhere", "no_such_module:f")
+    r.declare("settled", "builtins:round", ndigits=1)
+    sys.modules.pop("wave", None)
+    assert "wave" not in sys.modules and r.get("later") is sys.modules["wave"].open
+    assert r.get("settled")(1.26) == 1.3
+    with pytest.raises(ModuleNotFoundError):
+        r.get("nowhere")
+    assert all(callable(READERS.get(n)) for n in list(READERS.known))
