@@ -48,7 +48,7 @@ def active_patches(mask: DataFrame, size: int, columns: int) -> DataFrame:
     return mask.select("frame", patch_id(F.col("i"), F.col("j"), size, columns).alias("patch_id")).distinct()
 
 
-def connected_regions(hits: DataFrame, connectivity: int = 8, width: int = 1 << 20) -> DataFrame:
+def connected_regions(hits: DataFrame, connectivity: int = 8, width: int = 1 << 20, max_rounds: int = 200) -> DataFrame:
     """(frame, i, j, label): the label of a region is its least pixel number i * width + j.
 
     Stretches of neighbouring pixels of a row are put together first, so that the graph has a node for each stretch.
@@ -62,7 +62,7 @@ def connected_regions(hits: DataFrame, connectivity: int = 8, width: int = 1 <<
     side = 1 if connectivity == 8 else 0
     below = placed.select("frame", number("i", "first").alias("a"), (F.col("i") + 1).alias("i"), F.explode(F.array(*[F.col("j") + d for d in range(-side, side + 1)])).alias("j"))
     links = below.join(placed, ["frame", "i", "j"]).select("frame", "a", number("i", "first").alias("b"))
-    found = components(links, ["frame"]).withColumnRenamed("node", "stretch")
+    found = components(links, ["frame"], max_rounds).withColumnRenamed("node", "stretch")
     named = placed.withColumn("stretch", number("i", "first")).join(found, ["frame", "stretch"], "left")
     return named.select("frame", "i", "j", F.coalesce("component", "stretch").alias("label"))
 
