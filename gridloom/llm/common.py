@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words: blank and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
+#: Spark's setting by which shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +41,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as compressed Parquet and read again; for wider tables."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder as compressed Parquet and read again; for wider tables.
+
+    What was shuffled for the write isn't needed once it is complete, so Spark removes it then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_columns(documents: DataFrame, columns: list[str], more: str) -> T.StructType:
@@ -150,6 +161,22 @@ class KeyFilter:
         return SharedFilter(self._context.broadcast(self.bits), self.size)
 
 
+def may_hold(rows: DataFrame, mark: str, marks: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``: whether their long ``mark`` may be the ``mark`` of a row of ``marks``; none of those is missed, few others pass.
+
+    A Bloom filter with one hash, native: its bits come as at most MOST_BITS / 32768 rows of 4 KB, which are broadcast. Beyond
+    some ten million marks more others pass, which costs shuffling and changes no result.
+    """
+    size = min(KeyFilter.MOST_BITS, max(KeyFilter.LEAST_BITS, 1 << (KeyFilter.BITS_A_KEY * marks.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
+    told = marks.select(F.bitmap_bucket_number(place("mark")).alias("bucket_"), F.bitmap_bit_position(place("mark")).alias("bit_"))
+    bits = told.groupBy("bucket_").agg(F.bitmap_construct_agg("bit_").alias("bits_"))
+    at = rows.withColumns({"bucket_": F.bitmap_bucket_number(place(mark)), "bit_": F.bitmap_bit_position(place(mark))}).join(F.broadcast(bits), "bucket_", "left")
+    byte = F.conv(F.hex(F.substring("bits_", (F.floor(F.col("bit_") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("bit_") % 8).cast("int")) == 1
+    return at.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("bucket_", "bit_", "bits_")
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the least node.
 
