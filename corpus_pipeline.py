@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, line_dedup, packing, quality, simhash
-from gridloom.llm.common import cut_lineage
+from gridloom.llm.common import cut_lineage, may_hold
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -77,10 +77,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = cut_lineage(simhash.near_duplicates(keyed, carry=["mark"]).select("doc_id", "mark", "component"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     rows = found.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
-    stays = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "mark", "copies"), rank).alias("stay")).select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.mark").alias("stay_mark"), "stay.copies")
-    kept = keyed.join(stays, keyed.doc_id.eqNullSafe(stays.stay_id) & (keyed.mark == stays.stay_mark)).select("doc_id", "text", "rest", "copies")
-    repeated = kept.where("copies > 1").dropDuplicates(["doc_id", "text", "rest"])
-    return _unboxed(kept.where("copies = 1").union(repeated), plain.columns).toDF(*docs.columns)
+    stays = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "mark"), rank).alias("stay"))
+    stay = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("mark") == F.col("stay.mark"))
+    # Rows that go and rows that are there more than once; all others stay where they are, so that few texts are moved.
+    asked = cut_lineage(rows.join(stays, "component").select(F.col("doc_id").alias("asked_id"), F.col("mark").alias("asked_mark"), stay.alias("stays"), "copies").where("NOT stays OR copies > 1"))
+    marked = may_hold(keyed, "mark", asked.select(F.col("asked_mark").alias("mark")))
+    met = marked.where("hit").join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("mark") == F.col("asked_mark")), "left")
+    columns = ["doc_id", "text", "rest"]
+    once = marked.where("NOT hit").select(*columns).union(met.where("stays IS NULL").select(*columns))
+    return _unboxed(once.union(met.where("stays").select(*columns).dropDuplicates()), plain.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
