@@ -72,6 +72,8 @@ _MIX = np.random.default_rng(20_240_601).integers(1, 2**64, 256, dtype=np.uint64
 _R = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _R_INV = np.uint64(pow(int(_R), -1, 2**64))
 _powers: list[np.ndarray] = []
+#: Bytes of text whose prefix sums are taken together.
+PIECE_BYTES = 1 << 15
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
@@ -107,11 +109,17 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     np.logical_not(_WHITE[raw], out=inside[1:-1])
     steps = np.diff(inside)
     start, end = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-    power, inverse = _power_tables(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_MIX[raw] * power[: len(raw)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+    sums = np.empty(len(start), np.uint64)
+    edges = np.searchsorted(start, np.arange(0, len(raw) + PIECE_BYTES, PIECE_BYTES))
+    for low, high in zip(edges[:-1], edges[1:]):  # whole words, some that stay in a processor's cache
+        if low < high:
+            first, last = start[low], end[high - 1]
+            power, inverse = _power_tables(last - first + 1)
+            upto = np.empty(last - first + 1, np.uint64)
+            upto[0] = 0
+            np.cumsum(_MIX[raw[first:last]] * power[: last - first], out=upto[1:])
+            sums[low:high] = (upto[end[low:high] - first] - upto[start[low:high] - first]) * inverse[start[low:high] - first]
+    return mixed(sums + (end - start).astype(np.uint64)), start
 
 
 def _places(keys: list[np.ndarray], size: int) -> np.ndarray:

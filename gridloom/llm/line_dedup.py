@@ -37,8 +37,8 @@ THRESHOLD = (4, 5)
 FREQUENT, FREQUENT_SHARE = 1 << 15, 5e-4
 #: Lines from which the list of a frequent word is cut by size class.
 HOT_LINES = 20_000
-#: Rows up to which lists are compared many at once, and rows that are held for it.
-SHORT, ROWS = 96, 1 << 17
+#: Rows up to which lists are compared many at once, rows that are held, and pairs of rows that are compared together.
+SHORT, ROWS, PAIRS = 1024, 1 << 17, 1 << 22
 #: Earlier lines that a line meets first in a word's list; the rest follow if these don't settle it.
 PARTNERS = 1
 #: Bytes of text that are hashed together.
@@ -179,7 +179,7 @@ def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter
             mine["at"] = mine["at"] | pos[keep].astype(np.int64) & 0xFFFFFFFF
             yield pa.RecordBatch.from_arrays([pa.array(mine[c]) for c in _POSTINGS], _POSTINGS)
 
-    return sets.where("octet_length(lists) > 0").mapInArrow(run, "list long, doc long, mark long, line int, at long, sig1 long, sig2 long")
+    return sets.where("octet_length(lists) > 0").drop("id1", "id2").mapInArrow(run, "list long, doc long, mark long, line int, at long, sig1 long, sig2 long")
 
 
 def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarray:
@@ -195,13 +195,29 @@ def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarra
     return ok & ((x >= 0) | (y >= 0))
 
 
-def _in_short_lists(rows: list[np.ndarray], run: np.ndarray, most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_short_lists(rows: list[np.ndarray], run: np.ndarray, asked: np.ndarray, most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (earlier, later) of the rows of many lists at once, ``run`` the number of each row's list:
-    the first ``most`` of each later row, and whether that row has further ones."""
-    found, step, alive = [np.zeros(0, np.int64)], 1, np.arange(len(run) - 1)
-    while len(alive := alive[alive + step < len(run)]) and len(alive := alive[run[alive + step] == run[alive]]):
-        p = alive[_near(rows, alive, alive + step, threshold)]
-        found.append(((p + step) << 32) | p)
+    the first ``most`` of each later row that is ``asked``, and whether that row has further ones.
+
+    By list and size, a row meets those after it as long as the sizes can match; the cheapest filters come first.
+    """
+    up, down = threshold
+    order = np.lexsort((rows[0], run))
+    n, pos, sig1, sig2 = (x[order].astype(np.int64) if k < 2 else x[order] for k, x in enumerate(rows))
+    run, guest = run[order], pos < 0
+    room, least, limit = (n - np.where(guest, -1 - pos, pos)) * (up + down), n * up, n * down
+    found, step, alive = [np.zeros(0, np.int64)], 1, np.arange(len(run))
+    while len(alive := alive[: np.searchsorted(alive, len(run) - step)]):
+        fits = (run[alive + step] == run[alive]) & (least[alive + step] <= limit[alive])
+        alive = alive[fits]
+        p = alive[np.minimum(room[alive], room[alive + step]) >= least[alive] + least[alive + step]]
+        q = p + step
+        both = n[p] + n[q]
+        apart = np.bitwise_count(sig1[p] ^ sig1[q]).astype(np.int64) + np.bitwise_count(sig2[p] ^ sig2[q])
+        ok = (apart <= both - 2 * ((up * both + (up + down - 1)) // (up + down))) & ~(guest[p] & guest[q])
+        p, q = order[p[ok]], order[q[ok]]
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        found.append((q << 32 | p)[asked[q]])
         step += 1
     both = np.sort(np.concatenate(found))
     q = both >> 32
@@ -211,12 +227,14 @@ def _in_short_lists(rows: list[np.ndarray], run: np.ndarray, most: int, threshol
     return (both & 0xFFFFFFFF)[keep], q[keep], np.repeat(size > most, size)[keep]
 
 
-def _in_long_list(rows: list[np.ndarray], most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_long_list(rows: list[np.ndarray], asked: np.ndarray, most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for the rows of one list, in tiles; a row that has more than ``most`` is not looked at further."""
     size = len(rows[0])
     first, second, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(size, bool)
     for low in range(0, size, 512):
-        mine = np.arange(low, min(low + 512, size))
+        mine = low + np.flatnonzero(asked[low : low + 512])
+        if not len(mine):
+            continue
         taken = np.zeros(len(mine), np.int64)
         for at in range(0, mine[-1] + 1, 2048):
             still = np.flatnonzero(taken <= most)
@@ -253,16 +271,16 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
         n, marked, pos = (packed >> 33).astype(np.int32), packed >> 32 & 1, (packed & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         length = np.diff(edges)
-        few = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
-        rows = [n, pos, sig1, sig2]
-        parts = [(few, *_in_short_lists([x[few] for x in rows], np.repeat(np.arange(len(length)), length)[few], most, threshold))]
-        for k in np.flatnonzero(length > SHORT):
-            mine = np.arange(edges[k], edges[k + 1])
-            parts.append((mine, *_in_long_list([x[mine] for x in rows], most, threshold)))
-        for at, p, q, more in parts:
-            p, q = at[p], at[q]
-            keep = (marked[q] > 0) if only_marked else np.ones(len(q), bool)
-            p, q, more = p[keep], q[keep], more[keep]
+        run = np.repeat(np.arange(len(length)), length)
+        rows, asked = [n, pos, sig1, sig2], (marked > 0) if only_marked else np.ones(len(n), bool)
+        work = np.cumsum(np.where(length <= SHORT, length.astype(float) ** 2 / 2, 0))
+        few = np.flatnonzero((length > 1)[run] & (length <= SHORT)[run])
+        groups = [(g, True) for g in np.split(few, np.flatnonzero(np.diff(work[run[few]] // PAIRS)) + 1)]
+        groups += [(np.arange(edges[k], edges[k + 1]), False) for k in np.flatnonzero(length > SHORT)]
+        for mine, short in groups:
+            of = [x[mine] for x in rows]
+            p, q, more = _in_short_lists(of, run[mine], asked[mine], most, threshold) if short else _in_long_list(of, asked[mine], most, threshold)
+            p, q = mine[p], mine[q]
             if len(q):
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in (p, q) for x in (doc, mark, line)), pa.array(key[q], mask=~more)], [*_PAIR, "more"])
 

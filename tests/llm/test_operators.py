@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gridloom.llm import exact_dedup, langid, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, warc
+from gridloom.llm import common, exact_dedup, langid, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, n long, h string, words string, removed string, token long"
 SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -309,6 +309,47 @@ def test_hot_lists_are_cut_by_size_and_stay_exact(spark, monkeypatch):
     assert sum(map(len, check_lines(spark, rows, 2).values())) > 100
 
 
+def test_lists_compared_together_and_alone_give_the_same_pairs(monkeypatch):
+    """Both ways of comparing lists against all pairs; windows of sizes, guests, rows that aren't asked, first partners only."""
+    rng = np.random.default_rng(11)
+    length = [1, 700, 2, 90, 1, 300]
+    run = np.repeat(np.arange(len(length)), length)
+    n = rng.integers(1, 60, len(run)).astype(np.int32)
+    pos = (rng.integers(0, 1 << 30, len(run)) % (n - -(-4 * n // 5) + 1)).astype(np.int32)
+    pos = np.where(rng.random(len(run)) < 0.2, -1 - pos, pos)
+    rows = [n, pos, *(rng.integers(0, 16, len(run), dtype=np.uint64) for _ in range(2))]
+    p, q = np.nonzero((run[:, None] == run[None]) & np.tri(len(run), k=-1, dtype=bool).T)
+    every = defaultdict(list)
+    for a, b in zip(*(x[line_dedup._near(rows, p, q, (4, 5))].tolist() for x in (p, q))):
+        every[b].append(a)
+    assert sum(map(len, every.values())) > 1000
+    for asked in (np.ones(len(run), bool), rng.random(len(run)) < 0.3):
+        for most in (1, 3, 2**63 - 1):
+            want = sorted((a, b, len(v) > most) for b, v in every.items() if asked[b] for a in v[:most])
+            assert sorted(zip(*(x.tolist() for x in line_dedup._in_short_lists(rows, run, asked, most, (4, 5))))) == want
+            alone = []
+            for k in range(len(length)):
+                mine = np.flatnonzero(run == k)
+                a, b, more = line_dedup._in_long_list([x[mine] for x in rows], asked[mine], most, (4, 5))
+                alone += zip(mine[a].tolist(), mine[b].tolist(), more.tolist())
+            assert sorted(alone) == want
+
+
+def test_word_hashes_by_pieces(monkeypatch):
+    """A word's hash depends on the word alone, wherever pieces end and however long words are."""
+    texts = [b"", b" ", b"a", b"  a b\nc ", b"x" * 70_000 + b" y " + b"z" * 40_000, b" " * 100_000 + b"q", sentence(9, 2000).encode()]
+    for data in texts:
+        words = data.split()
+        h, start = common.word_hashes(data)
+        assert [data[a : a + len(w)] for a, w in zip(start.tolist(), words)] == words and len(h) == len(words)
+        one = [int(common.word_hashes(w)[0][0]) for w in words[:50]]
+        assert h[:50].tolist() == one
+        with monkeypatch.context() as m:
+            m.setattr(common, "PIECE_BYTES", 7)
+            assert np.array_equal(common.word_hashes(data[:5000])[0], common.word_hashes(data[:5000] + b" ")[0])
+            assert np.array_equal(common.word_hashes(data)[0], h)
+
+
 # 6
 
 
