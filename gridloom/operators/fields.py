@@ -63,14 +63,21 @@ def box_quality(boxes: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def gaussian_resample(targets: DataFrame, sources: DataFrame, sigma: float, radius: float) -> DataFrame:
-    """Mean of sources (x, y, v) within the radius of targets (tid, x, y), weighted by exp(-d^2 / sigma^2)."""
+    """Mean of sources (x, y, v) within the radius of targets (tid, x, y), weighted by exp(-d^2 / sigma^2).
+
+    Sources of one place are added up first, and targets of one place share their mean: only different places are paired. Neither
+    side is broadcast, as small rows of many places would be.
+    """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    t = targets.select("tid", "x", "y", F.explode(near).alias("o")).select("tid", "x", "y", (cell("x") + F.col("o.a")).alias("cx"), (cell("y") + F.col("o.b")).alias("cy"))
-    s = sources.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "v", cell("x").alias("cx"), cell("y").alias("cy"))
+    t = targets.select("x", "y").distinct().select("x", "y", F.explode(near).alias("o")).select("x", "y", (cell("x") + F.col("o.a")).alias("cx"), (cell("y") + F.col("o.b")).alias("cy"))
+    places = sources.groupBy("x", "y").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("k"))
+    s = places.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "v", "k", cell("x").alias("cx"), cell("y").alias("cy"))
     d2 = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
-    pairs = t.join(s, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).withColumn("w", F.exp(-F.col("d2") / (sigma * sigma)))
-    return pairs.groupBy("tid").agg(r6(F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"), F.count(F.lit(1)).alias("n"))
+    pairs = t.join(s.hint("merge"), ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).withColumn("w", F.exp(-F.col("d2") / (sigma * sigma)))
+    sums = pairs.groupBy("x", "y").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum(F.col("w") * F.col("k")).alias("w"), F.sum("k").alias("n"))
+    of_targets = targets.select("tid", "x", "y").join(sums.hint("merge"), ["x", "y"])
+    return of_targets.groupBy("tid").agg(r6(F.sum("wv") / F.sum("w")).alias("v"), F.sum("n").alias("n"))
 
 
 def active_pixels(pixels: DataFrame, patch: Column, active: DataFrame) -> DataFrame:
