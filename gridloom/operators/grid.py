@@ -165,13 +165,26 @@ def bilinear_sample(pixels: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def nearest_neighbour(targets: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
-    """Nearest source (sid, x, y) of each target (tid, x, y) within the radius, by cells of that size; least sid on ties.
+    """Nearest source (sid, x, y) of each target (tid, x, y) within the radius, by cells; least sid on ties.
 
-    Every target looks into the 9 cells around its own: an equi-join, not a loop over all pairs.
+    Every target looks into the 9 cells around its own: an equi-join, not a loop over all pairs. Only different places are paired, and
+    cells are small at first: a source nearer than a cell is wide settles its target, and the rest looks into wider cells, up to the
+    radius. So a dense area costs no more pairs than a sparse one. No side is broadcast, as small rows of many places would be.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    s = sources.select("sid", F.col("x").alias("sx"), F.col("y").alias("sy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    t = targets.select("tid", "x", "y", F.explode(offsets(1, disc=False)).alias("o")).select("tid", "x", "y", (cell("x") + F.col("o.di")).alias("cx"), (cell("y") + F.col("o.dj")).alias("cy"))
     d2 = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
-    pairs = t.join(s, ["cx", "cy"]).withColumn("d2", F.round(d2, 9)).where(F.col("d2") <= radius * radius)
-    return pairs.groupBy("tid").agg(F.min(F.struct("d2", "sid")).alias("m")).select("tid", F.col("m.sid").alias("sid"), F.round(F.sqrt("m.d2"), 6).alias("dist"))
+    places = stored(sources.groupBy("x", "y").agg(F.min("sid").alias("sid")))
+    rest, found = targets.select("x", "y").distinct(), None
+    for width in (radius / 16, radius / 4, radius):
+        cell = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023, E731
+        s = places.select("sid", F.col("x").alias("sx"), F.col("y").alias("sy"), cell("x").alias("cx"), cell("y").alias("cy"))
+        t = rest.select("x", "y", F.explode(offsets(1, disc=False)).alias("o")).select("x", "y", (cell("x") + F.col("o.di")).alias("cx"), (cell("y") + F.col("o.dj")).alias("cy"))
+        # A margin keeps sources that are as near after rounding within the 9 cells.
+        limit = radius * radius if width == radius else width * width * 0.999 - 1e-8
+        pairs = t.join(s.hint("merge"), ["cx", "cy"]).withColumn("d2", F.round(d2, 9)).where(F.col("d2") <= limit)
+        near = pairs.groupBy("x", "y").agg(F.min(F.struct("d2", "sid")).alias("m"))
+        if width < radius:
+            near = stored(near)
+            rest = rest.join(near.hint("merge"), ["x", "y"], "leftanti")
+        found = near if found is None else found.union(near)
+    of_targets = targets.select("tid", "x", "y").join(found.hint("merge"), ["x", "y"]).groupBy("tid").agg(F.min("m").alias("m"))
+    return of_targets.select("tid", F.col("m.sid").alias("sid"), F.round(F.sqrt("m.d2"), 6).alias("dist"))

@@ -1,6 +1,6 @@
 """What keeps a query's memory and shuffle in step with its input."""
 
-from gridloom.operators import fields
+from gridloom.operators import fields, grid
 
 
 def plan(df):
@@ -17,3 +17,19 @@ def test_resample_pairs_places_only(spark):
     assert "Broadcast" not in plan(got)
     assert {(r.tid, r.n) for r in got.collect()} == {(1, 4), (2, 4), (4, 4)}
     assert got.where("tid = 1").first().v == got.where("tid = 2").first().v
+
+
+def test_nearest_neighbour_settles_by_levels(spark):
+    import random
+
+    draw = random.Random(3)
+    place = lambda n: [(k, draw.randrange(60) / 10, draw.randrange(60) / 10) for k in range(n)]
+    targets, sources = place(300), place(40) + [(99, 50.0, 50.0)]
+    got = grid.nearest_neighbour(spark.createDataFrame([*targets, (999, 52.0, 50.0), (1000, 52.1, 50.0)], POINTS.format("tid")), spark.createDataFrame(sources, POINTS.format("sid")), 2.0)
+    assert "Broadcast" not in plan(got)
+    want = {}
+    for t, x, y in [*targets, (999, 52.0, 50.0), (1000, 52.1, 50.0)]:
+        d2, sid = min((round((x - a) ** 2 + (y - b) ** 2, 9), s) for s, a, b in sources)
+        if d2 <= 4:
+            want[t] = sid
+    assert {r.tid: r.sid for r in got.collect()} == want
