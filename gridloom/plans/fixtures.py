@@ -6,6 +6,8 @@ Every fixture is derived by Spark from a whole table. ``SQL_*`` are the same def
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.shared import dealt
+
 SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
@@ -20,9 +22,13 @@ def patch_active(spark, sf_dir, minutes=60, patches=18):
 
 
 def pixels(spark, sf_dir):
-    """(frame, i, j, v): sparse pixels of 96 x 192 frames; a frame for every 4,000 order keys, so that their number follows the table."""
+    """(frame, i, j, v): sparse pixels of 96 x 192 frames; a frame for every 4,000 order keys, so that their number follows the table.
+
+    Frames are dealt out whole, several to a task, so that what goes by frame and pixel afterwards stays where it is. The count reads footers only.
+    """
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.floor(F.col("l_orderkey") / 4000).alias("frame"), (F.col("l_partkey") % 96).alias("i"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 192).alias("j")).agg(F.max(F.col("l_quantity").cast("double")).alias("v"))
+    cells = rows.select(F.floor(F.col("l_orderkey") / 4000).alias("frame"), (F.col("l_partkey") % 96).alias("i"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 192).alias("j"), F.col("l_quantity").cast("double").alias("v"))
+    return dealt(cells, rows.count(), "frame").groupBy("frame", "i", "j").agg(F.max("v").alias("v"))
 
 
 def patch8(spark, sf_dir):

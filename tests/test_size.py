@@ -1,6 +1,7 @@
 """What keeps a query's memory and shuffle in step with its input."""
 
-from gridloom.operators import fields, grid
+from gridloom.operators import fields, grid, shared
+from gridloom.plans import fixtures
 
 
 def plan(df):
@@ -33,3 +34,17 @@ def test_nearest_neighbour_settles_by_levels(spark):
         if d2 <= 4:
             want[t] = sid
     assert {r.tid: r.sid for r in got.collect()} == want
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def shuffles(df):
+    return plan(df).count("Exchange ")
+
+
+def test_frames_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 500)
+    pixels = fixtures.pixels(spark, DATA)
+    assert 12 <= pixels.rdd.getNumPartitions() <= 14  # 6,005 or so rows
+    assert shuffles(grid.kernel_sum(pixels, 4, lambda a, b: 1.0)) == 1
