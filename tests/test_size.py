@@ -1,6 +1,8 @@
 """What keeps a query's memory and shuffle in step with its input."""
 
-from gridloom.operators import fields, grid, shared
+import numpy as np
+
+from gridloom.operators import distances, fields, grid, shared
 from gridloom.plans import fixtures
 
 
@@ -48,3 +50,14 @@ def test_frames_are_dealt_by_rows(spark, monkeypatch):
     pixels = fixtures.pixels(spark, DATA)
     assert 12 <= pixels.rdd.getNumPartitions() <= 14  # 6,005 or so rows
     assert shuffles(grid.kernel_sum(pixels, 4, lambda a, b: 1.0)) == 1
+
+
+def test_distances_move_each_vector_a_bounded_number_of_times(spark):
+    vectors = np.random.default_rng(1).normal(size=(90, 3))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "k long, v array<float>")
+    got = distances.distance_statistics(rows, "k", "v", 2)
+    assert "sequence(0, 15" in got._jdf.queryExecution().analyzed().toString()  # 45 blocks of two otherwise
+    x = vectors.astype(np.float32).astype(float)
+    d = [np.linalg.norm(x[a] - x[b]) for a in range(90) for b in range(a)]
+    row = got.first()
+    assert row.pairs == len(d) and abs(row["mean"] - np.mean(d)) < 2e-6 and abs(row["std"] - np.std(d)) < 2e-6
