@@ -3,7 +3,7 @@
 import numpy as np
 
 from gridloom.operators import distances, fields, grid, shared
-from gridloom.plans import fixtures
+from gridloom.plans import catalog, fixtures
 
 
 def plan(df):
@@ -61,3 +61,7 @@ def test_distances_move_each_vector_a_bounded_number_of_times(spark):
     d = [np.linalg.norm(x[a] - x[b]) for a in range(90) for b in range(a)]
     row = got.first()
     assert row.pairs == len(d) and abs(row["mean"] - np.mean(d)) < 2e-6 and abs(row["std"] - np.std(d)) < 2e-6
+
+
+def test_sight_grid_shuffles_once(spark):
+    assert shuffles(catalog.QUERIES["sight_grid"](spark, DATA)) == 1
