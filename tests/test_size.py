@@ -65,3 +65,7 @@ def test_distances_move_each_vector_a_bounded_number_of_times(spark):
 
 def test_sight_grid_shuffles_once(spark):
     assert shuffles(catalog.QUERIES["sight_grid"](spark, DATA)) == 1
+
+
+def test_parallax_grid_shuffles_once(spark):
+    assert shuffles(catalog.QUERIES["parallax_grid"](spark, DATA)) == 1
