@@ -69,3 +69,8 @@ def test_sight_grid_shuffles_once(spark):
 
 def test_parallax_grid_shuffles_once(spark):
     assert shuffles(catalog.QUERIES["parallax_grid"](spark, DATA)) == 1
+
+
+def test_zero_predictor_shuffles_its_table_only(spark):
+    got = plan(catalog.QUERIES["zero_predictor"](spark, DATA))
+    assert got.count("Exchange ") == 2 and "ENSURE_REQUIREMENTS" not in got
