@@ -38,10 +38,14 @@ def area_threshold(pixels: DataFrame, threshold: float, radius: int) -> DataFram
 def density_mask(pixels: DataFrame, threshold: float, eps: int, min_samples: int) -> DataFrame:
     """Hits within eps of a core; a core has min_samples hits within eps, itself included. No labels are needed."""
     hits = pixels.where((F.col("v") > threshold) & ~F.isnan("v")).select("frame", "i", "j")
-    near = scatter(hits, offsets(eps)).groupBy("frame", "i", "j").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples)
-    cores = near.join(hits, ["frame", "i", "j"], "leftsemi").select("frame", "i", "j")
-    reach = scatter(cores, offsets(eps)).select("frame", "i", "j").distinct()
-    return hits.join(reach, ["frame", "i", "j"], "leftsemi")
+    own = (F.col("i") == F.col("si")) & (F.col("j") == F.col("sj"))
+    # A hit also reaches its own pixel, so that groupings tell hits from their neighbours: joins would deal all out anew.
+    counted = scatter(hits, offsets(eps)).groupBy("frame", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("copies")).where("copies > 0")
+    around = F.when(F.col("n") >= min_samples, offsets(eps)).otherwise(offsets(0))
+    sent = counted.select("frame", F.col("i").alias("si"), F.col("j").alias("sj"), "copies", (F.col("n") >= min_samples).alias("core"), F.explode(around).alias("o"))
+    sent = sent.select("frame", (F.col("si") + F.col("o.di")).alias("i"), (F.col("sj") + F.col("o.dj")).alias("j"), "si", "sj", "copies", "core")
+    reached = sent.groupBy("frame", "i", "j").agg(F.max("core").alias("near"), F.max(F.when(own, F.col("copies"))).alias("copies")).where("near AND copies > 0")
+    return reached.select("frame", "i", "j", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def active_patches(mask: DataFrame, size: int, columns: int) -> DataFrame:

@@ -74,3 +74,10 @@ def test_parallax_grid_shuffles_once(spark):
 def test_zero_predictor_shuffles_its_table_only(spark):
     got = plan(catalog.QUERIES["zero_predictor"](spark, DATA))
     assert got.count("Exchange ") == 2 and "ENSURE_REQUIREMENTS" not in got
+
+
+def test_density_mask_without_joins(spark):
+    rows = [(0, 5, j, 20.0) for j in (5, 6, 7)] * 2 + [(0, 5, 9, 20.0), (0, 5, 40, 20.0), (0, 5, 5, 1.0)]
+    got = grid.density_mask(spark.createDataFrame(rows, "frame long, i long, j long, v double"), 10, 2, 6)
+    assert "Join" not in plan(got)
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted([(5, 5), (5, 6), (5, 7)] * 2 + [(5, 9)])
