@@ -81,3 +81,7 @@ def test_density_mask_without_joins(spark):
     got = grid.density_mask(spark.createDataFrame(rows, "frame long, i long, j long, v double"), 10, 2, 6)
     assert "Join" not in plan(got)
     assert sorted((r.i, r.j) for r in got.collect()) == sorted([(5, 5), (5, 6), (5, 7)] * 2 + [(5, 9)])
+
+
+def test_density_patches_shuffle_once(spark):
+    assert shuffles(catalog.QUERIES["density_patches"](spark, DATA)) == 1
