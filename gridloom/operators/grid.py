@@ -132,9 +132,11 @@ def local_maxima(dense: DataFrame, keys: list[str], radius: int) -> DataFrame:
 def fill_holes(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Missing pixels with a valid 3 x 3 neighbour, and the mean of those that are valid."""
     near = pixels.select("frame", "v", F.col("i").alias("si"), F.col("j").alias("sj"), F.explode(offsets(1, disc=False)).alias("o"))
-    near = near.select("frame", (F.col("si") + F.col("o.di")).alias("i"), (F.col("sj") + F.col("o.dj")).alias("j"), "v").where((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < height) & (F.col("j") < width))
-    means = near.groupBy("frame", "i", "j").agg(F.round(F.avg("v"), 6).alias("v"))
-    return means.join(pixels, ["frame", "i", "j"], "leftanti")
+    near = near.select("frame", (F.col("si") + F.col("o.di")).alias("i"), (F.col("sj") + F.col("o.dj")).alias("j"), "v", "si", "sj").where((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < height) & (F.col("j") < width))
+    # A pixel reaches itself, which tells those that are there: a join with the pixels would deal all out anew.
+    there = (F.col("i") == F.col("si")) & (F.col("j") == F.col("sj"))
+    means = near.groupBy("frame", "i", "j").agg(F.round(F.avg("v"), 6).alias("v"), F.max(there).alias("there"))
+    return means.where(~F.col("there")).drop("there")
 
 
 def kernel_sum(hits: DataFrame, radius: int, weight) -> DataFrame:

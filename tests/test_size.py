@@ -85,3 +85,10 @@ def test_density_mask_without_joins(spark):
 
 def test_density_patches_shuffle_once(spark):
     assert shuffles(catalog.QUERIES["density_patches"](spark, DATA)) == 1
+
+
+def test_fill_holes_without_a_join(spark):
+    rows = [(0, 0, 0, 4.0), (0, 0, 1, None), (0, 1, 1, 2.0)]
+    got = grid.fill_holes(spark.createDataFrame(rows, "frame long, i long, j long, v double"), 2, 3)
+    assert "Join" not in plan(got)
+    assert {(r.i, r.j): r.v for r in got.collect()} == {(1, 0): 3.0, (0, 2): 2.0, (1, 2): 2.0}
