@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gridloom.operators import distances, fields, grid, sampling, shared
+from gridloom.operators import distances, fields, graph, grid, sampling, shared
 from gridloom.plans import catalog, fixtures
 
 
@@ -105,3 +105,11 @@ def test_small_frames_are_sampled_without_a_graph(spark, monkeypatch):
     assert sorted(r["rank"] for r in got.collect()) == sorted(rank[want].tolist())
     for distance in (1.0, 3.0, 40.0):
         assert (sampling.chosen(i, j, rank, distance) == (sampling.decided(i, j, rank, np.full(250, -1), np.ones(250, bool), distance) == 1)).all()
+
+
+def test_small_graphs_are_settled_at_once(spark):
+    links = [(0, 5, 3), (0, 9, 5), (0, 7, 8), (1, 5, 9), *[(2, k, k + 1) for k in range(20, 60)]]
+    rows = spark.createDataFrame(links, "frame long, a long, b long")
+    want = {(0, 3, 3), (0, 5, 3), (0, 9, 3), (0, 7, 7), (0, 8, 7), (1, 5, 5), (1, 9, 5), *[(2, k, 20) for k in range(20, 61)]}
+    assert {tuple(r) for r in graph.components(rows, ["frame"], 0).collect()} == want  # no round is left
+    assert {tuple(r) for r in graph.components(rows, ["frame"], together=10).collect()} == want
