@@ -9,7 +9,8 @@ A line goes if an earlier line (by doc_id, then line number) is similar, whether
 Equal sets are settled by grouping, with a combine before the shuffle, on 128 bits of sums over 64-bit
 hashes of their words. In a list every line takes its first earlier line that passes the filters
 (PARTNERS); most repeated lines are settled by the earliest of them, so a family of near copies does not
-meet in all pairs. Lines that had more partners and stay unsettled meet all of them in a second pass. The
+meet in all pairs. Lines that had more partners and stay unsettled meet all of them in a second pass.
+Rows of lists are dealt by buckets of lists, many in a message, so that Spark moves bytes and not rows. The
 lists of very frequent words are cut by size class, so that only sizes that can match share a list.
 
 Defined results: every line with a word takes part unless ``min_words`` asks for more different
@@ -37,8 +38,10 @@ THRESHOLD = (4, 5)
 FREQUENT, FREQUENT_SHARE = 1 << 15, 5e-4
 #: Lines from which the list of a frequent word is cut by size class.
 HOT_LINES = 20_000
-#: Rows up to which lists are compared many at once, rows that are held, and pairs of rows that are compared together.
+#: Rows up to which lists are compared many at once, rows that are packed together and that a bucket of lists holds, about, and pairs of rows that are compared together.
 SHORT, ROWS, PAIRS = 1024, 1 << 17, 1 << 22
+#: Buckets of lists at least, and bits of a list's number. Lists that share a number are one: more pairs to check, none lost.
+BUCKETS, LIST_BITS = 512, np.uint64(2**48 - 1)
 #: Earlier lines that a line meets first in a word's list; the rest follow if these don't settle it.
 PARTNERS = 1
 #: Bytes of text that are hashed together.
@@ -46,8 +49,8 @@ BLOCK_BYTES = 4 << 20
 _LAST = 2**63 - 1
 _KEY = ["doc", "mark", "line"]
 _LINES = "doc long, mark long, line int, id1 long, id2 long, n int, sig1 long, sig2 long, lists binary, places binary"
-#: A row of a list; ``at`` packs the size, whether the line is marked and the position: n << 33 | marked << 32 | pos.
-_POSTINGS = ["list", *_KEY, "at", "sig1", "sig2"]
+#: A row of a list.
+_POSTING = np.dtype([("list", "<i8"), ("doc", "<i8"), ("mark", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("marked", "?"), ("sig1", "<u8"), ("sig2", "<u8")])
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -150,6 +153,7 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
             inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
             owner = np.repeat(np.arange(len(n)), take)
             row, where, pos = lists(key[first[owner] + inner], n[owner], inner)
+            where &= LIST_BITS
             by_line = np.argsort(owner[row], kind="stable")
             sizes = np.bincount(owner[row], minlength=len(n))[keep]
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -163,23 +167,43 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
 
 
 def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter | None = None) -> DataFrame:
-    """A row for each list of each line; with filters only those of ``lists``, the lines in ``lines`` marked."""
+    """A row for each list of each line; with filters only those of ``lists``, the lines in ``lines`` marked.
+
+    The rows of a bucket of lists travel together, as (bucket, data): their bytes, all first ones, then all second ones, so that
+    what is alike is side by side. Buckets follow the number of lines.
+    """
     lines, lists = (x and x.shared() for x in (lines, lists))
+    buckets = max(BUCKETS, 10 * sets.count() // ROWS)
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        bucket = rows["list"] % buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, raw = bucket[order], rows[order].view(np.uint8).reshape(-1, _POSTING.itemsize)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        data = [raw[low:high].T.tobytes() for low, high in zip(first, np.append(first[1:], len(raw)))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS if c not in ("list", "at")}
-            marked = lines.has(*(cols[c] for c in _KEY)) if lines else np.zeros(batch.num_rows, bool)
-            cols["at"] = batch.column("n").to_numpy().astype(np.int64) << 33 | marked.astype(np.int64) << 32
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_KEY, "n", "sig1", "sig2")}
+            cols["marked"] = lines.has(*(cols[c] for c in _KEY)) if lines else np.zeros(batch.num_rows, bool)
             blobs = batch.column("lists").to_pylist()
             key, pos = np.frombuffer(b"".join(blobs), np.int64), np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
             of = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-            keep = lists.has(key) if lists else np.ones(len(key), bool)
-            mine = {"list": key[keep]} | {c: x[of[keep]] for c, x in cols.items()}
-            mine["at"] = mine["at"] | pos[keep].astype(np.int64) & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays([pa.array(mine[c]) for c in _POSTINGS], _POSTINGS)
+            keep = np.flatnonzero(lists.has(key)) if lists else np.arange(len(key))
+            rows = np.empty(len(keep), _POSTING)
+            rows["list"], rows["pos"] = key[keep], pos[keep]
+            for c, x in cols.items():
+                rows[c] = (x.view(np.uint64) if c in ("sig1", "sig2") else x)[of[keep]]
+            held.append(rows)
+            if sum(map(len, held)) >= ROWS:
+                yield packed(np.concatenate(held))
+                held = []
+        if sum(map(len, held)):
+            yield packed(np.concatenate(held))
 
-    return sets.where("octet_length(lists) > 0").drop("id1", "id2").mapInArrow(run, "list long, doc long, mark long, line int, at long, sig1 long, sig2 long")
+    return sets.where("octet_length(lists) > 0").drop("id1", "id2").mapInArrow(run, "bucket int, data binary")
 
 
 def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarray:
@@ -256,23 +280,23 @@ _PAIRS = "a_doc long, a_mark long, a_line int, b_doc long, b_mark long, b_line i
 
 
 def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only_marked: bool = False) -> DataFrame:
-    """Pairs of lines from the lists of ``postings`` (list, doc, mark, line, at, sig1, sig2): for each line
-    the first ``most`` of a list, with the list as ``more`` where it has further ones (else null).
+    """Pairs of lines from the lists of ``postings``: for each line the first ``most`` of a list, with the list as ``more`` where it has further ones (else null).
 
-    Lists are streamed in order; some ROWS, or one list, are in memory at a time, as numbers.
+    Buckets are streamed in order; one is in memory at a time, as numbers.
     """
 
-    def pairs_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.ascontiguousarray(np.concatenate([np.frombuffer(x, np.uint8).reshape(_POSTING.itemsize, -1) for x in data], axis=1).T).view(_POSTING)[:, 0]
+        cols = [np.ascontiguousarray(rows[c]) for c in _POSTING.names]
         order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
         cols = [c[order] for c in cols]
         new = np.ones(len(order), bool)  # repeated rows of the input are the same line
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
-        key, doc, mark, line, packed, sig1, sig2 = (c[new] for c in cols)
-        n, marked, pos = (packed >> 33).astype(np.int32), packed >> 32 & 1, (packed & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        key, doc, mark, line, n, pos, marked, sig1, sig2 = (c[new] for c in cols)
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         length = np.diff(edges)
         run = np.repeat(np.arange(len(length)), length)
-        rows, asked = [n, pos, sig1, sig2], (marked > 0) if only_marked else np.ones(len(n), bool)
+        rows, asked = [n, pos, sig1, sig2], marked if only_marked else np.ones(len(n), bool)
         work = np.cumsum(np.where(length <= SHORT, length.astype(float) ** 2 / 2, 0))
         few = np.flatnonzero((length > 1)[run] & (length <= SHORT)[run])
         groups = [(g, True) for g in np.split(few, np.flatnonzero(np.diff(work[run[few]] // PAIRS)) + 1)]
@@ -285,21 +309,18 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in (p, q) for x in (doc, mark, line)), pa.array(key[q], mask=~more)], [*_PAIR, "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        count = 0
+        now, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS]
-            held.append([c.view(np.uint64) if k in (5, 6) else c for k, c in enumerate(cols)])
-            count += batch.num_rows
-            if count >= ROWS and held[0][0][0] != held[-1][0][-1]:
-                cols = [np.concatenate([h[k] for h in held]) for k in range(len(_POSTINGS))]
-                last = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last list begins
-                yield from pairs_of([c[:last] for c in cols])
-                held, count = [[c[last:] for c in cols]], count - last
-        if count:
-            yield from pairs_of([np.concatenate([h[k] for h in held]) for k in range(len(_POSTINGS))])
+            for bucket, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "data"))):
+                if held and bucket != now:
+                    yield from pairs_of(held)
+                    held = []
+                now = bucket
+                held.append(data)
+        if held:
+            yield from pairs_of(held)
 
-    return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, f"{_PAIRS}, more long")
+    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{_PAIRS}, more long")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -325,7 +346,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, threshold: tuple[int, int]
     """The different later lines (doc, mark, line) of the pairs whose words are similar."""
     up, down = threshold
     wanted = stored(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _KEY]).union(pairs.select(*[f"b_{c}" for c in _KEY])).distinct())
-    texts = stored(_texts_of(documents, wanted))
+    texts = _texts_of(documents, wanted)  # dealt by line once, for both sides
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in _KEY], F.col("text").alias(f"{s}_text"))
     both = pairs.join(side("a"), _PAIR[:3]).join(side("b"), _PAIR[3:]).select(*_PAIR[3:], "a_text", "b_text")
 
@@ -348,13 +369,7 @@ def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     copies = stored(sets.select(*_KEY, "id1", "id2", "n").join(stored(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
     listed = stored(_candidates(_postings(sets), threshold, PARTNERS))
     later = [F.col(f"b_{c}") == F.col(c) for c in _KEY]
-    found = stored(listed.select(*_PAIR).distinct().join(copies, later, "leftanti"))
-    keys = _PAIR[3:]
-    # The earliest partner settles nearly every repeated line; the others are looked at where it doesn't.
-    head = stored(found.groupBy(*keys).agg(F.min(F.struct(*_PAIR[:3])).alias("a")).select("a.*", *keys))
-    settled = _verified(documents, head, threshold)
-    rest = stored(found.join(settled, later, "leftanti").join(head, _PAIR, "leftanti"))
-    early = settled if rest.isEmpty() else settled.union(_verified(documents, rest, threshold))
+    early = _verified(documents, stored(listed.select(*_PAIR).distinct().join(copies, later, "leftanti")), threshold)
     # Lists that have more partners of lines still open meet once more; filters name them, so that nothing else is moved.
     opened = listed.where("more IS NOT NULL").select(*[F.col(f"b_{c}").alias(c) for c in _KEY], F.col("more").alias("list"))
     opened = stored(opened.join(early.union(copies), _KEY, "leftanti").distinct())
@@ -384,7 +399,8 @@ def dedup_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, mi
     rows = documents.select(F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
     rows = rows.withColumn("hit", hit("doc", "mark"))
     rest = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
-    changed = rows.where("hit").join(gone, ["doc", "mark"], "left").withColumn("text", F.when(F.col("removed").isNotNull(), rest).otherwise(F.col("row.text")))
+    # Merged whatever the size: a small list would be broadcast, and what is moved would then jump where it no longer is.
+    changed = rows.where("hit").join(gone.hint("merge"), ["doc", "mark"], "left").withColumn("text", F.when(F.col("removed").isNotNull(), rest).otherwise(F.col("row.text")))
     none = F.array().cast("array<int>")
     out = rows.where("NOT hit").select("row", F.col("row.text").alias("text"), none.alias("removed")).union(changed.select("row", "text", F.coalesce("removed", none)))
     return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns], "removed")
