@@ -177,7 +177,7 @@ def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter
 
     def packed(rows: np.ndarray) -> pa.RecordBatch:
         bucket = rows["list"] % buckets
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
         bucket, raw = bucket[order], rows[order].view(np.uint8).reshape(-1, _POSTING.itemsize)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         data = [raw[low:high].T.tobytes() for low, high in zip(first, np.append(first[1:], len(raw)))]
@@ -288,7 +288,14 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
     def pairs_of(data: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = np.ascontiguousarray(np.concatenate([np.frombuffer(x, np.uint8).reshape(_POSTING.itemsize, -1) for x in data], axis=1).T).view(_POSTING)[:, 0]
         cols = [np.ascontiguousarray(rows[c]) for c in _POSTING.names]
-        order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        key, doc, mark, line = cols[:4]
+        # Blocks are mostly in order already: two passes then do, of which the first meets long runs.
+        order = np.argsort(doc, kind="stable")
+        order = order[np.argsort(key[order], kind="stable")]
+        tie = np.flatnonzero((key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1]))
+        a, b = order[tie], order[tie + 1]
+        if ((mark[a] > mark[b]) | ((mark[a] == mark[b]) & (line[a] > line[b]))).any():
+            order = np.lexsort((line, mark, doc, key))
         cols = [c[order] for c in cols]
         new = np.ones(len(order), bool)  # repeated rows of the input are the same line
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
