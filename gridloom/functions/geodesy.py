@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The ellipsoid of WGS 84, and the height of a geostationary orbit.
@@ -95,9 +95,34 @@ def line_of_sight(lon: Column, lat: Column, height: Column, satellite: Column, a
     return _sight(lon, lat, satellite, axis, flat, top)
 
 
+def sighted(rows: DataFrame, lon: Column, lat: Column, height: Column, satellite: Column, axis: float = AXIS, flat: float = FLAT) -> DataFrame:
+    """``rows`` with ``top_lon`` and ``top_lat``, those of ``line_of_sight``, null where that is null.
+
+    For whole tables: each step is columns of its own (their names begin with ``_s``), which Spark compiles, while it interprets nested values.
+    A filter on them would be pushed to the scan with all steps written out in it, many times over; so rows stay.
+    """
+    e2, minor = flat * (2 - flat), axis * (1 - flat)
+    c = lambda name: F.col(f"_s{name}")
+    step = lambda rows, **made: rows.withColumns({f"_s{k}": v for k, v in made.items()})
+    a = {k: c(k) for k in ("so", "co", "sa", "ca")}
+    place, angles = _centred(a, F.lit(0.0), axis, flat), _angles(lon, lat)
+    out = step(rows, h=F.coalesce(height, F.lit(0.0)), **{k: angles[k] for k in a})
+    out = step(out, **{k: place[k] for k in "xyz"})
+    out = step(out, **{f"d{k}": satellite[k] - c(k) for k in "xyz"})
+    out = step(out, length=F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + c("dz") * c("dz")))
+    out = step(out, sine=(c("dx") * a["ca"] * a["co"] + c("dy") * a["ca"] * a["so"] + c("dz") * a["sa"]) / c("length"))
+    out = step(out, step=c("h") / c("sine") / c("length"))
+    out = step(out, **{k: c(k) + c(f"d{k}") * c("step") for k in "xyz"})
+    out = step(out, p=F.sqrt(c("x") * c("x") + c("y") * c("y")))
+    out = step(out, t=F.atan2(c("z") * axis, c("p") * minor))
+    top = F.atan2(c("z") + e2 / (1 - e2) * minor * F.pow(F.sin(c("t")), 3), c("p") - e2 * axis * F.pow(F.cos(c("t")), 3))
+    out = out.withColumns({"top_lon": F.when(c("sine") > 0, F.degrees(F.atan2(c("y"), c("x")))), "top_lat": F.when(c("sine") > 0, F.degrees(top))})
+    return out.select(*[k for k in rows.columns if k not in ("top_lon", "top_lat")], "top_lon", "top_lat")
+
+
 def satellite_at(lon: float, lat: float = 0.0, height: float = ORBIT, axis: float = AXIS, flat: float = FLAT) -> Column:
-    """Struct (x, y, z) of a satellite above a place."""
-    return earth_centred(F.lit(float(lon)), F.lit(float(lat)), F.lit(float(height)), axis, flat)
+    """Struct (x, y, z) of a satellite above a place; a constant, so it is not computed again for each row."""
+    return _centred(_angles(F.lit(float(lon)), F.lit(float(lat))), F.lit(float(height)), axis, flat)
 
 
 def kilometres(height: Column, unit: Column) -> Column:

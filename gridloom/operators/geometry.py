@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geodesy import line_of_sight, viewing_zenith
+from gridloom.functions.geodesy import line_of_sight, sighted, viewing_zenith
 from gridloom.operators.grid import bilinear_sample
 
 
@@ -39,13 +39,13 @@ def warp(pixels: DataFrame, motion: DataFrame, height: int, width: int) -> DataF
 
 def relocate(moved: DataFrame, radius: int, sigma: float) -> DataFrame:
     """(frame, i, j, si, sj): where each target pixel's value comes from, as the Gaussian-weighted mean of the source
-    places of the points that land near it. ``moved``: (frame, i, j, y, x), source pixels and their corrected places."""
+    places of the points that land near it. ``moved``: (frame, i, j, y, x), source pixels and their corrected places; one without a place lands nowhere."""
     cells = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in cells])
     near = moved.withColumns({"y0": F.floor(F.col("y") + 0.5), "x0": F.floor(F.col("x") + 0.5)}).withColumn("o", F.explode(around))
     near = near.select("frame", "i", "j", "y", "x", (F.col("y0") + F.col("o.a")).alias("ti"), (F.col("x0") + F.col("o.b")).alias("tj"))
     weight = F.exp(-(F.pow(F.col("ti") - F.col("y"), 2) + F.pow(F.col("tj") - F.col("x"), 2)) / (2 * sigma * sigma))
-    sums = near.withColumn("w", weight).groupBy("frame", F.col("ti").alias("i"), F.col("tj").alias("j")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * near.i).alias("wi"), F.sum(F.col("w") * near.j).alias("wj"))
+    sums = near.withColumn("w", weight).groupBy("frame", F.col("ti").alias("i"), F.col("tj").alias("j")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * near.i).alias("wi"), F.sum(F.col("w") * near.j).alias("wj")).where("w IS NOT NULL")
     return sums.select("frame", "i", "j", (F.col("wi") / F.col("w")).alias("si"), (F.col("wj") / F.col("w")).alias("sj"))
 
 
@@ -65,11 +65,11 @@ def corrected_points(points: DataFrame, heights: DataFrame, satellite: Column, x
 
 
 def corrected_pixels(heights: DataFrame, satellite: Column, x0: float, y0: float, size: float) -> DataFrame:
-    """(frame, i, j, y, x): where the cloud top seen in each pixel (frame, i, j, v in kilometres) stands in the grid, for ``relocate``."""
-    at = heights.withColumn("g", from_pixel(F.col("i"), F.col("j"), x0, y0, size))
-    top = at.withColumn("s", line_of_sight(F.col("g.x"), F.col("g.y"), F.col("v"), satellite)).where("s IS NOT NULL")
-    back = top.withColumn("p", to_pixel(F.col("s.lon"), F.col("s.lat"), x0, y0, size))
-    return back.select("frame", "i", "j", F.col("p.i").alias("y"), F.col("p.j").alias("x"))
+    """(frame, i, j, y, x): where the cloud top seen in each pixel (frame, i, j, v in kilometres) stands in the grid, for ``relocate``;
+    null where it is not seen."""
+    at = from_pixel(F.col("i"), F.col("j"), x0, y0, size)
+    back = to_pixel(F.col("top_lon"), F.col("top_lat"), x0, y0, size)
+    return sighted(heights.select("frame", "i", "j", "v"), at["x"], at["y"], F.col("v"), satellite).select("frame", "i", "j", back["i"].alias("y"), back["j"].alias("x"))
 
 
 def upscale(patches: DataFrame, keys: list[str], size: int, factor: int = 4) -> DataFrame:

@@ -113,3 +113,18 @@ def test_small_graphs_are_settled_at_once(spark):
     want = {(0, 3, 3), (0, 5, 3), (0, 9, 3), (0, 7, 7), (0, 8, 7), (1, 5, 5), (1, 9, 5), *[(2, k, 20) for k in range(20, 61)]}
     assert {tuple(r) for r in graph.components(rows, ["frame"], 0).collect()} == want  # no round is left
     assert {tuple(r) for r in graph.components(rows, ["frame"], together=10).collect()} == want
+
+
+def test_sight_in_steps_is_compiled_and_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import geodesy
+
+    made = plan(catalog.QUERIES["sight_grid"](spark, DATA))
+    assert "lambda" not in made and made.count("ATAN2") <= 6
+    rows = spark.createDataFrame([(k, -170.0 + 11 * k, -85.0 + 5.5 * k, None if k % 7 == 0 else k / 2) for k in range(32)], "k long, lon double, lat double, h double")
+    args = F.col("lon"), F.col("lat"), F.col("h"), geodesy.satellite_at(9.5)
+    want = {r.k: (r.s.lon, r.s.lat) for r in rows.select("k", geodesy.line_of_sight(*args).alias("s")).where("s IS NOT NULL").collect()}
+    got = {r.k: (r.top_lon, r.top_lat) for r in geodesy.sighted(rows, *args).where("top_lon IS NOT NULL").collect()}
+    assert 5 < len(want) < 32 and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-11) for k in want)
