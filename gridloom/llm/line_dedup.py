@@ -36,6 +36,8 @@ from gridloom.llm.common import KeyFilter, mixed, stored, word_hashes
 THRESHOLD = (4, 5)
 #: Words whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a word may be one.
 FREQUENT, FREQUENT_SHARE = 1 << 15, 5e-4
+#: Bins of words that are counted together at first, a power of two.
+BINS = 1 << 20
 #: Lines from which the list of a frequent word is cut by size class.
 HOT_LINES = 20_000
 #: Rows up to which lists are compared many at once, rows that are packed together and that a bucket of lists holds, about, and pairs of rows that are compared together.
@@ -78,14 +80,19 @@ def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     data = "\n".join(texts).encode()
     h, start = word_hashes(data)
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start)
+    ends = np.searchsorted(start, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
+    line = np.repeat(np.arange(len(ends) + 1), np.diff(ends, prepend=0, append=len(start)))
     coded = pa.array(h.view(np.int64)).dictionary_encode()
     words, code = coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
     rank = np.zeros(len(words), np.uint64)
     if len(frequent) and len(words):
         at = np.minimum(np.searchsorted(frequent[:, 0], words), len(frequent) - 1)
         rank = np.where(frequent[at, 0] == words, frequent[at, 1], np.uint64(0))
-    order = np.lexsort((words, rank))
+    # One number holds the rank and most of the hash; where two words share it, both decide.
+    both = np.where(rank == 0, words >> np.uint64(16), rank << np.uint64(48))
+    order = np.argsort(both)
+    if (both[order][1:] == both[order][:-1]).any():
+        order = np.lexsort((words, rank))
     place = np.empty(len(words), np.uint64)
     place[order] = np.arange(len(words), dtype=np.uint64)
     both = np.sort((line.astype(np.uint64) << np.uint64(32)) | place[code])
@@ -100,9 +107,13 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in _blocks(batches):
-            counted = pa.array(word_hashes("\n".join(texts).encode())[0].view(np.int64)).value_counts()
+            h = word_hashes("\n".join(texts).encode())[0]
+            least = max(2, FREQUENT_SHARE * len(h) / 40)
+            # Words are counted one by one only in bins that reach the least count together.
+            bins = (h & np.uint64(BINS - 1)).astype(np.int64)
+            counted = pa.array(h[(np.bincount(bins, minlength=BINS) >= least)[bins]].view(np.int64)).value_counts()
             words, count = (counted.field(c).to_numpy() for c in ("values", "counts"))
-            often = count >= max(2, FREQUENT_SHARE * count.sum() / 40)
+            often = count >= least
             yield pa.RecordBatch.from_arrays([pa.array(words[often]), pa.array(count[often])], ["word", "lines"])
 
     found = _keyed(documents).mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT).collect()

@@ -48,3 +48,19 @@ def test_texts_are_read_once_for_the_first_pairs_and_never_met_by_a_broadcast(sp
     assert "Broadcast" not in plan(out)
     assert {r.doc_id: r.removed for r in out.collect()} == {0: [], 1: [], 2: [0]}
     assert len(reads) <= 2
+
+
+def test_words_are_ordered_by_rank_and_hash_also_where_they_share_most_bits(monkeypatch):
+    h = np.array([(7 << 16) | 5, (7 << 16) | 2, 3, (9 << 16) | 1, 3, (7 << 16) | 2], np.uint64)
+    monkeypatch.setattr(line_dedup, "word_hashes", lambda data: (h, np.array([0, 2, 4, 7, 9, 11])))
+    frequent = np.array([[3, 4, 9]], np.uint64)
+    line, key = line_dedup.tokens(["a b c", "d e f"], frequent)  # its newline is byte 5
+    assert line.tolist() == [0, 0, 0, 1, 1, 1]
+    assert key.tolist() == [(7 << 16) | 2, (7 << 16) | 5, 3, (7 << 16) | 2, (9 << 16) | 1, 3]
+
+
+def test_frequent_words_do_not_depend_on_bins(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(60) if k % (j + 1) == 0) + "\n x") for k in range(200)], "doc_id long, text string")
+    want = line_dedup.frequent_tokens(rows)
+    monkeypatch.setattr(line_dedup, "BINS", 4)
+    assert len(want) > 20 and np.array_equal(line_dedup.frequent_tokens(rows), want)
