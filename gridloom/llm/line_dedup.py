@@ -24,14 +24,14 @@ whatever their names, but for ``removed``, which is replaced. An empty table giv
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import KeyFilter, mixed, stored, word_hashes
+from gridloom.llm.common import MESSAGES, KeyFilter, mixed, setting, stored, word_hashes
 
 THRESHOLD = (4, 5)
 #: Words whose frequency is told apart in the order; all others are rare. Share of a block's lines (of 40 words) from which a word may be one.
@@ -46,12 +46,15 @@ SHORT, ROWS, PAIRS = 1024, 1 << 17, 1 << 22
 BUCKETS, LIST_BITS = 512, np.uint64(2**48 - 1)
 #: Earlier lines that a line meets first in a word's list; the rest follow if these don't settle it.
 PARTNERS = 1
-#: Bytes of text that are hashed together.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that are hashed together, rows of texts that are Python's at a time, and that Spark hands to Python in a message.
+BLOCK_BYTES, PIECE_ROWS, MESSAGE_ROWS = 4 << 20, 256, 1024
+#: Buckets of equal sets at least.
+SET_BUCKETS = 64
 _LAST = 2**63 - 1
 _KEY = ["doc", "mark", "line"]
-_LINES = "doc long, mark long, line int, id1 long, id2 long, n int, sig1 long, sig2 long, lists binary, places binary"
-#: A row of a list.
+_LINES = "doc long, mark long, line int, id1 long, id2 long, n int, copy boolean, sig1 long, sig2 long, lists binary, places binary"
+#: A row of a set, and of a list.
+_SET = np.dtype([("id1", "<i8"), ("id2", "<i8"), ("n", "<i4"), ("doc", "<i8"), ("mark", "<i8"), ("line", "<i4")])
 _POSTING = np.dtype([("list", "<i8"), ("doc", "<i8"), ("mark", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("marked", "?"), ("sig1", "<u8"), ("sig2", "<u8")])
 
 
@@ -60,9 +63,16 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.where("text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, few at a time, so that only their texts become Python's."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(low, PIECE_ROWS)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
     docs, marks, texts, size = [], [], [], 0
-    for batch in batches:
+    for batch in _pieces(batches):
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text"))):
             docs.append(doc), marks.append(mark), texts.append(text)
             size += len(text)
@@ -82,24 +92,31 @@ def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h, start = word_hashes(data)
     ends = np.searchsorted(start, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
     line = np.repeat(np.arange(len(ends) + 1), np.diff(ends, prepend=0, append=len(start)))
-    coded = pa.array(h.view(np.int64)).dictionary_encode()
-    words, code = coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
-    rank = np.zeros(len(words), np.uint64)
+    # One number holds most of the hash and the place; where two words share it, the hash alone decides.
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    order = (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    key = h[order]
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(h)
+        key = h[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    words = key[new]
+    ranked = np.zeros(0, np.int64)
     if len(frequent) and len(words):
-        at = np.minimum(np.searchsorted(frequent[:, 0], words), len(frequent) - 1)
-        rank = np.where(frequent[at, 0] == words, frequent[at, 1], np.uint64(0))
-    # One number holds the rank and most of the hash; where two words share it, both decide.
-    both = np.where(rank == 0, words >> np.uint64(16), rank << np.uint64(48))
-    order = np.argsort(both)
-    if (both[order][1:] == both[order][:-1]).any():
-        order = np.lexsort((words, rank))
+        at = np.minimum(np.searchsorted(words, frequent[:, 0]), len(words) - 1)
+        here = np.flatnonzero(words[at] == frequent[:, 0])
+        ranked = at[here[np.argsort(frequent[here, 1], kind="stable")]]
+    rare = np.ones(len(words), bool)
+    rare[ranked] = False
+    placed = np.concatenate([np.flatnonzero(rare), ranked])
     place = np.empty(len(words), np.uint64)
-    place[order] = np.arange(len(words), dtype=np.uint64)
-    both = np.sort((line.astype(np.uint64) << np.uint64(32)) | place[code])
+    place[placed] = np.arange(len(words), dtype=np.uint64)
+    both = np.sort(line[order].astype(np.uint64) << np.uint64(32) | place[np.cumsum(new) - 1])
     new = np.ones(len(both), bool)
     new[1:] = both[1:] != both[:-1]
     both = both[new]
-    return (both >> np.uint64(32)).astype(np.int64), words[order][(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    return (both >> np.uint64(32)).astype(np.int64), words[placed][(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def frequent_tokens(documents: DataFrame) -> np.ndarray:
@@ -116,13 +133,15 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
             often = count >= least
             yield pa.RecordBatch.from_arrays([pa.array(words[often]), pa.array(count[often])], ["word", "lines"])
 
-    found = _keyed(documents).mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT).collect()
+    counted = _keyed(documents).mapInArrow(run, "word long, lines long").groupBy("word").agg(F.sum("lines").alias("lines")).orderBy(F.desc("lines"), "word").limit(FREQUENT)
+    with setting(documents.sparkSession, MESSAGES, MESSAGE_ROWS):
+        found = counted.collect()
     ranked = np.array([(r.word % 2**64, FREQUENT - k, r.lines) for k, r in enumerate(found)], np.uint64).reshape(-1, 3)
     return ranked[np.argsort(ranked[:, 0])]
 
 
 def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int, int], min_words: int) -> DataFrame:
-    """One row a line with min_words different words: identity of its set, size, bitmap and prefix.
+    """One row a line with min_words different words: identity of its set, size, whether the block has an earlier line of the set, bitmap and prefix.
 
     The prefix, as the numbers of its lists and its places, is empty where no other set can be similar, or where the block has an earlier line of the same set.
     """
@@ -157,8 +176,12 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
             keep = n >= min_words
             # Of equal sets only the block's earliest is listed, and only if another size or set may match.
             order = np.lexsort((number, mark, doc))
-            listed = np.zeros(len(n), bool)
-            listed[order[np.unique(id1[order], return_index=True)[1]]] = True
+            first_of, same = np.unique(id1[order], return_index=True, return_inverse=True)[1:]
+            of_set = np.empty(len(n), np.int64)
+            of_set[order] = order[first_of[same]]
+            equal = (id2 == id2[of_set]) & (n == n[of_set])
+            copy = equal & ((doc != doc[of_set]) | (mark != mark[of_set]) | (number != number[of_set]))
+            listed = ~equal | (of_set == np.arange(len(n)))
             listed &= keep & ((up * (n + 1) <= down * n) | (up * n <= down * (n - 1)))
             take = np.where(listed, n - -(-up * n // down) + 1, 0)
             inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
@@ -170,32 +193,102 @@ def line_sets(documents: DataFrame, frequent: np.ndarray, threshold: tuple[int,
             ends = np.concatenate([[0], np.cumsum(sizes)])
             blobs = [pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (where[by_line], pos[by_line].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[keep]), pa.array(mark[keep]), pa.array(number[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in sigs), *blobs],
-                [*_KEY, "id1", "id2", "n", "sig1", "sig2", "lists", "places"],
+                [pa.array(doc[keep]), pa.array(mark[keep]), pa.array(number[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (id1, id2)), pa.array(n[keep].astype(np.int32)), pa.array(copy[keep]), *(pa.array(x[keep].view(np.int64)) for x in sigs), *blobs],
+                [*_KEY, "id1", "id2", "n", "copy", "sig1", "sig2", "lists", "places"],
             )
 
     return _keyed(documents).mapInArrow(run, _LINES)
 
 
+def _packed(bucket: np.ndarray, buckets: int, rows: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, data): the rows of each bucket as bytes, all first ones, then all second ones, so that what is alike is side by side."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    # Columns are turned one by one, and buckets are copied as stretches.
+    planes = np.concatenate([np.ascontiguousarray(x[order]).view(np.uint8).reshape(len(order), -1).T for x in rows])
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    data = np.empty(planes.size, np.uint8)
+    for low, high in zip((edges[:-1] * len(planes)).tolist(), (edges[1:] * len(planes)).tolist()):
+        data[low:high].reshape(len(planes), -1)[:] = planes[:, low // len(planes) : high // len(planes)]
+    packed = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * len(planes)).astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), packed], ["bucket", "data"])
+
+
+def _unpacked(data: list[bytes], kind: np.dtype) -> list[np.ndarray]:
+    """The columns of ``kind`` from the bytes of a bucket."""
+    planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1) for x in data], axis=1)
+    return [np.ascontiguousarray(planes[at : at + of.itemsize].T).view(of)[:, 0] for of, at in (kind.fields[c][:2] for c in kind.names)]
+
+
+def _by_bucket(packed: DataFrame, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` makes of the data of each bucket; buckets are streamed in order, one is in memory at a time, as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "data"))):
+                if held and bucket != now:
+                    yield from work(held)
+                    held = []
+                now = bucket
+                held.append(data)
+        if held:
+            yield from work(held)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _copies(sets: DataFrame) -> DataFrame:
+    """(doc, mark, line) of the lines that have an earlier line of the same set. Those of a block are known; of each block's first ones the rest are told by buckets."""
+    buckets = max(SET_BUCKETS, 4 * sets.count() // ROWS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            rows = [whole.column(c).to_numpy() for c in _SET.names]
+            return _packed((rows[0].view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets, rows)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                yield packed()
+                held.clear()
+        if sum(b.num_rows for b in held):
+            yield packed()
+
+    def later(data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = _unpacked(data, _SET)
+        order = np.lexsort(rows[::-1])
+        rows = [x[order] for x in rows]
+        change = [np.concatenate([[True], x[1:] != x[:-1]]) for x in rows]
+        new = np.logical_or.reduce(change[:3])
+        # Repeated rows of the input are the same line, not one after the other.
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        rest = np.logical_or.reduce([x != x[start] for x in rows[3:]])
+        if rest.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[rest]) for x in rows[3:]], _KEY)
+
+    first = sets.where("NOT copy").select(*_SET.names).mapInArrow(pack, "bucket int, data binary")
+    return sets.where("copy").select(*_KEY).union(_by_bucket(first, later, "doc long, mark long, line int"))
+
+
 def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter | None = None) -> DataFrame:
     """A row for each list of each line; with filters only those of ``lists``, the lines in ``lines`` marked.
 
-    The rows of a bucket of lists travel together, as (bucket, data): their bytes, all first ones, then all second ones, so that
-    what is alike is side by side. Buckets follow the number of lines.
+    The rows of a bucket of lists travel together. Buckets follow the number of lines.
     """
     lines, lists = (x and x.shared() for x in (lines, lists))
     buckets = max(BUCKETS, 10 * sets.count() // ROWS)
 
-    def packed(rows: np.ndarray) -> pa.RecordBatch:
-        bucket = rows["list"] % buckets
-        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-        bucket, raw = bucket[order], rows[order].view(np.uint8).reshape(-1, _POSTING.itemsize)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        data = [raw[low:high].T.tobytes() for low, high in zip(first, np.append(first[1:], len(raw)))]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            return _packed(rows[0] % buckets, buckets, rows)
+
         for batch in batches:
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_KEY, "n", "sig1", "sig2")}
             cols["marked"] = lines.has(*(cols[c] for c in _KEY)) if lines else np.zeros(batch.num_rows, bool)
@@ -203,18 +296,17 @@ def _postings(sets: DataFrame, lines: KeyFilter | None = None, lists: KeyFilter
             key, pos = np.frombuffer(b"".join(blobs), np.int64), np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32)
             of = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
             keep = np.flatnonzero(lists.has(key)) if lists else np.arange(len(key))
-            rows = np.empty(len(keep), _POSTING)
-            rows["list"], rows["pos"] = key[keep], pos[keep]
-            for c, x in cols.items():
-                rows[c] = (x.view(np.uint64) if c in ("sig1", "sig2") else x)[of[keep]]
-            held.append(rows)
-            if sum(map(len, held)) >= ROWS:
-                yield packed(np.concatenate(held))
-                held = []
-        if sum(map(len, held)):
-            yield packed(np.concatenate(held))
+            for low in range(0, len(keep), ROWS):
+                some = keep[low : low + ROWS]
+                cols |= {"list": key, "pos": pos}
+                held.append([cols[c][some if c in ("list", "pos") else of[some]] for c in _POSTING.names])
+                if sum(len(x[0]) for x in held) >= ROWS:
+                    yield packed()
+                    held.clear()
+        if sum(len(x[0]) for x in held):
+            yield packed()
 
-    return sets.where("octet_length(lists) > 0").drop("id1", "id2").mapInArrow(run, "bucket int, data binary")
+    return sets.where("octet_length(lists) > 0").drop("id1", "id2", "copy").mapInArrow(run, "bucket int, data binary")
 
 
 def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarray:
@@ -230,6 +322,16 @@ def _near(rows: list[np.ndarray], p, q, threshold: tuple[int, int]) -> np.ndarra
     return ok & ((x >= 0) | (y >= 0))
 
 
+def _order_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order by two columns of numbers from 0, then place: of one number that holds all three where they fit."""
+    place = len(first).bit_length()
+    low = place + int(second.max(initial=0)).bit_length()
+    if low + int(first.max(initial=0)).bit_length() > 64:
+        return np.lexsort((second, first))
+    both = np.sort(first.astype(np.uint64) << np.uint64(low) | second.astype(np.uint64) << np.uint64(place) | np.arange(len(first), dtype=np.uint64))
+    return (both & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
 def _in_short_lists(rows: list[np.ndarray], run: np.ndarray, asked: np.ndarray, most: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (earlier, later) of the rows of many lists at once, ``run`` the number of each row's list:
     the first ``most`` of each later row that is ``asked``, and whether that row has further ones.
@@ -237,7 +339,7 @@ def _in_short_lists(rows: list[np.ndarray], run: np.ndarray, asked: np.ndarray,
     By list and size, a row meets those after it as long as the sizes can match; the cheapest filters come first.
     """
     up, down = threshold
-    order = np.lexsort((rows[0], run))
+    order = _order_of(run, rows[0])
     n, pos, sig1, sig2 = (x[order].astype(np.int64) if k < 2 else x[order] for k, x in enumerate(rows))
     run, guest = run[order], pos < 0
     room, least, limit = (n - np.where(guest, -1 - pos, pos)) * (up + down), n * up, n * down
@@ -293,19 +395,21 @@ _PAIRS = "a_doc long, a_mark long, a_line int, b_doc long, b_mark long, b_line i
 def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only_marked: bool = False) -> DataFrame:
     """Pairs of lines from the lists of ``postings``: for each line the first ``most`` of a list, with the list as ``more`` where it has further ones (else null).
 
-    Buckets are streamed in order; one is in memory at a time, as numbers.
     """
 
     def pairs_of(data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = np.ascontiguousarray(np.concatenate([np.frombuffer(x, np.uint8).reshape(_POSTING.itemsize, -1) for x in data], axis=1).T).view(_POSTING)[:, 0]
-        cols = [np.ascontiguousarray(rows[c]) for c in _POSTING.names]
+        cols = _unpacked(data, _POSTING)
         key, doc, mark, line = cols[:4]
-        # Blocks are mostly in order already: two passes then do, of which the first meets long runs.
+        # Blocks are mostly in order already: two passes then do, of which the first meets long runs. The second sorts one number that holds
+        # the list and the place; the lists of a bucket differ by many, so that their lowest bits can go.
         order = np.argsort(doc, kind="stable")
-        order = order[np.argsort(key[order], kind="stable")]
-        tie = np.flatnonzero((key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1]))
+        bits = len(order).bit_length()
+        both = np.sort((key[order].view(np.uint64) >> np.uint64(max(0, bits - 16))) << np.uint64(bits) | np.arange(len(order), dtype=np.uint64))
+        order = order[(both & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        key_, doc_ = key[order], doc[order]
+        tie = np.flatnonzero((key_[1:] == key_[:-1]) & (doc_[1:] == doc_[:-1]))
         a, b = order[tie], order[tie + 1]
-        if ((mark[a] > mark[b]) | ((mark[a] == mark[b]) & (line[a] > line[b]))).any():
+        if (key_[1:] < key_[:-1]).any() or ((mark[a] > mark[b]) | ((mark[a] == mark[b]) & (line[a] > line[b]))).any():
             order = np.lexsort((line, mark, doc, key))
         cols = [c[order] for c in cols]
         new = np.ones(len(order), bool)  # repeated rows of the input are the same line
@@ -326,19 +430,7 @@ def _candidates(postings: DataFrame, threshold: tuple[int, int], most: int, only
             if len(q):
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in (p, q) for x in (doc, mark, line)), pa.array(key[q], mask=~more)], [*_PAIR, "more"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for bucket, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "data"))):
-                if held and bucket != now:
-                    yield from pairs_of(held)
-                    held = []
-                now = bucket
-                held.append(data)
-        if held:
-            yield from pairs_of(held)
-
-    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{_PAIRS}, more long")
+    return _by_bucket(postings, pairs_of, f"{_PAIRS}, more long")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -347,7 +439,7 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     docs, lines = KeyFilter(wanted, ["doc", "mark"]).shared(), KeyFilter(wanted, _KEY).shared()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             batch = batch.filter(pa.array(docs.has(batch.column("doc").to_numpy(), batch.column("mark").to_numpy())))
             split = [t.split("\n") for t in batch.column("text").to_pylist()]
             size = [len(s) for s in split]
@@ -370,21 +462,19 @@ def _verified(documents: DataFrame, pairs: DataFrame, threshold: tuple[int, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = ([set(t.encode().split()) for t in batch.column(c).to_pylist()] for c in ("a_text", "b_text"))
+            sets = (map(set, map(bytes.split, map(str.encode, batch.column(c).to_pylist()))) for c in ("a_text", "b_text"))  # two in memory at a time
             ok = [down * (both := len(x & y)) >= up * (len(x) + len(y) - both) for x, y in zip(*sets)]
             yield batch.select(_PAIR[3:]).filter(pa.array(ok, pa.bool_())).rename_columns(_KEY)
 
-    return stored(both.mapInArrow(run, "doc long, mark long, line int").distinct())
+    return stored(both.mapInArrow(run, "doc long, mark long, line int").distinct(), MESSAGE_ROWS)
 
 
 def similar_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_words: int = 1) -> DataFrame:
     """(doc, mark, line) of every line that has an earlier similar one; doc is doc_id, or the largest
     long for null, and mark the XXH64 of the text as Spark computes it."""
-    sets = stored(line_sets(documents, frequent_tokens(documents), threshold, min_words))
-    at = F.struct(*_KEY)
-    groups = sets.groupBy("id1", "id2", "n").agg(F.min(at).alias("at"), F.max(at).alias("to")).where("at <> to").drop("to")
+    sets = stored(line_sets(documents, frequent_tokens(documents), threshold, min_words), MESSAGE_ROWS)
     # Of equal sets only the first may stay or name others: the rest are settled.
-    copies = stored(sets.select(*_KEY, "id1", "id2", "n").join(stored(groups), ["id1", "id2", "n"]).where(at != F.col("at")).select(*_KEY).distinct())
+    copies = stored(_copies(sets))
     listed = stored(_candidates(_postings(sets), threshold, PARTNERS))
     later = [F.col(f"b_{c}") == F.col(c) for c in _KEY]
     early = _verified(documents, stored(listed.select(*_PAIR).distinct().join(copies, later, "leftanti")), threshold)

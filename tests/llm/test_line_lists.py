@@ -64,3 +64,33 @@ def test_frequent_words_do_not_depend_on_bins(spark, monkeypatch):
     want = line_dedup.frequent_tokens(rows)
     monkeypatch.setattr(line_dedup, "BINS", 4)
     assert len(want) > 20 and np.array_equal(line_dedup.frequent_tokens(rows), want)
+
+
+def test_texts_reach_python_in_small_messages(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    before = spark.conf.get(line_dedup.MESSAGES)
+    assert {r.n for r in line_dedup.stored(spark.range(0, 40, 1, 2).mapInArrow(sizes, "n long"), 7).collect()} == {7, 6}
+    assert spark.conf.get(line_dedup.MESSAGES) == before
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], ["x"])
+    assert [b.num_rows for b in line_dedup._pieces(iter([batch]))] == [256, 256, 88]
+
+
+def test_equal_sets_are_told_without_sorting_rows(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SET_BUCKETS", 3)
+    rows = [(k, "\n".join(f"a{(k + j) % 9} b{j % 4}" for j in range(12))) for k in range(30)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(5)  # some rows are there twice
+    sets = line_dedup.stored(line_dedup.line_sets(docs, line_dedup.frequent_tokens(docs), (4, 5), 1))
+    copies = line_dedup._copies(sets)
+    assert "SortAggregate" not in plan(copies) and "Join" not in plan(copies)
+    seen, want = set(), set()
+    for doc, text in rows:
+        for number, line in enumerate(text.split("\n")):
+            (want.add((doc, number)) if line in seen else seen.add(line))
+    assert {(r.doc, r.line) for r in copies.collect()} == want
+    first, second = np.array([3, 1, 3, 1, 1]), np.array([2, 9, 1, 9, 4])
+    assert line_dedup._order_of(first, second).tolist() == line_dedup._order_of(first << 40, second << 20).tolist() == [4, 1, 3, 2, 0]
